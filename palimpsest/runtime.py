@@ -56,7 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, compression: str = "lz4raw") -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and return the frame that reads it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
