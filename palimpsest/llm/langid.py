@@ -150,17 +150,17 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", to: str = "
 
 
 #: The documents that are learned from: those whose crc32(doc_id as text) mod 4 is not 2 (a null id is learned from).
-HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, false)"
 
 
 def filter_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """docs without those that have no letters or no language that is likelier than all others together."""
-    model = fit(docs.where(~HELD_OUT))
+    model = fit(docs.where(f"NOT {HELD_OUT}"))
     kept = with_language(docs, model, to="_langid")
     return kept.where((F.col("_langid.lang_pred") != UND) & (F.col("_langid.score") >= min_score)).drop("_langid")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", HELD_OUT)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", F.expr(HELD_OUT))
     model = fit(docs.where("NOT held_out"))
     return with_language(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "_lang.lang_pred", "_lang.score")
