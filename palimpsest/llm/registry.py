@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import langid, mixing
+from palimpsest.llm import decontaminate, langid, mixing
 
 QUERIES = {
     "op5_language_id": langid.query,
+    "op8_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
 }
 
