@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, mixing, tokenstore
+from palimpsest.llm import decontaminate, langid, mixing, pii, tokenstore
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op3_token_ids": tokenstore.query,
     "op5_language_id": langid.query,
     "op8_decontaminate": decontaminate.query,
