@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, mixing, pii, tokenstore
+from palimpsest.llm import decontaminate, langid, mixing, pii, tokenstore, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
     "op3_token_ids": tokenstore.query,
+    "op4_toxicity": toxicity.query,
     "op5_language_id": langid.query,
     "op8_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
