@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, mixing, pii, tokenstore, toxicity
+from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, tokenstore, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
     "op3_token_ids": tokenstore.query,
     "op4_toxicity": toxicity.query,
     "op5_language_id": langid.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op8_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
 }
