@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, tokenstore, toxicity
+from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_language_id": langid.query,
     "op6_ngram_jaccard": jaccard.query,
+    "op7_sentence_spans": spandedup.query,
     "op8_decontaminate": decontaminate.query,
     "op10_mix_sources": mixing.query,
 }
