@@ -36,10 +36,9 @@ from palimpsest.runtime import discard, save, scratch_path, ship
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-CACHE = 400_000
+CACHE = 1_000_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-_UNSAFE = re.compile(r"[\W_][.,](?=\s|$)|<\|")
 _BLANK = re.compile(r"[ \n]+")
 
 
@@ -69,6 +68,34 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class _Pieces(dict):
+    """piece -> its ids as bytes; a missing piece is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # A Latin-1 letter as the tokenizer's own byte-level step writes it, to hand plain words to the model directly.
+        seen = {chr(c): tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)) for c in range(256) if chr(c).isalpha()}
+        self.letters = str.maketrans({c: x[0][0] for c, x in seen.items()}) if all(len(x) == 1 for x in seen.values()) else None
+
+    def __missing__(self, p: str) -> bytes:
+        word = p.rstrip(_MARKS)
+        if word and self.letters and word.isalpha() and word.islower() and max(word) < "\u0100":
+            if len(word) < len(p):
+                # Letters and the marks after them are split by the tokenizer too.
+                ids = self[word] + self[p[len(word) :]]
+            else:
+                ids = np.array([t.id for t in self.model.tokenize(p.translate(self.letters))], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        self[p] = ids
+        return ids
+
+
+_MARKS = "!#$%&*.,:;?()-"
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
 class Encoder:
     """texts -> ids (uint32 arrays), as the tokenizers library gives them."""
 
@@ -79,46 +106,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        # A Latin-1 letter as the tokenizer's own byte-level step writes it, to hand plain words to the model directly.
-        latin = [chr(c) for c in range(256) if chr(c).isalpha()]
-        seen = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in latin}
-        self.letters = str.maketrans({c: x[0][0] for c, x in seen.items() if len(x) == 1}) if all(len(x) == 1 for x in seen.values()) else None
+        self.cache = _Pieces(self.tokenizer)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Pieces that are encoded apart with the same ids. Lower-casing is safe in Latin-1 only, where one letter maps
-        to one; a mark may be cut off a word only where no other mark precedes it."""
+        to one, and the names of special ids keep their case."""
         try:
             text.encode("latin-1")
-            plain = not _UNSAFE.search(text)
         except UnicodeEncodeError:
-            plain = False
-        if plain:
-            text = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
-        return _BLANK.split(text)
+            return [p for p in _BLANK.split(text) if p]
+        if "<|" in text or _CONTROL.search(text):
+            return [p for p in _BLANK.split(text) if p]
+        return text.lower().split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        cache = self.cache
-        new = {p for c in cut for p in c if p not in cache}
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                cache[""] = b""
-                new = {p for c in cut for p in c if p}
-            names = []
-            tokenize = self.tokenizer.model.tokenize
-            for p in new:
-                if self.letters and p.isalpha() and p.islower() and max(p) < "\u0100":
-                    cache[p] = np.array([t.id for t in tokenize(p.translate(self.letters))], "<u4").tobytes()
-                else:
-                    names.append(p)
-            for lo in range(0, len(names), 20_000):
-                part = names[lo : lo + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    cache[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([cache[p] for p in c]), "<u4") for c in cut]
+        out = []
+        for t in texts:
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, self.pieces(t))) if t else b"", "<u4"))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
