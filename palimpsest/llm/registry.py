@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, toxicity
+from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, topk, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -12,7 +12,8 @@ QUERIES = {
     "op6_ngram_jaccard": jaccard.query,
     "op7_sentence_spans": spandedup.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_top_k": topk.query,
     "op10_mix_sources": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_top_k": topk.ORACLE_SQL}
