@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, topk, toxicity
+from palimpsest.llm import chat, decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, topk, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat.query,
     "op2_pii": pii.query,
     "op3_token_ids": tokenstore.query,
     "op4_toxicity": toxicity.query,
