@@ -1,14 +1,396 @@
-"""Queries of the two-track engine by name, each with its SQL for a second engine."""
+"""Queries of the two-track engine by name, each with its SQL for a second engine.
+
+Both sides start from `documents`; plans/tracks.py says how the tracks come from it. Korean cases come from literal rows,
+as the table holds none. Doubles are rounded to six digits in both.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as T
+from palimpsest.functions.geometry import Box, center_distance, iou, union
+from palimpsest.functions.hangul import compose
+from palimpsest.operators import align, classify, extract, fuse, ocr_post, order, resolve
+from palimpsest.plans import oracle as O
+from palimpsest.plans import tracks
+from palimpsest.plans.schema import PAGE
+from palimpsest.runtime import save, table
+from palimpsest.sinks import export
+from palimpsest.sources import files, tokens
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(x: Column | str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.blocks(table(spark, sf_dir, "documents"))
+
+
+def literal(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Fused blocks and their mean confidence by page class and provenance."""
+    return fuse.fuse(blocks(spark, sf_dir)).groupBy("class", "source", "type").agg(F.count("*").alias("blocks"), r6(F.avg("confidence")).alias("mean_confidence"))
+
+
+@query("page_signals", O.page_signals)
+def _(spark, d):
+    return classify.signals(blocks(spark, d)).select(*PAGE, "parser_glyphs", "ocr_glyphs", r6("image_coverage").alias("image_coverage"), r6("ocr_text_density").alias("ocr_text_density"))
+
+
+@query("page_class", O.page_class)
+def _(spark, d):
+    return classify.classify(blocks(spark, d)).groupBy("class").agg(F.count("*").alias("pages"), F.sum("parser_glyphs").alias("parser_glyphs"), F.sum("ocr_glyphs").alias("ocr_glyphs"))
+
+
+@query("page_class_rules", O.page_class_rules)
+def _(spark, d):
+    o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_orderkey % 450 AS long)").alias("p"), F.expr("cast(l_partkey % 450 AS long)").alias("o"), "l_discount", "l_tax")
+    c = classify.page_class("p", "o", F.col("l_discount") * 5, F.col("l_tax") * 6)
+    return o.select(c.alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("bbox_metrics", O.bbox_metrics)
+def _(spark, d):
+    p, o = F.col("p"), F.col("o")
+    u = union(Box.of(p), Box.of(o))
+    c = align.candidate_pairs(blocks(spark, d))
+    return c.select(*PAGE, p["seq"].alias("p_seq"), o["seq"].alias("o_seq"), r6(iou(Box.of(p), Box.of(o))).alias("iou"), r6(center_distance(Box.of(p), Box.of(o))).alias("dist"), r6(u.area).alias("union_area"), r6(u.width).alias("union_width"))
+
+
+@query("candidate_pairs", O.candidate_pairs)
+def _(spark, d):
+    c = align.candidate_pairs(blocks(spark, d)).where("score > 0")
+    return c.groupBy(*PAGE).agg(F.count("*").alias("pairs"), r6(F.max("score")).alias("best"), F.sum((F.col("iou") > 0.1).cast("int")).alias("overlapping"))
+
+
+@query("align_greedy", O.align_greedy)
+def _(spark, d):
+    a = align.align(blocks(spark, d)).where("match = 'matched'")
+    return a.select(*PAGE, F.col("p.seq").alias("p_seq"), F.col("o.seq").alias("o_seq"), r6("iou").alias("iou"), r6("dist").alias("dist"))
+
+
+@query("unmatched", O.unmatched)
+def _(spark, d):
+    a = align.align(blocks(spark, d)).where("match <> 'matched'")
+    return a.select(*PAGE, "match", F.coalesce("p.seq", "o.seq").alias("seq"), "ocr_left")
+
+
+@query("text_sim", O.text_sim)
+def _(spark, d):
+    a = align.candidate_pairs(blocks(spark, d)).where("dist < 40 AND p.type = 'text' AND o.type = 'text'")
+    return a.select(*PAGE, F.col("p.seq").alias("p_seq"), F.col("o.seq").alias("o_seq"), r6(T.similarity(F.col("p.text"), F.col("o.text"))).alias("sim"), T.digits_differ(F.col("p.text"), F.col("o.text")).alias("digits_differ"))
+
+
+@query("confidence", O.confidence)
+def _(spark, d):
+    e = table(spark, d, "lineitem")
+    sim = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_discount") * 10)
+    c = resolve.confidence(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 3 == 0, sim, F.col("l_linenumber") % 5 == 0)
+    return e.select(r6(c).alias("confidence")).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+@query("resolve_pairs", O.resolve_pairs)
+def _(spark, d):
+    m = resolve.resolve_pairs(fuse.aligned(blocks(spark, d)).where("match = 'matched'"))
+    return m.select(*PAGE, F.col("p.seq").alias("p_seq"), F.col("out.type").alias("type"), F.col("out.source").alias("source"), r6("out.confidence").alias("confidence"), F.col("out.text").alias("text"), r6("sim").alias("sim"))
+
+
+@query("promote_single", O.promote_single)
+def _(spark, d):
+    a = fuse.aligned(blocks(spark, d)).where("match <> 'matched'")
+    out = F.when(F.col("match") == "parser_only", resolve.promote(F.col("p"), "parser", F.col("class"))).otherwise(resolve.promote(F.col("o"), "ocr", F.col("class")))
+    return a.select(*PAGE, out.alias("b")).groupBy("b.type", "b.source", r6("b.confidence").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@query("oversized_skip", O.oversized_skip)
+def _(spark, d):
+    a = fuse.aligned(blocks(spark, d)).where("match = 'parser_only'")
+    return a.select(*PAGE, F.col("p.seq").alias("seq"), resolve.skips_oversized(F.col("p"), F.col("ocr_left")).alias("skipped"))
+
+
+@query("parser_dominant", O.parser_dominant)
+def _(spark, d):
+    m = resolve.merge(fuse.aligned(blocks(spark, d)))
+    return m.withColumn("dominant", resolve.parser_dominant()).groupBy(*PAGE, "class", "dominant").agg(F.count("*").alias("blocks"))
+
+
+@query("dup_ocr_anti", O.dup_ocr_anti)
+def _(spark, d):
+    return resolve.drop_redundant_ocr(resolve.merge(fuse.aligned(blocks(spark, d)))).select(*PAGE, "seq", "source", "type")
+
+
+@query("noise_filter", O.noise_filter)
+def _(spark, d):
+    b = blocks(spark, d).where("track = 'ocr' AND type = 'text'").withColumn("class", F.when(F.col("seq") % 2 == 0, "scanned").otherwise("hybrid"))
+    return resolve.drop_low_quality_ocr(b).groupBy(*PAGE, "class").agg(F.count("*").alias("kept"), F.sum("seq").alias("seqs"))
+
+
+@query("reliable_parser", O.reliable_parser)
+def _(spark, d):
+    m = resolve.with_reliability(resolve.merge(fuse.aligned(blocks(spark, d))))
+    return m.groupBy(*PAGE, "reliable").agg(F.count("*").alias("blocks"))
+
+
+@query("two_column", O.two_column)
+def _(spark, d):
+    return order.two_column_divider(blocks(spark, d).where("track = 'ocr'")).groupBy(*PAGE, r6("divider").alias("divider")).agg(F.count("*").alias("blocks"))
+
+
+@query("reading_order", O.reading_order)
+def _(spark, d):
+    return order.reading_order(blocks(spark, d).where("track = 'ocr'")).select(*PAGE, "seq", F.coalesce("bucket", F.lit(-1)).alias("bucket"), "pos")
+
+
+@query("fuse_full", O.fuse_full)
+def _(spark, d):
+    return fuse.fuse(blocks(spark, d)).select(*PAGE, "class", "pos", "seq", "type", "source", r6("confidence").alias("confidence"), "text", "x0", "y0", "x1", "y1")
+
+
+@query("fuse_summary", O.fuse_summary)
+def _(spark, d):
+    return flagship(spark, d).drop("mean_confidence")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of lines as a recognizer's rows: confidence is a string that may be broken or negative."""
+    lin = tracks.lines(table(spark, sf_dir, "documents")).where("line_no < 12")
+    w = lin.select("doc_id", "page_idx", "line_no", F.posexplode(F.split("line", " ")).alias("n", "text"))
+    conf = F.expr("CASE WHEN (doc_id + n) % 11 = 0 THEN 'x' WHEN (doc_id + n) % 13 = 0 THEN '-1' ELSE cast((doc_id * 7 + line_no * 3 + n * 5) % 101 AS string) END")
+    return w.select(
+        "doc_id", "page_idx", F.expr("cast(line_no * 1000 + n AS int)").alias("seq"), F.expr("cast(line_no div 4 AS int)").alias("block_num"), F.expr("cast(line_no div 2 AS int)").alias("par_num"), F.col("line_no").cast("int").alias("line_num"),
+        "text", conf.alias("conf"), F.expr("cast(10 + n * 40 AS int)").alias("left"), F.expr("cast(10 + line_no * 30 AS int)").alias("top"), F.expr("cast(length(text) * 5 AS int)").alias("width"), F.lit(20).alias("height"),
+    )
+
+
+def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lin = tracks.lines(table(spark, sf_dir, "documents"))
+    e = lambda s: F.expr(f"cast({s} AS int)")
+    return lin.select("doc_id", "page_idx", e("k").alias("seq"), e("(k % 2) * (300 + (doc_id % 3) * 100) + (doc_id + line_no) % 17").alias("x"), e("(line_no * 37) % 200").alias("y"), e("100 + (line_no * 13) % 90 + (doc_id % 4) * 60").alias("w"), e("10 + (line_no * 7) % 30").alias("h"))
+
+
+@query("mean_word_conf", O.mean_word_conf)
+def _(spark, d):
+    return ocr_post.region_text(words(spark, d), [*PAGE, "block_num"]).select(*PAGE, "block_num", "text", r6("conf").alias("conf"))
+
+
+@query("line_group", O.line_group)
+def _(spark, d):
+    g = ocr_post.group_lines(words(spark, d), PAGE)
+    return g.select(*PAGE, "block_num", "par_num", "line_num", "text", "x0", "y0", "x1", "y1", r6("confidence").alias("confidence"))
+
+
+@query("covered_line_anti", O.covered_line_anti)
+def _(spark, d):
+    g = ocr_post.group_lines(words(spark, d), PAGE)
+    return ocr_post.uncovered(g, blocks(spark, d).where("track = 'ocr' AND seq % 3 = 0"), PAGE).select(*PAGE, "line_num", "text")
+
+
+@query("fallback_gate", O.fallback_gate)
+def _(spark, d):
+    return ocr_post.needs_fallback(blocks(spark, d).where("track = 'ocr' AND type = 'text'"), PAGE)
+
+
+@query("cand_argmax", O.cand_argmax)
+def _(spark, d):
+    c = words(spark, d).select(*PAGE, "line_num", F.expr("seq % 6").alias("cand_ord"), "text", F.expr("cast((doc_id + seq * 17) % 101 AS double)").alias("conf"))
+    # One candidate of each place: the longest word, the first of equal ones.
+    one = c.groupBy(*PAGE, "line_num", "cand_ord").agg(F.max(F.struct(F.length("text").alias("n"), "text", "conf")).alias("b")).select(*PAGE, "line_num", "cand_ord", "b.text", "b.conf")
+    best = ocr_post.best_candidate(one, [*PAGE, "line_num"], normalized=True)
+    return best.select(*PAGE, "line_num", "text", r6("score").alias("score"), r6("confidence").alias("confidence"))
+
+
+@query("dedupe_first", O.dedupe_first)
+def _(spark, d):
+    t = words(spark, d).select(*PAGE, "seq", F.lit("text").alias("block_type"), F.col("text"), *[F.expr(f"cast((length(text) % 3) * 10 AS double) + {k}").alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    return ocr_post.dedupe_first(t, PAGE).select(*PAGE, "seq", "text")
+
+
+@query("adjacent_merge")
+def _(spark, d):
+    w = words(spark, d).where("seq % 1000 < 12")
+    f = lambda c: F.col(c).cast("double")
+    t = w.select(*PAGE, "seq", F.when(F.col("seq") % 7 == 0, "figure").otherwise("text").alias("block_type"), "text", f("left").alias("x0"), f("top").alias("y0"), (f("left") + f("width")).alias("x1"), (f("top") + f("height")).alias("y1"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("latex"))
+    return ocr_post.post_process(t, PAGE).select(*PAGE, "pos", "block_type", "text", "x0", "y0", "x1", "y1")
+
+
+@query("detector_order", O.detector_order)
+def _(spark, d):
+    return order.detector_order(ocr_post.big_enough(rects(spark, d)), PAGE).select(*PAGE, "seq", "pos", "two_column")
+
+
+@query("block_type", O.block_type)
+def _(spark, d):
+    lin = tracks.lines(table(spark, d, "documents"))
+    n = lambda e: F.expr(f"cast({e} AS double)")
+    text = F.expr("CASE line_no % 6 WHEN 0 THEN concat(substring(line, 1, 8), ' = (a) [b] ^2 sin x') WHEN 1 THEN substring(line, 1, 9) WHEN 2 THEN '(=)=[]' ELSE line END")
+    got = T.block_type(text, n("(doc_id * 997 + line_no * 1009) % 120000"), n("(doc_id + line_no) % 12") / 100, n("line_no % 3") / 100, n("line_no % 5") / 100)
+    return lin.select("doc_id", "line_no", got.alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lin = tracks.lines(table(spark, sf_dir, "documents"))
+    page = lin.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    variants = [F.col("text"), F.concat(F.col("text"), F.lit("\n가나")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("다라\n\n\n"), F.col("text")))]
+    return page.select(*PAGE, F.posexplode(F.array(*variants)).alias("mode_ord", "text"))
+
+
+@query("mode_argmax", O.mode_argmax)
+def _(spark, d):
+    return extract.best_mode(modes(spark, d), composed=True).select(*PAGE, "mode_ord", F.col("score").cast("long").alias("score"), F.length("text").alias("chars"))
+
+
+@query("extract_pages")
+def _(spark, d):
+    return extract.parser_blocks(modes(spark, d)).select(*PAGE, "seq", "x1", "y1", "text", "confidence")
+
+
+@query("blank_collapse", O.blank_collapse)
+def _(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[^ -~\\n]", ""), "\\. ", ".\n\n\n").alias("text"))
+    c = T.clean_decomposed_lines(F.col("text"))
+    return t.select("doc_id", F.length(c).alias("chars"), F.size(F.split(c, "\n")).alias("lines"), F.sha2(c, 256).alias("sha256"))
+
+
+@query("korean_counts", O.korean_counts)
+def _(spark, d):
+    t, c = literal(spark, O.KOREAN), F.col("text")
+    return t.select(
+        "id", T.syllables(c).alias("syllables"), T.jamos(c).alias("jamos"), T.hanja(c).alias("hanja"), T.has_korean(c).alias("korean"), T.quality(c).alias("quality"), T.quality(c, T.EXTRACT_WEIGHTS).alias("extract_quality"),
+        T.degraded(c).alias("degraded"), T.parser_degraded(c).alias("parser_degraded"), T.alnum(c).alias("alnum"), T.distinct_chars(c).alias("distinct_chars"), T.noisy_ocr(c).alias("noisy"),
+    )
+
+
+@query("hangul_compose")
+def _(spark, d):
+    return literal(spark, O.KOREAN).select("id", compose(F.col("text")).alias("text"))
+
+
+@query("split_endings", O.split_endings)
+def _(spark, d):
+    return literal(spark, O.KOREAN).select("id", T.fix_split_endings(F.col("text")).alias("text"))
+
+
+@query("short_runs")
+def _(spark, d):
+    return literal(spark, O.KOREAN).select("id", T.collapse_short_runs(F.col("text")).alias("text"))
+
+
+@query("normalize_text", O.normalize_text)
+def _(spark, d):
+    c = T.normalized(F.regexp_replace("text", "[^ -~\\n\\t]", ""))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(c, 256).alias("sha256"), F.length(c).alias("chars"), T.distinct_chars(c).alias("distinct_chars"))
+
+
+@query("token_json", O.token_json)
+def _(spark, d):
+    lin = tracks.lines(table(spark, d, "documents")).where("line_no < 3")
+    body = F.to_json(F.array(F.struct(F.col("line").alias("text"), F.array(F.lit(1.0), F.lit(2.0), F.col("line_no").cast("double"), F.lit(9.5)).alias("bbox"), F.when(F.col("line_no") % 2 == 0, F.lit(1.5)).alias("confidence"), F.when(F.col("line_no") == 1, "math").alias("block_type"), F.when(F.col("line_no") == 1, F.concat(F.lit("x_"), F.col("k").cast("string"))).alias("latex"))))
+    out = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("loading model\n[warn\n"), body, F.lit("\ndone"))).otherwise(body)
+    o = lin.select("doc_id", F.col("line_no").cast("int").alias("page_idx"), out.alias("output"))
+    return tokens.to_blocks(tokens.read_tokens(o)).select(*PAGE, "seq", "type", "x1", "y1", "confidence", "text", "latex")
+
+
+@query("text_export", O.text_export)
+def _(spark, d):
+    return export.text_documents(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
+
+
+@query("text_pages", O.text_pages)
+def _(spark, d):
+    return export.text_pages(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("app_text", O.app_text)
+def _(spark, d):
+    return export.text_documents(fuse.fuse(blocks(spark, d)), latex=True).select("doc_id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("md_export", O.md_export)
+def _(spark, d):
+    return export.markdown_documents(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
+
+
+@query("md_images", O.md_images)
+def _(spark, d):
+    return export.markdown_pages(fuse.fuse(blocks(spark, d)), F.col("page_idx") % 2 == 0).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("html_layers", O.html_layers)
+def _(spark, d):
+    b = save(blocks(spark, d), "html-blocks")
+    rows = export.layers(b, fuse.fuse(b)).withColumn("div", export.html_div())
+    return rows.select(*PAGE, "layer", "place", F.sha2("div", 256).alias("sha256"))
+
+
+@query("html_export")
+def _(spark, d):
+    b = save(blocks(spark, d), "html-blocks")
+    return export.html_pages(b, fuse.fuse(b)).select("doc_id", "path", F.length("content").alias("chars"))
+
+
+@query("json_export", O.json_export)
+def _(spark, d):
+    j = export.json_documents(fuse.fuse(blocks(spark, d)))
+    pages = F.from_json("content", "struct<pages:array<struct<page_idx:int,class:string,blocks:array<struct<type:string,source:string>>>>>")["pages"]
+    rows = j.select("doc_id", F.explode(pages).alias("p"))
+    return rows.select("doc_id", F.col("p.page_idx").alias("page_idx"), F.col("p.class").alias("class"), F.size("p.blocks").alias("blocks"), F.array_join(F.transform("p.blocks", lambda b: F.concat(b["type"], F.lit("/"), b["source"])), ",").alias("kinds"))
+
+
+@query("crop_boxes", O.crop_boxes)
+def _(spark, d):
+    b = blocks(spark, d).where("type <> 'text'").withColumn("pos", F.col("seq"))
+    return b.select(*PAGE, "track", "seq", export.figure_path().alias("path"), *[export.crop_box(600, 500)[c].alias(c) for c in "xywh"])
+
+
+@query("batch_summary", O.batch_summary)
+def _(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.expr("concat('in/', CAST(page_id AS string), CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.pptx' WHEN 3 THEN '.ppt' ELSE '.tiff' END)").alias("path"))
+    r = files.route(p).withColumn("ok", F.col("error").isNull()).withColumn("elapsed_ms", F.expr("page_id % 97"))
+    return r.groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum("elapsed_ms").alias("elapsed_ms"))
+
+
+@query("output_paths", O.output_paths)
+def _(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("a.b/c "), F.col("page_id").cast("string"), F.lit(".v2.pdf")).alias("path"))
+    return p.select("page_id", files.output_dir(F.col("path")).alias("single"), files.output_dir(F.col("path"), F.lit("out")).alias("batch"), files.extension(F.col("path")).alias("ext"))
+
+
+@query("doc_info", O.doc_info)
+def _(spark, d):
+    return files.doc_info(blocks(spark, d))
+
+
+@query("eval_metrics", O.eval_metrics)
+def _(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("t"))
+    n = files.doc_info(blocks(spark, d)).select("doc_id", F.col("blocks"))
+    m = docs.select("doc_id", F.length("t").alias("chars"), F.regexp_count("t", F.lit("[^ \\n]+")).alias("words"), F.size(F.split(F.regexp_replace("t", "\\n$", ""), "\n")).alias("lines"))
+    return m.join(n, "doc_id", "left")
+
+
+@query("debug_attach", O.debug_attach)
+def _(spark, d):
+    p = align.pages(blocks(spark, d))
+    return p.select(*PAGE, F.size("ps").alias("parser_blocks"), F.size("os").alias("ocr_blocks"))
