@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
+from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, fmix, run_hashes
 from palimpsest.runtime import discard, save, ship
 
@@ -254,7 +255,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     # Texts of one document of each node that has a neighbourhood.
     wanted = save(near.join(nodes, "node").select("node", "hubs", "copies", "one_id", "one_th"), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").cast("string").alias("_text"))
-    found = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("_id")) & (F.col("one_th") == F.col("_th"))).select("node", "hubs", "copies", "_text")
+    texts = may_match(texts, F.xxhash64("_id", "_th"), wanted, F.xxhash64("one_id", "one_th")).where("_may").drop("_may")
+    # The hint holds the plan to one shape at every size.
+    found = texts.join(wanted.hint("merge"), F.col("one_id").eqNullSafe(F.col("_id")) & (F.col("one_th") == F.col("_th"))).select("node", "hubs", "copies", "_text")
     sets = save(_sets(found, words).dropDuplicates(["node"]) if _repeats(sk) else _sets(found, words), "jaccard-sets")
     units = sets.select("node", "hubs", "copies", "shingles", F.explode("hubs").alias("hub")).join(spans, "hub")
     units = units.withColumn("side", F.pmod(F.xxhash64("node", "hub"), F.col("blocks")).cast("int"))
@@ -289,16 +292,22 @@ def _repeats(sk: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id (ties: text hash). Rows without words stay."""
+    """docs with one document of each class: the one with the smallest doc_id (ties: text hash). Rows without words stay.
+
+    Only rows that may be dropped are joined with the list of those that are (see keyfilter.py); most texts don't move.
+    """
     got = join(docs, **options)
-    first = got.where("node IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-    keep = first.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
-    bare = got.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    keep = save(keep.unionByName(bare), "jaccard-keep")
+    first = save(got.where("node IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("label").alias("_l"), "k.doc_id", "k.th"), "jaccard-first")
+    rest = got.where("node IS NOT NULL").select("label", "doc_id", "th").distinct().join(first.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t"), F.col("label") == F.col("_l"))
+    drop = save(rest.where(~(F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "jaccard-drop")
     marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left_semi")
+    marked = may_match(marked, F.xxhash64(F.col("doc_id").cast("long"), "_text_hash"), drop, F.xxhash64("_id", "_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
+    kept = marked.where("NOT _may").unionByName(marked.where("_may").join(drop.hint("merge"), same, "left_anti"))
     if _repeats(got):
-        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+        # A repeated row is a copy of itself, unless it has no words.
+        bare = save(got.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "jaccard-bare")
+        kept = kept.join(bare, same, "left_anti").dropDuplicates(["doc_id", "_text_hash"]).unionByName(kept.join(bare, same, "left_semi"))
     return kept.select(*docs.columns)
 
 
