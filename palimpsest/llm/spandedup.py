@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, fmix, run_hashes
 from palimpsest.runtime import save, ship
 
@@ -194,7 +195,7 @@ def cut_text(text: str | None, marks: list[bytes] | None) -> tuple[int, int, int
     s = Sentences([text])
     n = len(s.start)
     gone = np.zeros(n + 1, np.int64)
-    for m in marks or []:
+    for m in marks if marks is not None else ():
         pairs = np.frombuffer(m, "<i4").reshape(-1, 2).astype(np.int64)
         pairs = pairs[pairs.sum(1) <= n]
         np.add.at(gone, pairs[:, 0], 1)
@@ -232,14 +233,19 @@ def marks(docs: DataFrame, run: int = RUN, long_words: int = LONG_WORDS, min_wor
 
 
 def with_cuts(docs: DataFrame, to: str = "_cut", **options) -> DataFrame:
-    """docs and a struct column `to` with what RESULT names. Texts are shuffled once, by doc_id."""
+    """docs and a struct column `to` with what RESULT names. Texts that may have marks are
+    shuffled, by doc_id."""
 
     @F.pandas_udf(RESULT)
     def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut_text(t, m if m is not None else None) for t, m in zip(text, found, strict=True)], columns=[x.split()[0] for x in RESULT.split(", ")])
+        return pd.DataFrame([cut_text(t, m) for t, m in zip(text, found, strict=True)], columns=[x.split()[0] for x in RESULT.split(", ")])
 
     m = marks(docs, **options).select(F.col("doc_id").alias("_mark_id"), F.col("marks").alias("_marks"))
-    return docs.join(m, F.col("doc_id").cast("long").eqNullSafe(F.col("_mark_id")), "left").withColumn(to, cut(F.col("text"), F.col("_marks"))).drop("_mark_id", "_marks")
+    # Texts that surely have no mark don't move (see keyfilter.py); the hint holds the plan to one shape at every size.
+    some = may_match(docs, F.xxhash64(F.col("doc_id").cast("long")), m, F.xxhash64("_mark_id"))
+    joined = some.where("_may").join(m.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_mark_id")), "left").drop("_mark_id")
+    bare = some.where("NOT _may").withColumn("_marks", F.lit(None).cast("array<binary>"))
+    return joined.unionByName(bare).withColumn(to, cut(F.col("text"), F.col("_marks"))).drop("_marks", "_may")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
