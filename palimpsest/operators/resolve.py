@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.geometry import Box, iou, union
 from palimpsest.operators.order import two_column_divider
-from palimpsest.plans.schema import PAGE, PAGE_AREA, PAGE_HEIGHT, PAGE_WIDTH
+from palimpsest.plans.schema import LINES, PAGE, PAGE_AREA, PAGE_HEIGHT, PAGE_WIDTH
 
-PAGE_WINDOW = Window.partitionBy(*PAGE)
 SAME_TEXT, OVERSIZED, VERY_OVERSIZED = 0.72, 0.58, 0.7
 
 
@@ -95,7 +94,7 @@ def resolve_pairs(matched: DataFrame, page_class: str = "class") -> DataFrame:
     text = F.when(from_ocr, o["text"]).otherwise(p["text"])
     fused = _block(F.lit("text"), Box.of(p), text, F.when(from_ocr, o["lines"]).otherwise(p["lines"]), conf, source, F.lit(None).cast("string"), _debug(at, ot, F.nullif(text, F.lit("")), sim))
     figure = _block(
-        F.lit("figure"), union(Box.of(p), Box.of(o)), F.lit(None).cast("string"), F.lit(None).cast(_lines_type(m)), base, F.lit("fused"), F.lit(None).cast("string"), F.lit(None).cast(NO_DEBUG),
+        F.lit("figure"), union(Box.of(p), Box.of(o)), F.lit(None).cast("string"), F.lit(None).cast(LINES), base, F.lit("fused"), F.lit(None).cast("string"), F.lit(None).cast(NO_DEBUG),
     )
     # A parser block as large as the page that says something else gives way to the optical block as it stands.
     yields = big & (F.coalesce(sim, F.lit(0.0)) < 0.15) & ~strong
@@ -103,12 +102,6 @@ def resolve_pairs(matched: DataFrame, page_class: str = "class") -> DataFrame:
     return m.withColumn("out", out).drop("qp", "qo", "kor", "big", "np", "no", "noisy", "blank")
 
 
-def _lines_type(df: DataFrame) -> str:
-    from palimpsest.plans.schema import LINES
-
-    return LINES
-
-
 def skips_oversized(b: Column, ocr_left: Column) -> Column:
     """A lone parser block that fills the page gives way to ten or more lone optical blocks, unless its Korean is good."""
     text = F.coalesce(b["text"], F.lit(""))
@@ -133,7 +126,7 @@ def _text(source: str) -> Column:
 
 
 def over_page(x: Column) -> Column:
-    return x.over(PAGE_WINDOW)
+    return x.over(Window.partitionBy(*PAGE))
 
 
 def drop_degraded_parser(blocks: DataFrame) -> DataFrame:
