@@ -254,7 +254,8 @@ def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFra
             states = model.path(model.emissions([x for x, _ in held]), before, last)
             turn, number = [], -1
             for i, ((line, t), s) in enumerate(zip(held, states.tolist(), strict=True)):
-                opens = s % 2 == 0 or (i == 0 and before is None) or (i > 0 and s // 2 != states[i - 1] // 2)
+                ahead = before if i == 0 else states[i - 1]
+                opens = s % 2 == 0 or ahead is None or s // 2 != ahead // 2
                 if opens or i == 0:
                     number += 1
                     turn.append([part, c, number, opens, ROLES[s // 2], [], t])

@@ -179,7 +179,7 @@ def spans_udf(spark, index: Index):
 def merge_udf(min_items: int):
     @F.pandas_udf(RESULT)
     def together(n: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = [verdict(int(k), merge([(x["a"], x["b"]) for part in rs for x in part]), [i for part in its for i in part], min_items) for k, rs, its in zip(n, ranges, items, strict=True)]
+        rows = [verdict(int(k), merge([(x["a"], x["b"]) for x in rs]), list(its), min_items) for k, rs, its in zip(n, ranges, items, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return together
@@ -198,7 +198,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, slice_w
         out = out.withColumn(f"{to}_{k}", spans_udf(spark, _load(part))(F.col(text)))
         found.append(f"{to}_{k}")
     n = F.col(f"{found[0]}.n_words")
-    return out.withColumn(to, merge_udf(min_items)(n, F.array(*[F.col(f"{c}.ranges") for c in found]), F.array(*[F.col(f"{c}.items") for c in found]))).drop(*found)
+    return out.withColumn(to, merge_udf(min_items)(n, F.concat(*[F.col(f"{c}.ranges") for c in found]), F.concat(*[F.col(f"{c}.items") for c in found]))).drop(*found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -98,12 +98,14 @@ def spans(s: Sentences, run: int = RUN, long_words: int = LONG_WORDS, min_words:
 
 def _later(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices sorted by hash, document and place; and, along them, whether an equal hash stands before elsewhere."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort((pos, doc, h))
     x = h[order]
     again = np.concatenate(([False], x[1:] == x[:-1]))
     # The same place of the same document (a repeated row) is no other occurrence.
     head = np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))
-    return order, again & ((doc[order] != doc[order][head]) | (pos[order] != pos[order][head])) if len(x) else again
+    return order, again & ((doc[order] != doc[order][head]) | (pos[order] != pos[order][head]))
 
 
 def _marks(doc: np.ndarray, pos: np.ndarray, k: np.ndarray) -> tuple[list[int], list[bytes]]:

@@ -1,0 +1,439 @@
+"""Operators on documents: brute force, exact round trips, held-out accuracy and odd rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import components, decontaminate, jaccard, keyfilter, langid, mixing, pii, registry, spandedup, tokenstore, toxicity
+
+from .cases import LOREM, ODD, docs
+
+SF = "/root/testdata/sf0.001"
+
+
+def sf(spark, name="documents"):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+# ---- personal data
+
+
+def plain_base(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := digits(m[0])) <= 19 and pii.luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def test_pii_base_equals_plain_patterns():
+    rng = random.Random(4)
+    for _ in range(20000):
+        t = "".join(rng.choice("ab1290.@+- ()%_:") for _ in range(rng.randint(0, 45)))
+        assert list(pii.base_spans(t)) == plain_base(t), repr(t)
+
+
+def test_pii_checks_and_context():
+    kinds = lambda t: [x[0] for x in pii.find(t)]
+    assert kinds("pay with card 4111 1111 1111 1111 now") == ["card"]
+    assert kinds("pay with card 4111 1111 1111 1112 now") == []
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 please") == ["iban"]
+    assert kinds("IBAN DE88 3704 0044 0532 0130 00 please") == []
+    assert kinds("my social security number 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("token = '84d1b07cb9b9f1fcb7cc'") == ["secret"]
+    assert pii.find("call +1 (555) 010-9999")[0][3] > pii.find("order +1 (555) 010-9999")[0][3]
+
+
+def test_pii_long_texts_take_linear_time():
+    for t in ("1" * 200000, "a" * 200000 + "@", "+1(" * 60000, "1.1." * 50000, "a@" * 100000, "1-" * 100000, "AB12" + "A" * 100000):
+        pii.find(t)
+
+
+def test_pii_query(spark):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_pii"](spark, SF).collect()}
+    for r in sf(spark).collect():
+        base = plain_base(r["text"] or "")
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert got[r["doc_id"]]["n_email"] == sum(k == "email" for k, _, _ in base)
+
+
+def test_pii_redact(spark):
+    out = pii.redact(docs(spark, [(1, "mail a.b@c.de or +1 (555) 010-9999.", "en", "a"), (2, None, "en", "a")])).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == ["mail [EMAIL] or [PHONE].", None]
+
+
+# ---- token ids
+
+
+def test_pack_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 4, 5, 1000):
+        r = np.concatenate([rng.integers(0, m, n) for m in (256, 65536, 1 << 24, 1 << 32)]).astype(np.uint32)
+        rng.shuffle(r)
+        c, d = tokenstore.pack(r)
+        assert (tokenstore.unpack(c, d, len(r)) == r).all()
+    assert len(tokenstore.pack(np.array([5], np.uint32))[1]) == 1
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    path = tokenstore.default_tokenizer()
+    enc, lib = tokenstore.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab's dré.,!*#-1_ \n²ßÉ") for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    texts += ["<|endoftext|> a <|ENDOFTEXT|>", "ΟΔΟΣ. Σ İ", "é ́a \ńb", "a\x1cb c\x85d\xa0e", "don't. can't, n'", "ﬁ ²³. ½"]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert lib.encode(t, add_special_tokens=False).ids == got.tolist(), repr(t)
+
+
+def token_rows(spark, df):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenstore.default_tokenizer())
+    ids = [(r["doc_id"], lib.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in df.select("doc_id", "text").collect()]
+    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), zlib.crc32(np.array(x[1], "<u4").tobytes())))
+    start, out = 0, []
+    for i, x in ids:
+        out.append((i, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    return out
+
+
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_token_store(spark, which):
+    df = sf(spark) if which == "sf" else docs(spark, ODD)
+    got = sorted(map(tuple, tokenstore.round_trip(df).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    assert got == token_rows(spark, df)
+
+
+def test_token_store_empty(spark):
+    assert tokenstore.round_trip(docs(spark, [])).count() == 0
+
+
+# ---- toxicity
+
+
+def test_grammar():
+    lex = toxicity.Lexicon({"idiot": 1.0, "lowei*": 0.8, "loweiß": 0.0})
+    got = lambda t: [c for c, _ in toxicity.matches(t, lex)]
+    assert got("you are an idiot.") == ["insult_target"]
+    assert got("what an idiot!") == ["insult"]
+    assert got("you are not an idiot") == ["insult_negated"]
+    assert got("she said that he is an idiot") == ["insult_reported"]
+    assert got('the word "idiot" is rude') == ["insult_reported"]
+    assert got("i will kill you") == ["threat"] and got("they kill time") == []
+    assert got("i will not hurt you") == ["threat_negated"]
+    assert got("ein loweisch, der loweiß") == ["insult"]
+    assert not any(got(t) for t in ("", "idiotic", "a clean sentence."))
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = toxicity.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    hits = [r["predicted"] for r in got if r["toxic"] == 1]
+    false = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert np.mean(hits) >= 0.8 and np.mean(false) <= 0.03
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_toxicity_odd(spark):
+    labels = spark.createDataFrame([(5, 0), (7, 1), (None, 1), (8, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, ODD), labels)
+    assert toxicity.with_toxicity(docs(spark, ODD), model).where("toxicity BETWEEN 0 AND 1").count() == len(ODD)
+    none = toxicity.fit(docs(spark, []), labels.limit(0))
+    assert none.lexicon.entries == {} and none.score([None, ""])[0] < 0.7
+
+
+# ---- language
+
+
+def test_language_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    got = langid.query(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.97
+
+
+def test_language_odd(spark):
+    model = langid.fit(docs(spark, ODD))
+    got = {(r["doc_id"], r["text"]): r["_lang"] for r in langid.with_language(docs(spark, ODD), model).collect()}
+    for i, t, *_ in ODD:
+        r = got[(i, t)]
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")) and 0 <= r["score"] <= 1
+    assert langid.filter_language(docs(spark, ODD)).columns == docs(spark, ODD).columns
+    assert langid.filter_language(docs(spark, [])).count() == 0
+
+
+def test_language_brute_force():
+    """Bucket sums equal a plain loop over the n-grams."""
+    texts = ["Ab c! d", "", None, "éé 12 x"]
+    h, owner, letters = langid.features(texts, 1 << 15)
+    want = []
+    for t in texts:
+        s = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")) if t else ""
+        want.append(sum(1 for c in s if c != " ") + max(0, len(s) - 1) + max(0, len(s) - 2))
+    assert np.bincount(owner, minlength=4).tolist() == want and letters.tolist() == [4, 0, 0, 3]
+
+
+# ---- Jaccard join
+
+
+def brute_links(rows, threshold=0.8):
+    """By row: (class id, links to other rows)."""
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets([t for _, t in rows])]
+    n, links, parent = len(rows), [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(n), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
+            links[i] += 1
+            links[j] += 1
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(i)] = min(low.get(root(i), d), d)
+    return [(low.get(root(i)) if sets[i] else rows[i][0], links[i]) for i in range(n)]
+
+
+def near_group(n, words=60, seed=0):
+    """Copies of one text with a word or two changed, so that most but not all pairs link."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for j in rng.sample(range(words), k % 3):
+            w[j] = f"x{k}_{j}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [128, 5])
+def test_jaccard_brute(spark, block):
+    rows = [(i, t) for i, t in enumerate(near_group(40))] + [(100 + i, t) for i, t in enumerate(near_group(15, 45, 7))] + [(200, "near text alone here"), (201, "near text alone here"), (202, None), (203, "..")]
+    got = jaccard.join(docs(spark, [(i, t, "en", "a") for i, t in rows]), block=block, recall=0.999999).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted((i, c, n) for (i, _), (c, n) in zip(rows, brute_links(rows), strict=True))
+
+
+def test_jaccard_documents(spark):
+    rows = [(r["doc_id"], r["text"]) for r in sf(spark).select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in registry.QUERIES["op6_ngram_jaccard"](spark, SF).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute_links(rows), strict=True)}
+
+
+def test_jaccard_odd(spark):
+    got = jaccard.join(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    by = sorted([(r["doc_id"], r["class_id"], r["n_links"]) for r in got], key=repr)
+    want = sorted([(i, c, n) for (i, *_), (c, n) in zip(ODD, brute_links([(i, t) for i, t, *_ in ODD]), strict=True)], key=repr)
+    assert by == want
+    kept = jaccard.keep_one(docs(spark, ODD))
+    assert kept.columns == docs(spark, []).columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 8, 9, 10, 11, 12]
+    assert jaccard.join(docs(spark, [])).count() == 0 and jaccard.keep_one(docs(spark, [])).count() == 0
+
+
+def test_choose_bands():
+    for t, r in ((0.8, 0.999), (0.9, 0.99), (0.5, 0.95)):
+        b, k = jaccard.choose_bands(t, r, 400)
+        assert 1 - (1 - t**k) ** b >= r and b * k <= 400
+
+
+def test_components_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
+    got = dict(map(tuple, components.components(e).collect()))
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_keyfilter_never_misses(spark):
+    rows = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    keys = rows.where("id % 97 = 0").select(F.col("h").alias("k"))
+    got = keyfilter.may_match(rows, F.col("h"), keys, F.col("k"))
+    assert got.where("id % 97 = 0 AND NOT _may").count() == 0
+    assert got.where("_may").count() < 1000 and got.count() == 5000
+
+
+# ---- sentence spans
+
+
+def brute_cut(rows):
+    def sentences(t):
+        out = []
+        for q in re.split(r"(?<=\n)|(?<=[.!?])(?=[ \t\n\r]|\Z)", t):
+            w = tuple(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), q)))
+            if w:
+                out.append([q, w])
+            elif out:
+                out[-1][0] += q
+            elif q:
+                out.append([q, None])
+        if len(out) > 1 and out[0][1] is None:
+            out[1][0] = out[0][0] + out[1][0]
+            out.pop(0)
+        return [x for x in out if x[1]]
+
+    parts, first = [(i, t, sentences(t or "")) for i, t in rows], {}
+
+    def spans(s):
+        for a in range(len(s)):
+            for k in (1, 2, 3):
+                if a + k <= len(s) and sum(len(x[1]) for x in s[a : a + k]) >= (8 if k == 3 else 24):
+                    yield a, k, (k, tuple(x[1] for x in s[a : a + k]))
+
+    rank = lambda i: (i is not None, i or 0)
+    for i, _, s in sorted(parts, key=lambda x: rank(x[0])):
+        for a, _, key in spans(s):
+            first.setdefault(key, (i, a))
+    out = []
+    for i, t, s in parts:
+        gone = {x for a, k, key in spans(s) if first[key] != (i, a) for x in range(a, a + k)}
+        out.append((i, len(s), len(gone), "".join(x[0] for j, x in enumerate(s) if j not in gone) if s else t))
+    return out
+
+
+@pytest.mark.parametrize(("which", "flush"), [("sf", 1_000_000), ("odd", 1_000_000), ("sf", 50)])
+def test_spans_brute(spark, which, flush):
+    df = sf(spark).select("doc_id", "text") if which == "sf" else docs(spark, ODD)
+    got = [(r["doc_id"], r["_cut"]["n_sentences"], r["_cut"]["n_removed"], r["_cut"]["clean_text"]) for r in spandedup.with_cuts(df, flush=flush).collect()]
+    assert sorted(got, key=repr) == sorted(brute_cut([(r["doc_id"], r["text"]) for r in df.collect()]), key=repr)
+
+
+def test_spans_passage(spark):
+    passage = "A passage opens here with its own words. It goes on with more of them. Then it names a third thing entirely. And at last it closes the matter for good."
+    rows = [(1, f"Unique start one. {passage} Unique end one.", "en", "a"), (2, f"Other start two.\n{passage.upper()}\nOther end two.", "en", "a"), (3, "Nothing shared in this text. Not at all, ever. Truly not a bit.", "en", "a")]
+    got = {r["doc_id"]: r["_cut"] for r in spandedup.with_cuts(docs(spark, rows)).collect()}
+    assert got[1]["n_removed"] == 0 and got[3]["n_removed"] == 0
+    assert got[2]["n_removed"] == 4 and got[2]["clean_text"].split() == ["Other", "start", "two.", "Other", "end", "two."]
+    a, b = map(int, got[2]["removed"].split(":"))
+    assert rows[1][1][:a] + rows[1][1][b:] == got[2]["clean_text"]
+
+
+# ---- decontamination
+
+
+def brute_hits(rows, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    win = {}
+    for i, t in items:
+        w = words(t)
+        n = min(8, len(w))
+        for k in range(len(w) - n + 1 if w and i is not None else 0):
+            win.setdefault(n, {}).setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = []
+    for i, t in rows:
+        w, hit, who = words(t), set(), set()
+        for n, known in win.items():
+            for k in range(len(w) - n + 1):
+                if found := known.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    who |= found
+        out.append((i, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), len(who) >= 2))
+    return out
+
+
+ITEMS = [(1, LOREM), (2, "one"), (2, "closely with more words"), (3, None), (4, ""), (None, "word word"), (10, "The third closes the passage for all of us"), (11, "a b c d e f g h i")]
+
+
+@pytest.mark.parametrize("slice_words", [1_000_000, 20])
+def test_decontaminate_brute(spark, slice_words):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.with_hits(docs(spark, ODD), bench, slice_words=slice_words).select("doc_id", "_hits.*").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_hits([(i, t) for i, t, *_ in ODD], ITEMS), key=repr)
+
+
+def test_decontaminate_documents(spark):
+    got = sorted(map(tuple, registry.QUERIES["op8_decontaminate"](spark, SF).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()))
+    pick = lambda name: [(r[0], r["text"]) for r in sf(spark, name).collect()]
+    assert got == sorted(brute_hits(pick("documents"), pick("benchmark")))
+
+
+def test_decontaminate_nothing(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.with_hits(docs(spark, ODD), bench).where("_hits.n_hit > 0").count() == 0
+    assert decontaminate.clean(docs(spark, []), bench).count() == 0
+
+
+def test_winnowing_keeps_a_fingerprint_of_every_window():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        h = rng.integers(0, 6, 60).astype(np.uint64)
+        g = decontaminate.run_hashes(h, 5)
+        kept = set(decontaminate.winnow(g, 4).tolist())
+        assert all(any(i <= k <= i + 3 for k in kept) for i in range(len(g) - 3))
+
+
+# ---- mixing
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, open_, out = sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > 3 * sizes[s]]
+        if not over:
+            out |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            out[s] = 3 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out
+
+
+@pytest.mark.parametrize(("which", "shard"), [("sf", 2_000_000), ("sf", 500), ("odd", 2_000_000)])
+def test_mix(spark, which, shard):
+    df = sf(spark) if which == "sf" else docs(spark, ODD)
+    got = mixing.mix(df, shard_words=shard).collect()
+    assert len(got) == df.count()
+    size = {}
+    for r in got:
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    want = plain_targets(size)
+    for s in size:
+        rows = [r for r in got if r["source"] == s]
+        assert {r["source_size"] for r in rows} == {size[s]}
+        assert rows[0]["target"] == pytest.approx(want[s])
+        assert abs(sum(r["taken"] for r in rows) - want[s]) <= 64 * (1 + len(rows) // 50) + 64
+    again = mixing.mix(df.repartition(3), shard_words=shard).collect()
+    key = lambda rs: sorted((str(r["doc_id"]), r["text_hash"], r["taken"]) for r in rs)
+    assert key(got) == key(again)
+
+
+def test_mix_documents(spark):
+    m = mixing.mixed_documents(sf(spark))
+    assert m.columns == sf(spark).columns
+    words = {r["source"]: r["n"] for r in m.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()}
+    taken = {r["source"]: r["n"] for r in mixing.mix(sf(spark)).groupBy("source").agg(F.sum("taken").alias("n")).collect() if r["n"]}
+    assert words == taken
+    assert mixing.mixed_documents(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_apportion_is_highest_quotients(spark):
+    votes = {"a": 530.0, "b": 240.0, "c": 230.0, "d": 0.0}
+    df = spark.createDataFrame(list(votes.items()), "k string, v double").withColumn("n", F.lit(37).cast("long"))
+    got = {r["k"]: r["q"] for r in mixing.apportion(df, [], "k", "v", "n", "q").collect()}
+    quotients = sorted(((v / (2 * i + 1), k) for k, v in votes.items() for i in range(60)), key=lambda x: (-x[0], x[1]))
+    want = {k: sum(x[1] == k for x in quotients[:37]) for k in votes}
+    assert got == want
+
+
+def test_mix_is_native(spark):
+    plan = mixing.mix(sf(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
