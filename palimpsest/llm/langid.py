@@ -27,6 +27,8 @@ from palimpsest.llm.textkernel import chunks
 from palimpsest.runtime import ship
 
 ORDERS = (1, 2, 3)
+#: Characters whose n-grams are held at once; a longer text stands alone.
+CHARS = 1 << 17
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 20_000
 #: The broadcast matrix may take so many bytes; more languages get fewer buckets.
@@ -81,7 +83,7 @@ def _counter(languages: list[str], buckets: int):
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
-                for lo, hi in chunks(texts):
+                for lo, hi in chunks(texts, CHARS):
                     table[index[lang]] += np.bincount(features(texts[lo:hi], buckets)[0], minlength=buckets)
         i, b = np.nonzero(table)
         yield pd.DataFrame({"i": i.astype("int32"), "b": b.astype("int32"), "n": table[i, b]})
@@ -100,9 +102,9 @@ class Model:
         if not self.languages:
             return names, scores
         buckets = self.logp.shape[0]
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, CHARS):
             h, owner, letters = features(texts[lo:hi], buckets)
-            total = np.stack([np.bincount(owner, weights=self.logp[:, j][h], minlength=hi - lo) for j in range(len(self.languages))], 1)
+            total = np.stack([np.bincount(owner, weights=self.logp[:, j][h], minlength=hi - lo) for j in range(len(self.languages))], 1).astype(np.float64)
             grams = np.maximum(np.bincount(owner, minlength=hi - lo), 1)
             # n-grams overlap, so their sum overstates the evidence: count one n-gram of each order and place as one.
             total /= np.minimum(len(ORDERS), grams)[:, None]

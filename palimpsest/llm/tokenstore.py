@@ -36,7 +36,7 @@ from palimpsest.runtime import discard, save, scratch_path, ship
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-CACHE = 1_000_000
+CACHE = 400_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _BLANK = re.compile(r"[ \n]+")
