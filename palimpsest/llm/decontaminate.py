@@ -20,12 +20,14 @@ items that repeat an item_id count once; a null item_id stands for no item. Repe
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, run_hashes
 from palimpsest.runtime import save, ship
 
@@ -164,41 +166,50 @@ def scan_udf(spark, index: Index, min_items: int):
     return scan
 
 
-def spans_udf(spark, index: Index):
-    shared = spark.sparkContext.broadcast(index)
+def finds(docs: DataFrame, part: DataFrame, text: str) -> DataFrame:
+    """doc_id and text hash of the documents that this slice hits, with ranges and items: few rows, written down so that
+    only one slice is in memory at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(_load(part))
 
-    @F.pandas_udf("n_words long, ranges array<struct<a:long,b:long>>, items array<string>")
+    @F.pandas_udf("ranges array<struct<a:long,b:long>>, items array<string>")
     def scan(s: pd.Series) -> pd.DataFrame:
         index = shared.value
-        rows = [(n, [{"a": a, "b": b} for a, b in r], [index.items[i] for i in who]) for n, r, who in index.scan(s.tolist())]
-        return pd.DataFrame(rows, columns=["n_words", "ranges", "items"])
+        rows = [([{"a": a, "b": b} for a, b in r], [index.items[i] for i in who]) for _, r, who in index.scan(s.tolist())]
+        return pd.DataFrame(rows, columns=["ranges", "items"])
 
-    return scan
+    keyed = docs.select(F.col("doc_id").alias("_d"), F.xxhash64(text).alias("_t"), scan(F.col(text)).alias("f"))
+    out = save(keyed.where(F.size("f.items") > 0).select("_d", "_t", "f.ranges", "f.items"), "decon-finds")
+    shared.unpersist()
+    return out
 
 
 def merge_udf(min_items: int):
     @F.pandas_udf(RESULT)
-    def together(n: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = [verdict(int(k), merge([(x["a"], x["b"]) for x in rs]), list(its), min_items) for k, rs, its in zip(n, ranges, items, strict=True)]
+    def together(text: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
+        texts = text.tolist()
+        n = [int(k) for lo, hi in chunks(texts) for k in Words(texts[lo:hi]).counts()]
+        some = lambda x: [] if x is None else list(x)
+        rows = [verdict(k, merge([(x["a"], x["b"]) for x in some(rs)]), some(its), min_items) for k, rs, its in zip(n, ranges, items, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return together
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, slice_words: int = SLICE_WORDS, text: str = "text", to: str = "_hits") -> DataFrame:
-    """docs and a struct column `to` with what RESULT names. No shuffle while the benchmark fits into one slice."""
+    """docs and a struct column `to` with what RESULT names. No shuffle while the benchmark fits into one slice; beyond
+    that one pass a slice, and a join of the rows that were hit with what hit them."""
     spark = docs.sparkSession
     ship(spark)
     parts = slices(benchmark, slice_words)
     if len(parts) == 1:
         return docs.withColumn(to, scan_udf(spark, _load(parts[0]), min_items)(F.col(text)))
-    # Each slice adds its finds to the row itself, so rows need no key and no join.
-    out, found = docs, []
-    for k, part in enumerate(parts):
-        out = out.withColumn(f"{to}_{k}", spans_udf(spark, _load(part))(F.col(text)))
-        found.append(f"{to}_{k}")
-    n = F.col(f"{found[0]}.n_words")
-    return out.withColumn(to, merge_udf(min_items)(n, F.concat(*[F.col(f"{c}.ranges") for c in found]), F.concat(*[F.col(f"{c}.items") for c in found]))).drop(*found)
+    found = reduce(DataFrame.unionByName, [finds(docs, p, text) for p in parts])
+    found = save(found.groupBy("_d", "_t").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.flatten(F.collect_list("items")).alias("_items")), "decon-merged")
+    some = may_match(docs, F.xxhash64("doc_id", F.xxhash64(text)), found, F.xxhash64("_d", "_t"))
+    joined = some.where("_may").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_d", "_t")
+    bare = some.where("NOT _may").withColumn("_ranges", F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    out = joined.unionByName(bare)
+    return out.withColumn(to, merge_udf(min_items)(F.col(text), F.col("_ranges"), F.col("_items"))).drop("_ranges", "_items", "_may")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
