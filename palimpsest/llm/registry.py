@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, decontaminate, jaccard, langid, mixing, pii, spandedup, tokenstore, topk, toxicity
+from palimpsest.llm import chat, decontaminate, jaccard, langid, mixing, pii, spandedup, sql, tokenstore, topk, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mix_sources": mixing.query,
 }
 
-ORACLES: dict[str, str] = {"op9_top_k": topk.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": sql.JACCARD, "op8_decontaminate": sql.DECONTAMINATE, "op9_top_k": topk.ORACLE_SQL}
