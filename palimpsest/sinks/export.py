@@ -166,10 +166,9 @@ def _json_block(fused: bool) -> Column:
 
 def json_documents(fused: DataFrame, blocks: DataFrame | None = None, width: int = 1000, height: int = 1400) -> DataFrame:
     """document.json: pages with class, blocks and size; with blocks, also each page's two tracks under debug."""
-    listed = lambda df, order, f: df.select(*PAGE, F.col(order).alias("n"), _json_block(f).alias("j"))
     arr = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["j"]), ","), F.lit("]"))
-    cls = fused.groupBy(*PAGE).agg(F.first("class").alias("class"))
-    pages = listed(fused, "pos", True).groupBy(*PAGE).agg(arr(F.struct("n", "j")).alias("blocks")).join(cls, PAGE)
+    listed = fused.select(*PAGE, "class", F.col("pos").alias("n"), _json_block(True).alias("j"))
+    pages = listed.groupBy(*PAGE).agg(arr(F.struct("n", "j")).alias("blocks"), F.max("class").alias("class"))
     debug = F.lit("")
     if blocks is not None:
         side = lambda t: arr(F.when(F.col("track") == t, F.struct("n", "j")))
