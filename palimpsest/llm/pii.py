@@ -3,8 +3,9 @@
 Base kinds, leftmost and not overlapping within a kind; a match that fails its rule is dropped and not tried again:
 email; ip (four parts, each at most 255); card (16 to 19 digits, Luhn); phone (+, 8 to 15 digits). Base spans stay
 whatever their score. Further kinds need a score of `threshold`: iban (country's length, mod-97), ssn (3-2-4 digits with
-valid parts), key (access-key ids), secret (a long value assigned to a name such as password or token), card13 (13 to
-15 digits with a known issuer prefix and Luhn). A candidate starts at its kind's score, gains for a checksum and for a
+valid parts), tel (3-3-4 digits), card13 (13 to 15 digits with a known issuer prefix and Luhn). Credentials aren't
+personal data and are looked for on request only: key (access-key ids), secret (a long value assigned to a name such as
+password or token). A candidate starts at its kind's score, gains for a checksum and for a
 context word of its kind within `reach` characters, and loses for a word that speaks against it (version, order, ISBN).
 
 Patterns are written so that a failing start is left at once: starts inside a run of the same class are ruled out by a
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from palimpsest.runtime import ship
 
 BASE = ("email", "ip", "card", "phone")
-MORE = ("card13", "iban", "key", "secret", "ssn")
-KINDS = BASE + MORE
+MORE = ("card13", "iban", "ssn", "tel")
+CREDENTIALS = ("key", "secret")
+KINDS = BASE + MORE + CREDENTIALS
 
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_TEL = re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9]|[.-][0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|secret|token|api[_-]?key)[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9+/_-]{12,}+)")
 
@@ -53,11 +56,12 @@ FOR = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "tel": ("phone", "call", "tel", "mobile", "fax", "cell"),
     "key": ("key", "access", "aws"),
     "secret": ("secret", "login", "credential"),
 }
 AGAINST = ("version", "isbn", "issn", "order", "invoice", "serial", "part")
-START = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "card13": 0.3, "iban": 0.4, "key": 0.8, "secret": 0.8, "ssn": 0.4}
+START = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "card13": 0.3, "iban": 0.4, "key": 0.8, "secret": 0.8, "ssn": 0.4, "tel": 0.4}
 CHECKED = {"card": 0.4, "card13": 0.3, "iban": 0.5}
 GAIN, LOSS, REACH, THRESHOLD = 0.3, 0.3, 40, 0.7
 
@@ -116,7 +120,7 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 _FIRST_DIGIT = re.compile("[0-9]")
 
 
-def more_candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
+def more_candidates(text: str, credentials: bool = False) -> Iterator[tuple[str, int, int, bool]]:
     """kind, start, end, whether a checksum confirmed it; candidates that their rule refutes don't come."""
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 15 and luhn(d) and (d[:2] in ("34", "37", "36", "38") or d[0] == "4"):
@@ -135,6 +139,10 @@ def more_candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
             a, b, c = m[0].split("-")
             if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
                 yield "ssn", m.start(), m.end(), False
+    for m in _TEL.finditer(text):
+        yield "tel", m.start(), m.end(), False
+    if not credentials:
+        return
     for m in _KEY.finditer(text):
         yield "key", m.start(), m.end(), False
     if "=" in text or ":" in text:
@@ -149,14 +157,14 @@ def score(text: str, kind: str, a: int, b: int, checked: bool, reach: int = REAC
     return round(max(0.0, min(1.0, s + GAIN * bool(near & set(FOR[kind])) - LOSS * bool(near & set(AGAINST)))), 4)
 
 
-def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+def find(text: str | None, threshold: float = THRESHOLD, credentials: bool = False) -> list[tuple[str, int, int, float]]:
     """kind, start, end, score; by kind as listed, then start."""
     if not text:
         return []
     out = [(k, a, b, score(text, k, a, b, k == "card")) for k, a, b in base_spans(text)]
     if _FIRST_DIGIT.search(text):
         taken = [(a, b) for _, a, b, _ in out]
-        for k, a, b, ok in more_candidates(text):
+        for k, a, b, ok in more_candidates(text, credentials):
             s = score(text, k, a, b, ok)
             if s >= threshold and not any(a < y and x < b for x, y in taken):
                 out.append((k, a, b, s))
@@ -166,18 +174,18 @@ def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def with_spans(docs: DataFrame, text: str = "text", to: str = "pii", threshold: float = THRESHOLD) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", to: str = "pii", threshold: float = THRESHOLD, credentials: bool = False) -> DataFrame:
     """docs and a column `to` of all spans. No shuffle."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
     def spans(s: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "end": b, "score": x} for k, a, b, x in find(t, threshold)] for t in s])
+        return pd.Series([[{"kind": k, "start": a, "end": b, "score": x} for k, a, b, x in find(t, threshold, credentials)] for t in s])
 
     return docs.withColumn(to, spans(F.col(text)))
 
 
-def redact(docs: DataFrame, text: str = "text", to: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", to: str = "text", credentials: bool = False) -> DataFrame:
     """docs with spans replaced by [KIND]; of spans that overlap the first, then the longest, names the whole stretch."""
     ship(docs.sparkSession)
 
@@ -185,7 +193,7 @@ def redact(docs: DataFrame, text: str = "text", to: str = "text") -> DataFrame:
     def cut(s: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             out, at = [], 0
-            for k, a, b, _ in sorted(find(t), key=lambda x: (x[1], -x[2])):
+            for k, a, b, _ in sorted(find(t, credentials=credentials), key=lambda x: (x[1], -x[2])):
                 if a >= at:
                     out += [t[at:a], f"[{k.upper()}]"]
                 at = max(at, b)

@@ -10,8 +10,8 @@ In a block each id is replaced by its rank (0: most frequent). Four ranks share
 bits first: the number of data bytes less 1. Data bytes are little-endian. Ranks below 256 take one byte. Decoding looks
 the control byte up in a table of four lengths, sums them to offsets and gathers the bytes, all in numpy.
 
-Two passes: documents are tokenized once and their ids written to a scratch table; counts (one row per id, so bounded by
-the vocabulary) give the ranks; then ids are ranged by doc_id, sorted and coded. A task holds one block at a time.
+Two passes: documents are tokenized once and their ids written to a scratch table, with each task's counts by id; these
+(bounded by the vocabulary) give the ranks; then ids are ranged by doc_id, sorted and coded. A task holds one block at a time.
 
 Encoding follows the tokenizers library exactly. White space never belongs to a token of this tokenizer, so a text's ids
 are those of its pieces between blanks, and a bounded cache of pieces spares most calls.
@@ -23,6 +23,7 @@ ordered by length and then by their ids; null doc_ids come first; an empty table
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from palimpsest.runtime import discard, save, scratch_path, ship
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-CACHE = 400_000
+CACHE = 300_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _BLANK = re.compile(r"[ \n]+")
@@ -44,14 +45,17 @@ _BLANK = re.compile(r"[ \n]+")
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Ranks (below 2**32) -> control bytes, data bytes."""
-    r = ranks.astype("<u4")
-    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
+    wide = len(ranks) and int(ranks.max()) > 0xFFFF
+    r = np.ascontiguousarray(ranks, "<u4" if wide else "<u2")
+    more = (r > 0xFF).view(np.uint8)
+    if wide:
+        more = more + (r > 0xFFFF) + (r > 0xFFFFFF)
     two = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    two[: len(r)] = size - 1
+    two[: len(r)] = more
     two = two.reshape(-1, 4)
     control = two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
-    octets = r.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4, dtype=np.uint8) < size[:, None]].tobytes()
+    octets = r.view(np.uint8).reshape(-1, r.itemsize)
+    return control.tobytes(), octets[np.arange(r.itemsize, dtype=np.uint8) <= more[:, None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -85,13 +89,17 @@ class _Pieces(dict):
                 # Letters and the marks after them are split by the tokenizer too.
                 ids = self[word] + self[p[len(word) :]]
             else:
-                ids = np.array([t.id for t in self.model.tokenize(p.translate(self.letters))], "<u4").tobytes()
+                ids = _bytes([t.id for t in self.model.tokenize(p.translate(self.letters))])
         else:
-            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = _bytes(self.tokenizer.encode(p, add_special_tokens=False).ids)
         self[p] = ids
         return ids
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _MARKS = "!#$%&*.,:;?()-"
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -124,7 +132,11 @@ class Encoder:
         out = []
         for t in texts:
             if len(self.cache) > CACHE:
-                self.cache.clear()
+                # Common words are short: drop the long ones first.
+                for p in [p for p in self.cache if len(p) > 7]:
+                    del self.cache[p]
+                if len(self.cache) > CACHE // 2:
+                    self.cache.clear()
             out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, self.pieces(t))) if t else b"", "<u4"))
         return out
 
@@ -139,43 +151,49 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, end id last), n_tokens, crc32 of ids."""
+    """doc_id, ids (packed, end id last), n (ids), crc (of the ids as little-endian unsigned 32-bit). Each task ends with
+    rows of its id counts: n is -1, ids holds the ids and hist their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end, total = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
                 ids = [x.tobytes() + end for x in enc.encode(part.column(1).to_pylist())]
-                narrow = [np.frombuffer(x, "<u4") for x in ids]
-                # Most vocabularies fit 16 bits; a wide id is kept as two units under a mark of its own.
+                c = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                if len(c) > len(total):
+                    c[: len(total)] += total
+                    total = c
+                else:
+                    total[: len(c)] += c
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([_shrink(x) for x in narrow], pa.binary()), pa.array([len(x) for x in narrow], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                    names=["doc_id", "ids", "n", "crc"],
+                    [part.column(0).cast(pa.int64()), pa.array([_shrink(np.frombuffer(x, "<u4")) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())],
+                    names=["doc_id", "ids", "n", "crc", "hist"],
                 )
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())], names=["doc_id", "ids", "n", "crc", "hist"]
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, crc long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, crc long, hist binary")
 
 
 def _shrink(x: np.ndarray) -> bytes:
     return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\x04" + x.tobytes()
 
 
-def _grow(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u2" if b[0] == 2 else "<u4", offset=1)
+def _grown(parts: list[bytes]) -> np.ndarray:
+    """The ids of some packed documents, one after the other."""
+    if all(b[0] == 2 for b in parts):
+        return np.frombuffer(b"".join([b[1:] for b in parts]), "<u2")
+    return np.concatenate([np.frombuffer(b, "<u2" if b[0] == 2 else "<u4", offset=1) for b in parts])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for b in batches:
-        for x in b.column(0):
-            ids = _grow(x.as_py())
-            c = np.bincount(ids)
-            if len(c) > len(total):
-                total = np.concatenate((total, np.zeros(len(c) - len(total), np.int64)))
-            total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        for x, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4").astype(np.int64)), pa.array(np.frombuffer(c, "<i8"))], names=["id", "n"])
 
 
 def _coder(shared):
@@ -187,7 +205,7 @@ def _coder(shared):
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, lengths, held, size, block
-            control, data = pack(np.concatenate(held))
+            control, data = pack(rank_of[_grown(held)])
             out = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["shard", "block", "doc_ids", "lengths", "n_ids", "control", "data"],
@@ -197,11 +215,12 @@ def _coder(shared):
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = _grow(x.as_py())
+                raw = x.as_py()
+                n = (len(raw) - 1) // raw[0]
                 docs.append(d)
-                lengths.append(len(ids))
-                held.append(rank_of[ids])
-                size += len(ids)
+                lengths.append(n)
+                held.append(raw)
+                size += n
                 if size >= BLOCK_IDS:
                     yield flush()
         if docs:
@@ -218,15 +237,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     spark = docs.sparkSession
     ship(spark)
     ids = save(tokenize(docs, tokenizer, end_id), "token-ids", "zstd")
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.where("n < 0").select("ids", "hist").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per id of the vocabulary.
     ranked = counts.orderBy(F.desc("n"), "id").toPandas()
     by_rank = ranked["id"].to_numpy(np.int64)
-    rank_of = np.zeros(by_rank.max() + 1 if len(by_rank) else 1, np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    rank_of = np.zeros(by_rank.max() + 1 if len(by_rank) else 1, np.uint32 if len(by_rank) > 1 << 16 else np.uint16)
+    rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "crc", "ids")
+    ordered = ids.where("n >= 0").drop("hist").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "crc", "ids")
     ordered.select("doc_id", "ids").mapInArrow(_coder(spark.sparkContext.broadcast(rank_of)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(ids)
 
