@@ -17,7 +17,7 @@ Encoding follows the tokenizers library exactly. White space never belongs to a
 are those of its pieces between blanks, and a bounded cache of pieces spares most calls.
 
 Defined cases: null text is empty, which gives the end id alone; rows that repeat a doc_id are documents of their own,
-ordered by length and then by their ids; null doc_ids come first; an empty table gives an empty store.
+ordered by their number of ids and then by these; null doc_ids come first; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -78,26 +78,25 @@ class _Pieces(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        # Ids as 16 bits where the vocabulary allows.
+        self.unit = "H" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         # A Latin-1 letter as the tokenizer's own byte-level step writes it, to hand plain words to the model directly.
         seen = {chr(c): tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)) for c in range(256) if chr(c).isalpha()}
         self.letters = str.maketrans({c: x[0][0] for c, x in seen.items()}) if all(len(x) == 1 for x in seen.values()) else None
 
     def __missing__(self, p: str) -> bytes:
-        word = p.rstrip(_MARKS)
-        if word and self.letters and word.isalpha() and word.islower() and max(word) < "\u0100":
-            if len(word) < len(p):
-                # Letters and the marks after them are split by the tokenizer too.
-                ids = self[word] + self[p[len(word) :]]
-            else:
-                ids = _bytes([t.id for t in self.model.tokenize(p.translate(self.letters))])
+        plain = p.isalpha() and self._latin(p)
+        if not plain and self._latin(word := p.rstrip(_MARKS)) and word.isalpha():
+            # Letters and the marks after them are split by the tokenizer too.
+            ids = self[word] + self[p[len(word) :]]
         else:
-            ids = _bytes(self.tokenizer.encode(p, add_special_tokens=False).ids)
+            got = [t.id for t in self.model.tokenize(p.translate(self.letters))] if plain else self.tokenizer.encode(p, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(got)}{self.unit}", *got)
         self[p] = ids
         return ids
 
-
-def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def _latin(self, p: str) -> bool:
+        return bool(self.letters) and p.islower() and (p.isascii() or max(p) < "\u0100")
 
 
 _MARKS = "!#$%&*.,:;?()-"
@@ -129,6 +128,15 @@ class Encoder:
         return text.lower().split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids by text."""
+        return [np.frombuffer(x, f"<u{self.width}") for x in self.encode_bytes(texts)]
+
+    @property
+    def width(self) -> int:
+        """Bytes of an id in encode_bytes."""
+        return 2 if self.cache.unit == "H" else 4
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for t in texts:
             if len(self.cache) > CACHE:
@@ -137,7 +145,7 @@ class Encoder:
                     del self.cache[p]
                 if len(self.cache) > CACHE // 2:
                     self.cache.clear()
-            out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, self.pieces(t))) if t else b"", "<u4"))
+            out.append(b"".join(map(self.cache.__getitem__, self.pieces(t))) if t else b"")
         return out
 
 
@@ -150,50 +158,51 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+IDS = "doc_id long, ids binary, n long, hist binary"
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (packed, end id last), n (ids), crc (of the ids as little-endian unsigned 32-bit). Each task ends with
-    rows of its id counts: n is -1, ids holds the ids and hist their counts."""
+    """doc_id, ids (a byte with the bytes of an id, then the ids, end id last) and n, their number. Each task ends with a
+    row of its id counts: n is -1 and hist holds ids and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, total = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        enc, total = encoder(tokenizer), np.zeros(0, np.int64)
+        w = enc.width
+        if end_id >= 1 << (8 * w):
+            raise ValueError("the end id doesn't fit the vocabulary's width")
+        head, end = bytes([w]), end_id.to_bytes(w, "little")
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                ids = [x.tobytes() + end for x in enc.encode(part.column(1).to_pylist())]
-                c = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                ids = [x + end for x in enc.encode_bytes(part.column(1).to_pylist())]
+                c = np.bincount(np.frombuffer(b"".join(ids), f"<u{w}"))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
                 else:
                     total[: len(c)] += c
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([_shrink(np.frombuffer(x, "<u4")) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())],
-                    names=["doc_id", "ids", "n", "crc", "hist"],
+                    [part.column(0).cast(pa.int64()), pa.array([head + x for x in ids], pa.binary()), pa.array([len(x) // w for x in ids], pa.int64()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "ids", "n", "hist"]
                 )
         at = np.flatnonzero(total)
         if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())], names=["doc_id", "ids", "n", "crc", "hist"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, crc long, hist binary")
-
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int64()), pa.array([np.stack([at, total[at]]).astype("<i8").tobytes()], pa.binary())], names=["doc_id", "ids", "n", "hist"])
 
-def _shrink(x: np.ndarray) -> bytes:
-    return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\x04" + x.tobytes()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, IDS)
 
 
 def _grown(parts: list[bytes]) -> np.ndarray:
     """The ids of some packed documents, one after the other."""
     if all(b[0] == 2 for b in parts):
         return np.frombuffer(b"".join([b[1:] for b in parts]), "<u2")
-    return np.concatenate([np.frombuffer(b, "<u2" if b[0] == 2 else "<u4", offset=1) for b in parts])
+    return np.concatenate([np.frombuffer(b, f"<u{b[0]}", offset=1) for b in parts])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for x, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4").astype(np.int64)), pa.array(np.frombuffer(c, "<i8"))], names=["id", "n"])
+        for x in b.column(0).to_pylist():
+            at, n = np.frombuffer(x, "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["id", "n"])
 
 
 def _coder(shared):
@@ -237,7 +246,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     spark = docs.sparkSession
     ship(spark)
     ids = save(tokenize(docs, tokenizer, end_id), "token-ids", "zstd")
-    counts = ids.where("n < 0").select("ids", "hist").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.where("hist IS NOT NULL").select("hist").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per id of the vocabulary.
     ranked = counts.orderBy(F.desc("n"), "id").toPandas()
     by_rank = ranked["id"].to_numpy(np.int64)
@@ -245,7 +254,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.where("n >= 0").drop("hist").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "crc", "ids")
+    ordered = ids.where("n >= 0").drop("hist").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
     ordered.select("doc_id", "ids").mapInArrow(_coder(spark.sparkContext.broadcast(rank_of)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(ids)
 

@@ -102,7 +102,7 @@ def token_rows(spark, df):
 
     lib = Tokenizer.from_file(tokenstore.default_tokenizer())
     ids = [(r["doc_id"], lib.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in df.select("doc_id", "text").collect()]
-    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), zlib.crc32(np.array(x[1], "<u4").tobytes())))
+    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), np.array(x[1], "<u2").tobytes()))
     start, out = 0, []
     for i, x in ids:
         out.append((i, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
