@@ -1,6 +1,7 @@
 """Two deterministic tracks derived from `documents` by integer arithmetic: blocks with boxes, kinds and text.
 
-A document's lines (printable ASCII, 200 characters at most, as a block holds one visual line) fall on pages of 20; each
+A document's lines (printable ASCII; a longer one goes on in further visual lines of at most 200 characters, broken after
+a blank where there is one, so that no character is lost) fall on pages of 20; each
 track keeps its own part of them, with its own faults, so that every rule of the fusion meets cases: digital, scanned and
 hybrid pages, full-page parser blocks, noise, near duplicates, kinds that differ.
 """
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.schema import one_line
 
-LINES_A_PAGE, LINE_CHARS, PAGE_CHARS = 20, 200, 400
+LINES_A_PAGE, LINE_WIDTH = 20, 200
+#: Consecutive matches make up the whole line: its rest if that fits, else up to the last blank that fits, else a full width.
+WRAP = f".{{1,{LINE_WIDTH}}}$|.{{0,{LINE_WIDTH - 1}}} |.{{{LINE_WIDTH}}}"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (not empty), page_idx, k (place on the page)."""
-    out = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    out = out.withColumn("line", F.substring(F.regexp_replace("line", "[^ -~]", ""), 1, LINE_CHARS)).where("line <> ''")
+    """doc_id, line_no (visual lines, from 0), line (not empty), page_idx, k (place on the page)."""
+    clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "[^ -~]", ""))
+    visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(WRAP), F.lit(0)))))
+    out = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
     return out.withColumn("page_idx", F.expr(f"line_no div {LINES_A_PAGE}").cast("int")).withColumn("k", F.col("line_no") % LINES_A_PAGE)
 
 
@@ -56,7 +60,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     whole = (
         at.where("doc_id % 5 = 0")
         .groupBy("doc_id", "page_idx")
-        .agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " "), 1, PAGE_CHARS).alias("all"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("all"))
     )
     page = rows(whole, "parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("all"))
     both = parser.unionByName(ocr).unionByName(noise).unionByName(twice).unionByName(page)
