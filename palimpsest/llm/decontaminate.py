@@ -13,6 +13,10 @@ The items' index is broadcast, up to `slice_words` item words at once (about 200
 read in slices of that size and what the slices found is merged by document, so the bound never drops an item. One item
 longer than a slice forms a slice alone.
 
+clean() drops by a rule of its own, not by the two items that `contaminated` asks for: a document goes if N words in a row
+are hit, so one window of one item of N words or more is enough, or if two items are hit. One item of fewer words, which
+may be a common phrase, doesn't decide alone.
+
 Defined cases: a null or empty text has no words, no hits and isn't contaminated; null or empty items have no windows;
 items that repeat an item_id count once; a null item_id stands for no item. Repeated documents each get their row.
 """
@@ -133,10 +137,11 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def verdict(n_words: int, ranges: list[tuple[int, int]], items: list[str], min_items: int) -> tuple:
+def verdict(n_words: int, ranges: list[tuple[int, int]], items: list[str], min_items: int, min_run: int | None = None) -> tuple:
     names = sorted(set(items))
     digest = hashlib.sha256(",".join(names).encode()).hexdigest() if names else _EMPTY
-    return n_words, sum(b - a for a, b in ranges), len(names), digest, len(names) >= min_items
+    run = min_run is not None and any(b - a >= min_run for a, b in ranges)
+    return n_words, sum(b - a for a, b in ranges), len(names), digest, run or len(names) >= min_items
 
 
 def slices(benchmark: DataFrame, slice_words: int):
@@ -154,13 +159,13 @@ def _load(part: DataFrame) -> Index:
     return Index([(r["item"], r["text"]) for r in part.toLocalIterator()])
 
 
-def scan_udf(spark, index: Index, min_items: int):
+def scan_udf(spark, index: Index, min_items: int, min_run: int | None):
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf(RESULT)
     def scan(s: pd.Series) -> pd.DataFrame:
         index = shared.value
-        rows = [verdict(n, r, [index.items[i] for i in who], min_items) for n, r, who in index.scan(s.tolist())]
+        rows = [verdict(n, r, [index.items[i] for i in who], min_items, min_run) for n, r, who in index.scan(s.tolist())]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return scan
@@ -183,38 +188,39 @@ def finds(docs: DataFrame, part: DataFrame, text: str) -> DataFrame:
     return out
 
 
-def merge_udf(min_items: int):
+def merge_udf(min_items: int, min_run: int | None):
     @F.pandas_udf(RESULT)
     def together(text: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
         texts = text.tolist()
         n = [int(k) for lo, hi in chunks(texts) for k in Words(texts[lo:hi]).counts()]
         some = lambda x: [] if x is None else list(x)
-        rows = [verdict(k, merge([(x["a"], x["b"]) for x in some(rs)]), some(its), min_items) for k, rs, its in zip(n, ranges, items, strict=True)]
+        rows = [verdict(k, merge([(x["a"], x["b"]) for x in some(rs)]), some(its), min_items, min_run) for k, rs, its in zip(n, ranges, items, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return together
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, slice_words: int = SLICE_WORDS, text: str = "text", to: str = "_hits") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, min_run: int | None = None, slice_words: int = SLICE_WORDS, text: str = "text", to: str = "_hits") -> DataFrame:
     """docs and a struct column `to` with what RESULT names. No shuffle while the benchmark fits into one slice; beyond
-    that one pass a slice, and a join of the rows that were hit with what hit them."""
+    that one pass a slice, and a join of the rows that were hit with what hit them. contaminated: min_items items are hit, or
+    min_run words in a row."""
     spark = docs.sparkSession
     ship(spark)
     parts = slices(benchmark, slice_words)
     if len(parts) == 1:
-        return docs.withColumn(to, scan_udf(spark, _load(parts[0]), min_items)(F.col(text)))
+        return docs.withColumn(to, scan_udf(spark, _load(parts[0]), min_items, min_run)(F.col(text)))
     found = reduce(DataFrame.unionByName, [finds(docs, p, text) for p in parts])
     found = save(found.groupBy("_d", "_t").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.flatten(F.collect_list("items")).alias("_items")), "decon-merged")
     some = may_match(docs, F.xxhash64("doc_id", F.xxhash64(text)), found, F.xxhash64("_d", "_t"))
     joined = some.where("_may").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_d", "_t")
     bare = some.where("NOT _may").withColumn("_ranges", F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
     out = joined.unionByName(bare)
-    return out.withColumn(to, merge_udf(min_items)(F.col(text), F.col("_ranges"), F.col("_items"))).drop("_ranges", "_items", "_may")
+    return out.withColumn(to, merge_udf(min_items, min_run)(F.col(text), F.col("_ranges"), F.col("_items"))).drop("_ranges", "_items", "_may")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    return with_hits(docs, benchmark, to="_decon", **options).where("NOT _decon.contaminated").drop("_decon")
+    return with_hits(docs, benchmark, to="_decon", **{"min_run": N} | options).where("NOT _decon.contaminated").drop("_decon")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
