@@ -62,3 +62,9 @@ def test_long_lines(spark, tmp_path, name):
     # SQL cuts the page blocks of document 5.
     got, want = sides(spark, tmp_path, name, keep=lambda i: i != 5)
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["mean_word_conf", "line_group", "cand_argmax", "dedupe_first"])
+def test_words_of_all_lines(spark, tmp_path, name):
+    got, want = sides(spark, tmp_path, name, lambda s: s.replace("WHERE line_no < 12", ""))
+    assert got == want and got
