@@ -204,7 +204,7 @@ def _(spark, d):
 @query("covered_line_anti", O.covered_line_anti)
 def _(spark, d):
     g = ocr_post.group_lines(words(spark, d), PAGE)
-    return ocr_post.uncovered(g, blocks(spark, d).where("track = 'ocr' AND seq % 3 = 0"), PAGE).select(*PAGE, "line_num", "text")
+    return ocr_post.uncovered(g, blocks(spark, d).where("track = 'ocr'"), PAGE).select(*PAGE, "line_num", "text")
 
 
 @query("fallback_gate", O.fallback_gate)
@@ -229,7 +229,7 @@ def _(spark, d):
 
 @query("adjacent_merge")
 def _(spark, d):
-    w = words(spark, d).where("seq % 1000 < 12")
+    w = words(spark, d)
     f = lambda c: F.col(c).cast("double")
     t = w.select(*PAGE, "seq", F.when(F.col("seq") % 7 == 0, "figure").otherwise("text").alias("block_type"), "text", f("left").alias("x0"), f("top").alias("y0"), (f("left") + f("width")).alias("x1"), (f("top") + f("height")).alias("y1"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("latex"))
     return ocr_post.post_process(t, PAGE).select(*PAGE, "pos", "block_type", "text", "x0", "y0", "x1", "y1")

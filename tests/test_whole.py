@@ -68,3 +68,14 @@ def test_long_lines(spark, tmp_path, name):
 def test_words_of_all_lines(spark, tmp_path, name):
     got, want = sides(spark, tmp_path, name, lambda s: s.replace("WHERE line_no < 12", ""))
     assert got == want and got
+
+
+def test_lines_against_all_blocks(spark, tmp_path):
+    got, want = sides(spark, tmp_path, "covered_line_anti", lambda s: s.replace("WHERE line_no < 12", "").replace("AND b.seq % 3 = 0", ""))
+    assert got == want and got
+
+
+def test_merge_takes_all_words(spark, tmp_path):
+    frame(spark, keep=lambda i: i in (2, 4)).write.parquet(f"{tmp_path}/documents.parquet")
+    said = {w for r in catalog.QUERIES["adjacent_merge"](spark, str(tmp_path)).collect() for w in r["text"].split()}
+    assert said >= set(WORDS[:360])
