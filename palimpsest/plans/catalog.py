@@ -305,10 +305,12 @@ def _(spark, d):
 
 @query("token_json", O.token_json)
 def _(spark, d):
-    lin = tracks.lines(table(spark, d, "documents")).where("line_no < 3")
-    body = F.to_json(F.array(F.struct(F.col("line").alias("text"), F.array(F.lit(1.0), F.lit(2.0), F.col("line_no").cast("double"), F.lit(9.5)).alias("bbox"), F.when(F.col("line_no") % 2 == 0, F.lit(1.5)).alias("confidence"), F.when(F.col("line_no") == 1, "math").alias("block_type"), F.when(F.col("line_no") == 1, F.concat(F.lit("x_"), F.col("k").cast("string"))).alias("latex"))))
+    lin = tracks.lines(table(spark, d, "documents"))
+    token = F.struct(F.col("line").alias("text"), F.array(F.lit(1.0), F.lit(2.0), F.col("line_no").cast("double"), F.lit(9.5)).alias("bbox"), F.when(F.col("line_no") % 2 == 0, F.lit(1.5)).alias("confidence"), F.when(F.col("line_no") == 1, "math").alias("block_type"), F.when(F.col("line_no") == 1, F.concat(F.lit("x_"), F.col("k").cast("string"))).alias("latex"))
+    page = lin.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", token.alias("token")))).alias("all"))
+    body = F.to_json(F.transform("all", lambda x: x["token"]))
     out = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("loading model\n[warn\n"), body, F.lit("\ndone"))).otherwise(body)
-    o = lin.select("doc_id", F.col("line_no").cast("int").alias("page_idx"), out.alias("output"))
+    o = page.select(*PAGE, out.alias("output"))
     return tokens.to_blocks(tokens.read_tokens(o)).select(*PAGE, "seq", "type", "x1", "y1", "confidence", "text", "latex")
 
 

@@ -79,3 +79,16 @@ def test_merge_takes_all_words(spark, tmp_path):
     frame(spark, keep=lambda i: i in (2, 4)).write.parquet(f"{tmp_path}/documents.parquet")
     said = {w for r in catalog.QUERIES["adjacent_merge"](spark, str(tmp_path)).collect() for w in r["text"].split()}
     assert said >= set(WORDS[:360])
+
+
+def test_token_json_holds_whole_documents(spark, tmp_path):
+    frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["page_idx"], r["seq"], r["text"], r["latex"]) for r in catalog.QUERIES["token_json"](spark, str(tmp_path)).collect())
+    want = []
+    for i, t in TEXTS.items():
+        seq = {}
+        for n, line in enumerate(wrapped(t).split("\n")):
+            if line:
+                seq[n // 20] = seq.get(n // 20, -1) + 1
+                want.append((i, n // 20, seq[n // 20], None if n == 1 else line, "x_1" if n == 1 else None))
+    assert got == sorted(want)
