@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, pii
 
 from .cases import docs
 
@@ -17,3 +17,21 @@ def test_clean_drops_a_single_item(spark, slice_words):
     assert sorted(r["doc_id"] for r in decontaminate.clean(d, bench, slice_words=slice_words).collect()) == [2, 3, 5]
     hits = decontaminate.with_hits(d, bench, slice_words=slice_words)
     assert [r["doc_id"] for r in hits.where(F.col("_hits.contaminated")).collect()] == [4]
+
+
+def numbered(country, bban):
+    rest = "".join(str(int(c, 36)) for c in bban + country + "00")
+    return f"{country}{98 - int(rest) % 97:02d}{bban}"
+
+
+@pytest.mark.parametrize("after", ["", " please", " Please", " Bitte", " BITTE ZAHLEN SIE", " A", " 12 days", ".", ", Please"])
+def test_iban_whatever_follows(after):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "TR330006100519786457841326", "SA0380000000608010167519", "AE070331234567890123456", "IL620108000000099999999", "BR1800360305000010009795493C1", "NO9386011117947"]
+    for n in [*numbers, numbered("RU", "0" * 20 + "1" * 9), numbered("LC", "HEMM" + "7" * 24)]:
+        t = f"IBAN {n}{after}"
+        assert [(k, t[a:b]) for k, a, b, _ in pii.find(t) if k == "iban"] == [("iban", n)], t
+
+
+def test_iban_refuted():
+    for t in ("IBAN DE88370400440532013000 Please", "IBAN DE893704004405320130001 Please", "IBAN ZZ89370400440532013000", "IBAN xDE89370400440532013000", "IBAN DE89370400440532013000x"):
+        assert not [x for x in pii.find(t) if x[0] == "iban"], t
