@@ -2,7 +2,8 @@
 
 A text is cut into sentences (at line ends, and after . ! ? where white space follows). Every run of `run` consecutive
 sentences is a span; so is every shorter run of `long_words` words or more, so that a passage of long sentences isn't
-missed. A span's hash covers its words (lower-cased A-Z, runs of letters, digits and non-ASCII), not white space or
+missed. A run of fewer than `min_words` words takes in as many of the sentences that follow as it needs to have them (none
+where the text ends before), so that a passage of short sentences isn't missed either. A span's hash covers its words (lower-cased A-Z, runs of letters, digits and non-ASCII), not white space or
 marks. Of equal spans the first, by doc_id and then place, stays; a sentence that any other one covers is removed.
 
 1. A task hashes the spans of its documents, up to `flush` spans at a time, and settles equal ones among themselves: all
@@ -93,6 +94,16 @@ def spans(s: Sentences, run: int = RUN, long_words: int = LONG_WORDS, min_words:
         ok = (at + k <= last[: len(h)]) & (words >= (min_words if k == run else max(long_words, min_words)))
         at = at[ok]
         out.append((h[at], at, np.full(len(at), k)))
+    short = np.flatnonzero(np.arange(len(s.words)) + run <= last)
+    short = short[total[short + run] - total[short] < min_words]
+    k = run
+    while len(short):
+        k += 1
+        short = short[short + k <= last[short]]
+        enough = total[short + k] - total[short] >= min_words
+        at = short[enough]
+        out.append((run_hashes(s.hash, k)[at], at, np.full(len(at), k)))
+        short = short[~enough]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
@@ -144,7 +155,7 @@ def _hasher(buckets: int, run: int, long_words: int, min_words: int, flush: int)
             for lo in range(0, buckets, 2000):
                 full = [i for i in range(lo, min(buckets, lo + 2000)) if edge[i] < edge[i + 1]]
                 cut = lambda a: [a[edge[i] : edge[i + 1]].tobytes() for i in full]
-                yield _rows(full, [None] * len(full), cut(h), cut(doc), cut(pos.astype("<i4")), cut(k.astype("<i1")))
+                yield _rows(full, [None] * len(full), cut(h), cut(doc), cut(pos.astype("<i4")), cut(k.astype("<i2")))
 
         for batch in batches:
             ids = batch.column(0).fill_null(_NONE).to_numpy(zero_copy_only=False)
@@ -186,7 +197,7 @@ def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b != bucket:
                 yield from settle()
                 held, bucket = [], b
-            held.append((np.frombuffer(h, U), np.frombuffer(doc, np.int64), np.frombuffer(pos, "<i4").astype(np.int64), np.frombuffer(k, "<i1").astype(np.int64)))
+            held.append((np.frombuffer(h, U), np.frombuffer(doc, np.int64), np.frombuffer(pos, "<i4").astype(np.int64), np.frombuffer(k, "<i2").astype(np.int64)))
     yield from settle()
 
 

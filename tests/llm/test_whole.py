@@ -1,9 +1,11 @@
 """Passages that must not be missed."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, pii
+from palimpsest.llm import decontaminate, pii, spandedup
 
 from .cases import docs
 
@@ -35,3 +37,36 @@ def test_iban_whatever_follows(after):
 def test_iban_refuted():
     for t in ("IBAN DE88370400440532013000 Please", "IBAN DE893704004405320130001 Please", "IBAN ZZ89370400440532013000", "IBAN xDE89370400440532013000", "IBAN DE89370400440532013000x"):
         assert not [x for x in pii.find(t) if x[0] == "iban"], t
+
+
+@pytest.mark.parametrize("flush", [1_000_000, 20])
+def test_spans_of_short_sentences(spark, flush):
+    said = [f"Word{i}{'.!?'[i % 3]}" for i in range(50)]
+    few = "One. Two. Three. Four. Five."
+    rows = [(1, f"Unique start one. {' '.join(said)} Unique end one.", "en", "a"), (2, f"Other start two.\n{' '.join(said).upper()}\nOther end two.", "en", "a"), (3, f"Here it opens. {few}", "en", "a"), (4, f"There it begins. {few}", "en", "a"), (5, "Again. " * 60, "en", "a")]
+    got = {r["doc_id"]: r["_cut"] for r in spandedup.with_cuts(docs(spark, rows), flush=flush).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4, 5)] == [0, 50, 0, 0, 59]
+    assert got[2]["clean_text"].split() == ["Other", "start", "two.", "Other", "end", "two."]
+
+
+def test_spans_brute_with_longer_runs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    first, of = {}, {}
+    for i, t in sorted(rows):
+        found = [tuple(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), q))) for q in re.split(r"(?<=\n)|(?<=[.!?])(?=[ \t\n\r]|\Z)", t or "")]
+        s = of[i] = [w for w in found if w]
+        for a in range(len(s)):
+            for key in runs(s, a):
+                first.setdefault(key, (i, a))
+    want = {i: len({x for a in range(len(s)) for key in runs(s, a) if first[key] != (i, a) for x in range(a, a + len(key))}) for i, s in of.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["_cut"]["n_removed"] for r in spandedup.with_cuts(df).collect()} == want
+
+
+def runs(s, a):
+    for k in (1, 2, 3):
+        if a + k <= len(s) and sum(map(len, s[a : a + k])) >= (8 if k == 3 else 24):
+            yield tuple(s[a : a + k])
+    for k in range(4, 9):
+        if a + k <= len(s) and sum(map(len, s[a : a + k - 1])) < 8 <= sum(map(len, s[a : a + k])):
+            yield tuple(s[a : a + k])
