@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.geometry import Box, center_distance, iou, union
 from palimpsest.functions.hangul import compose
-from palimpsest.operators import align, classify, extract, fuse, ocr_post, order, resolve
+from palimpsest.operators import align, classify, evaluate, extract, fuse, ocr_post, order, resolve
 from palimpsest.plans import oracle as O
 from palimpsest.plans import tracks
 from palimpsest.plans.schema import PAGE
@@ -268,7 +268,7 @@ def _(spark, d):
 
 @query("blank_collapse", O.blank_collapse)
 def _(spark, d):
-    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[^ -~\\n]", ""), "\\. ", ".\n\n\n").alias("text"))
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "\\. ", ".\n\n\n").alias("text"))
     c = T.clean_decomposed_lines(F.col("text"))
     return t.select("doc_id", F.length(c).alias("chars"), F.size(F.split(c, "\n")).alias("lines"), F.sha2(c, 256).alias("sha256"))
 
@@ -299,7 +299,7 @@ def _(spark, d):
 
 @query("normalize_text", O.normalize_text)
 def _(spark, d):
-    c = T.normalized(F.regexp_replace("text", "[^ -~\\n\\t]", ""))
+    c = T.normalized(F.col("text"))
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(c, 256).alias("sha256"), F.length(c).alias("chars"), T.distinct_chars(c).alias("distinct_chars"))
 
 
@@ -386,10 +386,9 @@ def _(spark, d):
 
 @query("eval_metrics", O.eval_metrics)
 def _(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~\\n]", "").alias("t"))
-    n = files.doc_info(blocks(spark, d)).select("doc_id", F.col("blocks"))
-    m = docs.select("doc_id", F.length("t").alias("chars"), F.regexp_count("t", F.lit("[^ \\n]+")).alias("words"), F.size(F.split(F.regexp_replace("t", "\\n$", ""), "\n")).alias("lines"))
-    return m.join(n, "doc_id", "left")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    n = files.doc_info(blocks(spark, d)).select("doc_id", "blocks")
+    return evaluate.text_measures(docs, "text").select("doc_id", "chars", "words", "lines").join(n, "doc_id", "left")
 
 
 @query("debug_attach", O.debug_attach)

@@ -51,9 +51,18 @@ def differ(a: str, b: str) -> str:
     return f"({digits(a)} <> '' AND {digits(b)} <> '' AND {digits(a)} <> {digits(b)})"
 
 
+#: The engine's edit distance counts bytes, so letters beyond ASCII become control characters, which no line holds.
+_LETTERS = "äöüßéèêëàâçñáíóúÄÖÜÉÈÊÇÑÍÓÁÚ"
+_STAND_INS = "".join(chr(c) for c in range(1, 32) if c not in (9, 10, 13))[: len(_LETTERS)]
+
+
+def octets(a: str) -> str:
+    return f"translate({a}, '{_LETTERS}', '{_STAND_INS}')"
+
+
 def sim(a: str, b: str) -> str:
     jac = f"(CASE WHEN len({toks(a)}) = 0 OR len({toks(b)}) = 0 THEN 0e0 ELSE len(list_intersect({toks(a)}, {toks(b)})) / len(list_distinct(list_concat({toks(a)}, {toks(b)}))) END)"
-    edit = f"(1e0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1))"
+    edit = f"(1e0 - levenshtein({octets(a)}, {octets(b)}) / greatest(length({a}), length({b}), 1))"
     return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0e0 ELSE greatest(least(({edit} + {jac}) / 2e0 - (CASE WHEN {differ(a, b)} THEN 1e-1 ELSE 0e0 END), 1e0), 0e0) END)"
 
 
@@ -66,7 +75,7 @@ def count(a: str, p: str) -> str:
 
 
 def noisy(n: str) -> str:
-    """On text in normal form, ASCII."""
+    """On text in normal form, without Korean."""
     return f"(length({n}) <= 1 OR {count(n, '[A-Za-z0-9]')} <= 1 OR (length({n}) >= 6 AND len(list_distinct(string_split({n}, ''))) <= 2))"
 
 
@@ -140,7 +149,7 @@ unmatched = _with("SELECT doc_id, page_idx, CASE track WHEN 'parser' THEN 'parse
 
 _BIG = f"({area('p.')} / 14e5 > 0.58)"
 _ALONE = {t: f"CASE WHEN b.type = 'text' AND c.class = 'scanned' THEN {clamp(base + extra)} ELSE {base} END" for t, base, extra in (("parser", conf("true", "false", "NULL", "true"), " - 1e-1"), ("ocr", conf("false", "true", "NULL", "true"), " + 8e-2"))}
-# ASCII tracks: no Korean, so qualities are 0 and Korean conditions never hold.
+# The tracks hold no Korean, so qualities are 0 and Korean conditions never hold.
 _RESOLVE = _GREEDY + f"""
 , pairs AS (
   SELECT m.doc_id, m.page_idx, m.n, m.p_seq, c.class, p.type AS pt, o.type AS ot, p.text AS px, o.text AS ox, m.iou, m.dist,
@@ -288,7 +297,7 @@ wd AS (
   SELECT doc_id, page_idx, CAST(line_no * 1000 + n AS INTEGER) AS seq, CAST(line_no // 4 AS INTEGER) AS block_num, CAST(line_no // 2 AS INTEGER) AS par_num, CAST(line_no AS INTEGER) AS line_num, text,
     CASE WHEN (doc_id + n) % 11 = 0 THEN 'x' WHEN (doc_id + n) % 13 = 0 THEN '-1' ELSE CAST((doc_id * 7 + line_no * 3 + n * 5) % 101 AS VARCHAR) END AS conf,
     CAST(10 + n * 40 AS INTEGER) AS "left", CAST(10 + line_no * 30 AS INTEGER) AS top, CAST(length(text) * 5 AS INTEGER) AS width, 20 AS height
-  FROM (SELECT doc_id, page_idx, line_no, i - 1 AS n, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(line, ' ') AS parts FROM lin WHERE line_no < 12)))
+  FROM (SELECT doc_id, page_idx, line_no, i - 1 AS n, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(line, ' ') AS parts FROM lin)))
 )
 """
 mean_word_conf = _with("SELECT doc_id, page_idx, block_num, string_agg(text, ' ' ORDER BY seq, text) AS text, round(avg(CAST(conf AS DOUBLE)), 6) AS conf FROM wd WHERE text <> '' AND TRY_CAST(conf AS DOUBLE) >= 0 GROUP BY doc_id, page_idx, block_num", WORDS)
@@ -299,7 +308,7 @@ _LINES = WORDS + """
 )
 """
 line_group = _with("SELECT doc_id, page_idx, block_num, par_num, line_num, text, x0, y0, x1, y1, confidence FROM gl", _LINES)
-covered_line_anti = _with(f"SELECT doc_id, page_idx, line_num, text FROM gl l WHERE NOT EXISTS (SELECT 1 FROM blk b WHERE b.track = 'ocr' AND b.seq % 3 = 0 AND b.doc_id = l.doc_id AND b.page_idx = l.page_idx AND {inter('l.', 'b.')} / greatest((l.x1 - l.x0) * (l.y1 - l.y0), 1) > 0.7)", _LINES)
+covered_line_anti = _with(f"SELECT doc_id, page_idx, line_num, text FROM gl l WHERE NOT EXISTS (SELECT 1 FROM blk b WHERE b.track = 'ocr' AND b.doc_id = l.doc_id AND b.page_idx = l.page_idx AND {inter('l.', 'b.')} / greatest((l.x1 - l.x0) * (l.y1 - l.y0), 1) > 0.7)", _LINES)
 fallback_gate = _with("SELECT doc_id, page_idx, count(*) AS n_tokens, CAST(sum(length(trim(text))) AS BIGINT) AS n_chars, count(*) <= 2 OR sum(length(trim(text))) < 50 AS fallback FROM blk WHERE track = 'ocr' AND type = 'text' GROUP BY doc_id, page_idx")
 _SCORE = f"(CASE WHEN text = '' THEN -1e0 ELSE least(greatest(conf, 0e0), 1e2) / 1e2 * 52e-2 + least(length(text), 180) / 18e1 * 28e-2 + {count('text', '[A-Za-z0-9]')} / greatest(length(text), 1) * 2e-1 - (CASE WHEN {noisy('text')} THEN 35e-2 ELSE 0e0 END) END)"
 cand_argmax = _with(
@@ -335,7 +344,7 @@ mode_argmax = _with(
   FROM (SELECT doc_id, page_idx, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lin GROUP BY doc_id, page_idx)"""
 )
 blank_collapse = """
-WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), '\\. ', '.' || chr(10) || chr(10) || chr(10), 'g'), '\\n$', '') AS text FROM documents WHERE text IS NOT NULL),
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\. ', '.' || chr(10) || chr(10) || chr(10), 'g'), '\\n$', '') AS text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, i, trim(parts[i]) AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM t))),
 k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS prev, max(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS seen FROM l),
 o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (seen = 1 AND NOT (line = '' AND prev = '')), '') AS c FROM k GROUP BY doc_id)
@@ -355,16 +364,16 @@ for _a, _b in (("입\\s+니다", "입니다"), ("합\\s+니다", "합니다"), (
     _fixed = f"regexp_replace({_fixed}, '([가-힣]){_a}', '\\1{_b}', 'g')"
 split_endings = f"WITH v(id, text) AS (VALUES {_LITERAL}) SELECT id, {_fixed} AS text FROM v"
 normalize_text = f"""SELECT doc_id, sha256(n) AS sha256, CAST(length(n) AS INTEGER) AS chars, CAST(len(list_distinct(string_split(n, ''))) AS INTEGER) AS distinct_chars
-FROM (SELECT doc_id, {norm("regexp_replace(text, '[^ -~\\n\\t]', '', 'g')")} AS n FROM documents WHERE text IS NOT NULL)"""
-token_json = _with("""SELECT doc_id, CAST(line_no AS INTEGER) AS page_idx, 0 AS seq, CASE WHEN line_no = 1 THEN 'math' ELSE 'text' END AS type, CAST(line_no AS DOUBLE) AS x1, CAST(9.5 AS DOUBLE) AS y1, CASE WHEN line_no % 2 = 0 THEN 1e0 ELSE 5e-1 END AS confidence,
-  CASE WHEN line_no <> 1 THEN line END AS text, CASE WHEN line_no = 1 THEN 'x_' || CAST(k AS VARCHAR) END AS latex FROM lin WHERE line_no < 3""")
+FROM (SELECT doc_id, {norm("text")} AS n FROM documents WHERE text IS NOT NULL)"""
+token_json = _with("""SELECT doc_id, page_idx, CAST(row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_no) - 1 AS INTEGER) AS seq, CASE WHEN line_no = 1 THEN 'math' ELSE 'text' END AS type, CAST(line_no AS DOUBLE) AS x1, CAST(9.5 AS DOUBLE) AS y1, CASE WHEN line_no % 2 = 0 THEN 1e0 ELSE 5e-1 END AS confidence,
+  CASE WHEN line_no <> 1 THEN line END AS text, CASE WHEN line_no = 1 THEN 'x_' || CAST(k AS VARCHAR) END AS latex FROM lin""")
 
 
 def num(x: str) -> str:
     return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
 
 
-_SYM = count("text", "[^A-Za-z0-9\\s]")
+_SYM = count("text", "[^\\pL\\pN\\s]")
 _COMPACT = "replace(text, ' ', '')"
 _BODY = f"(CASE WHEN source = 'ocr' AND (length({_COMPACT}) <= 2 OR {count('text', '[A-Za-z0-9]')} * 2 < length({_COMPACT}) OR ({_SYM} >= 8 AND {_SYM} > {count('text', '[A-Za-z0-9]')})) THEN '' ELSE text END)"
 _PLACE = f"'[' || upper(type) || ' at x:' || {num('x0')} || ' y:' || {num('y0')} || ' w:' || {num('x1 - x0')} || ' h:' || {num('y1 - y0')} || ']'"
@@ -436,6 +445,6 @@ output_paths = "SELECT page_id, 'c ' || CAST(page_id AS VARCHAR) || '.v2_output'
 doc_info = _with("SELECT doc_id, count(DISTINCT page_idx) AS pages, count(*) AS blocks FROM blk GROUP BY doc_id")
 eval_metrics = _with(
     """SELECT t.doc_id, CAST(length(t) AS INTEGER) AS chars, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS INTEGER) AS words, CAST(len(string_split(regexp_replace(t, '\\n$', ''), chr(10))) AS INTEGER) AS lines, blocks
-  FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents WHERE text IS NOT NULL) t LEFT JOIN (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY doc_id) b ON b.doc_id = t.doc_id"""
+  FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) t LEFT JOIN (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY doc_id) b ON b.doc_id = t.doc_id"""
 )
 debug_attach = _with("SELECT doc_id, page_idx, CAST(count(*) FILTER (track = 'parser') AS INTEGER) AS parser_blocks, CAST(count(*) FILTER (track = 'ocr') AS INTEGER) AS ocr_blocks FROM blk GROUP BY doc_id, page_idx")

@@ -1,9 +1,9 @@
 """Two deterministic tracks derived from `documents` by integer arithmetic: blocks with boxes, kinds and text.
 
-A document's lines (printable ASCII; a longer one goes on in further visual lines of at most 200 characters, broken after
-a blank where there is one, so that no character is lost) fall on pages of 20; each
-track keeps its own part of them, with its own faults, so that every rule of the fusion meets cases: digital, scanned and
-hybrid pages, full-page parser blocks, noise, near duplicates, kinds that differ.
+A document's lines (without control characters; a longer one goes on in further visual lines of at most 200 characters,
+broken after a blank where there is one, so that no character is lost) fall on pages of 20; each track keeps its own part
+of them, with its own faults, so that every rule of the fusion meets cases: digital, scanned and hybrid pages, full-page
+parser blocks, noise, near duplicates, kinds that differ, pages on which only noise is seen.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from palimpsest.plans.schema import one_line
 LINES_A_PAGE, LINE_WIDTH = 20, 200
 #: Consecutive matches make up the whole line: its rest if that fits, else up to the last blank that fits, else a full width.
 WRAP = f".{{1,{LINE_WIDTH}}}$|.{{0,{LINE_WIDTH - 1}}} |.{{{LINE_WIDTH}}}"
+#: Not part of a line. Fixed ranges, the same in both engines.
+CONTROL = r"[\x00-\x1F\x7F]"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (visual lines, from 0), line (not empty), page_idx, k (place on the page)."""
-    clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "[^ -~]", ""))
+    clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, CONTROL, ""))
     visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(WRAP), F.lit(0)))))
     out = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
     return out.withColumn("page_idx", F.expr(f"line_no div {LINES_A_PAGE}").cast("int")).withColumn("k", F.col("line_no") % LINES_A_PAGE)
@@ -33,8 +35,6 @@ def _kind(*cases: tuple[str, str]):
     return out.otherwise("text")
 
 
-
-
 def blocks(docs: DataFrame) -> DataFrame:
     """Both tracks as block rows (see schema.BLOCKS)."""
     at = lines(docs).withColumn("x", F.expr("60.0D + 480 * (k % 2)")).withColumn("y", F.expr("40.0D + 60 * (k div 2)"))
@@ -51,7 +51,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     parser = rows(at.where("doc_id % 3 <> 1 OR line_no % 4 = 0"), "parser", "k", kind, x, y, 400.0, 40.0, F.col("line"))
     d = num("(doc_id * 13 + line_no * 5) % 21 - 10")
     said = F.expr(
-        "CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN substring(line, 1, cast(length(line) div 2 AS int)) ELSE upper(line) END"
+        "CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN substring(line, 1, cast(length(line) div 2 AS int)) ELSE translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END"
     )
     seen = at.where("(doc_id % 3 <> 0 OR line_no % 4 = 0) AND (doc_id * 31 + line_no * 7) % 10 <> 0")
     ocr = rows(seen, "ocr", "k", ocr_kind, x + d, y + d, 400.0, 40.0, said)
@@ -76,14 +76,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 #: The same tracks for DuckDB, as common table expressions that end in `blk`.
-SQL = """
+SQL = f"""
 lin AS (
   SELECT doc_id, line_no, line, CAST(line_no // 20 AS INTEGER) AS page_idx, line_no % 20 AS k,
          CAST(60 + 480 * ((line_no % 20) % 2) AS DOUBLE) AS x, CAST(40 + 60 * ((line_no % 20) // 2) AS DOUBLE) AS y,
          (doc_id * 7 + line_no * 3) % 23 AS c
-  FROM (SELECT doc_id, i - 1 AS line_no, left(regexp_replace(parts[i], '[^ -~]', '', 'g'), 200) AS line
-        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
-              FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)))
+  FROM (SELECT doc_id, i - 1 AS line_no, visual[i] AS line
+        FROM (SELECT doc_id, visual, unnest(range(1, len(visual) + 1)) AS i
+              FROM (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_replace(x, '{CONTROL}', '', 'g') = '' THEN [''] ELSE regexp_extract_all(regexp_replace(x, '{CONTROL}', '', 'g'), '{WRAP}') END)) AS visual
+                    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)))
   WHERE line <> ''
 ),
 raw_blk AS (
@@ -93,7 +94,7 @@ raw_blk AS (
   UNION ALL
   SELECT doc_id, page_idx, 'ocr', k, CASE WHEN (doc_id + line_no) % 37 = 0 THEN 'figure' ELSE CASE c WHEN 0 THEN 'table' WHEN 1 THEN 'figure' WHEN 2 THEN 'math' ELSE 'text' END END,
          x + d, y + d, x + d + 400, y + d + 40,
-         CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN left(line, CAST(length(line) // 2 AS INTEGER)) ELSE upper(line) END
+         CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN left(line, CAST(length(line) // 2 AS INTEGER)) ELSE translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END
   FROM (SELECT *, CAST((doc_id * 13 + line_no * 5) % 21 - 10 AS DOUBLE) AS d FROM lin)
   WHERE (doc_id % 3 <> 0 OR line_no % 4 = 0) AND (doc_id * 31 + line_no * 7) % 10 <> 0
   UNION ALL
@@ -101,7 +102,7 @@ raw_blk AS (
   UNION ALL
   SELECT doc_id, page_idx, 'ocr', k + 200, 'text', x + 3, y + 3, x + 3 + 400, y + 3 + 40, line FROM lin WHERE (doc_id * 3 + line_no) % 17 = 0
   UNION ALL
-  SELECT doc_id, page_idx, 'parser', 1000, 'text', 0.0, 0.0, 1000.0, 1400.0, left(string_agg(line, ' ' ORDER BY line_no), 400)
+  SELECT doc_id, page_idx, 'parser', 1000, 'text', 0.0, 0.0, 1000.0, 1400.0, string_agg(line, ' ' ORDER BY line_no)
   FROM lin WHERE doc_id % 5 = 0 GROUP BY doc_id, page_idx
 ),
 blk AS (

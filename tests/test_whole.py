@@ -1,4 +1,4 @@
-"""Every character of `documents` reaches the queries. The SQL, which cuts lines, gets documents whose lines are short."""
+"""Every character of `documents` reaches the queries and their SQL."""
 
 import pytest
 
@@ -10,16 +10,20 @@ WORDS = [f"{'lorem ipsum dolor sit amet l1ne'.split()[i % 6]}{i}" for i in range
 TEXTS = {
     1: " ".join(WORDS) + "\n\nshort line\n" + "x" * 450 + "\nend",
     2: "\n".join(" ".join(WORDS[i : i + 60]) for i in range(0, 360, 12)),
-    3: "a é" + "b" * 199 + " c\n" + " ".join(WORDS[:90]),
+    3: "a é" + "b" * 199 + " c\tß Über à la carte\n" + " ".join(WORDS[:90]),
     4: "\n".join(" ".join(WORDS[i : i + 9]) for i in range(50)),
     5: " ".join(WORDS[:300]),
 }
 
 
+def printable(text):
+    return "".join(c for c in text if c >= " " and c != "\x7f")
+
+
 def wrapped(text):
     out = []
     for line in text.split("\n"):
-        line = "".join(c for c in line if " " <= c <= "~")
+        line = printable(line)
         while len(line) > 200:
             n = line.rfind(" ", 0, 200) + 1 or 200
             out.append(line[:n])
@@ -32,16 +36,14 @@ def frame(spark, change=lambda t: t, keep=lambda i: True):
     return spark.createDataFrame([(i, change(t)) for i, t in TEXTS.items() if keep(i)], "doc_id long, text string")
 
 
-def sides(spark, tmp_path, name, sql=lambda s: s, keep=lambda i: True):
-    """Query over long lines, and its SQL over the same lines broken by hand."""
+def sides(spark, tmp_path, name):
+    """Query and SQL over the same long lines."""
     import duckdb
 
-    frame(spark, keep=keep).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
-    docs = [(i, wrapped(t)) for i, t in TEXTS.items() if keep(i)]
-    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
-    return canon(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()), canon(con.sql(sql(catalog.ORACLES[name])).df())
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return canon(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()), canon(con.sql(catalog.ORACLES[name]).df())
 
 
 def test_lines_hold_all_text(spark):
@@ -49,7 +51,7 @@ def test_lines_hold_all_text(spark):
     for r in tracks.lines(frame(spark)).orderBy("doc_id", "line_no").collect():
         assert len(r["line"]) <= 200
         got[r["doc_id"]] = got.get(r["doc_id"], "") + r["line"]
-    assert got == {i: "".join(c for c in t if " " <= c <= "~") for i, t in TEXTS.items()}
+    assert got == {i: printable(t) for i, t in TEXTS.items()}
 
 
 def test_page_block_holds_the_page(spark):
@@ -57,21 +59,9 @@ def test_page_block_holds_the_page(spark):
     assert b.where("seq = 1000 AND page_idx = 0").first()["text"].replace("  ", " ") == " ".join(WORDS[:300])
 
 
-@pytest.mark.parametrize("name", ["fuse_full", "align_greedy", "text_sim", "resolve_pairs", "dup_ocr_anti", "page_class", "md_export", "html_layers"])
+@pytest.mark.parametrize("name", ["fuse_full", "align_greedy", "text_sim", "resolve_pairs", "dup_ocr_anti", "page_class", "md_export", "html_layers", "mean_word_conf", "line_group", "cand_argmax", "dedupe_first", "covered_line_anti", "token_json"])
 def test_long_lines(spark, tmp_path, name):
-    # SQL cuts the page blocks of document 5.
-    got, want = sides(spark, tmp_path, name, keep=lambda i: i != 5)
-    assert got == want and got
-
-
-@pytest.mark.parametrize("name", ["mean_word_conf", "line_group", "cand_argmax", "dedupe_first"])
-def test_words_of_all_lines(spark, tmp_path, name):
-    got, want = sides(spark, tmp_path, name, lambda s: s.replace("WHERE line_no < 12", ""))
-    assert got == want and got
-
-
-def test_lines_against_all_blocks(spark, tmp_path):
-    got, want = sides(spark, tmp_path, "covered_line_anti", lambda s: s.replace("WHERE line_no < 12", "").replace("AND b.seq % 3 = 0", ""))
+    got, want = sides(spark, tmp_path, name)
     assert got == want and got
 
 
