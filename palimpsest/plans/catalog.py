@@ -17,8 +17,8 @@ from palimpsest.functions.hangul import compose
 from palimpsest.operators import align, classify, evaluate, extract, fuse, ocr_post, order, resolve
 from palimpsest.plans import oracle as O
 from palimpsest.plans import tracks
-from palimpsest.plans.schema import PAGE
-from palimpsest.runtime import save, table
+from palimpsest.plans.schema import LINES, PAGE, one_line
+from palimpsest.runtime import table
 from palimpsest.sinks import export
 from palimpsest.sources import files, tokens
 
@@ -45,6 +45,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.blocks(table(spark, sf_dir, "documents"))
 
 
+def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, fused blocks, list of pages)."""
+    b = blocks(spark, sf_dir)
+    return b, fuse.fuse(b), fuse.page_list(b, tracks.pages(table(spark, sf_dir, "documents")))
+
+
 def literal(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
 
@@ -212,6 +218,23 @@ def _(spark, d):
     return ocr_post.needs_fallback(blocks(spark, d).where("track = 'ocr' AND type = 'text'"), PAGE)
 
 
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optical blocks as the recognizer's tokens."""
+    b = blocks(spark, sf_dir).where("track = 'ocr'")
+    return b.select(*PAGE, "seq", F.col("type").alias("block_type"), F.coalesce("text", F.lit("")).alias("text"), *Box._fields, "confidence", "latex")
+
+
+@query("fallback_union", O.fallback_union)
+def _(spark, d):
+    t = ocr_post.with_fallback(page_tokens(spark, d), words(spark, d), PAGE, tracks.pages(table(spark, d, "documents")))
+    return t.select(*PAGE, "seq", "block_type", "text", "x0", "y0", "x1", "y1", r6("confidence").alias("confidence"))
+
+
+@query("fallback_pages", O.fallback_pages)
+def _(spark, d):
+    return ocr_post.needs_fallback(page_tokens(spark, d), PAGE, tracks.pages(table(spark, d, "documents")))
+
+
 @query("cand_argmax", O.cand_argmax)
 def _(spark, d):
     c = words(spark, d).select(*PAGE, "line_num", F.expr("seq % 6").alias("cand_ord"), "text", F.expr("cast((doc_id + seq * 17) % 101 AS double)").alias("conf"))
@@ -227,7 +250,7 @@ def _(spark, d):
     return ocr_post.dedupe_first(t, PAGE).select(*PAGE, "seq", "text")
 
 
-@query("adjacent_merge")
+@query("adjacent_merge", O.adjacent_merge)
 def _(spark, d):
     w = words(spark, d)
     f = lambda c: F.col(c).cast("double")
@@ -261,7 +284,7 @@ def _(spark, d):
     return extract.best_mode(modes(spark, d), composed=True).select(*PAGE, "mode_ord", F.col("score").cast("long").alias("score"), F.length("text").alias("chars"))
 
 
-@query("extract_pages")
+@query("extract_pages", O.extract_pages)
 def _(spark, d):
     return extract.parser_blocks(modes(spark, d)).select(*PAGE, "seq", "x1", "y1", "text", "confidence")
 
@@ -292,7 +315,7 @@ def _(spark, d):
     return literal(spark, O.KOREAN).select("id", T.fix_split_endings(F.col("text")).alias("text"))
 
 
-@query("short_runs")
+@query("short_runs", O.short_runs)
 def _(spark, d):
     return literal(spark, O.KOREAN).select("id", T.collapse_short_runs(F.col("text")).alias("text"))
 
@@ -314,50 +337,71 @@ def _(spark, d):
     return tokens.to_blocks(tokens.read_tokens(o)).select(*PAGE, "seq", "type", "x1", "y1", "confidence", "text", "latex")
 
 
+@query("page_list", O.page_list)
+def _(spark, d):
+    return fuse.page_list(blocks(spark, d), tracks.pages(table(spark, d, "documents")))
+
+
 @query("text_export", O.text_export)
 def _(spark, d):
-    return export.text_documents(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
+    _, f, p = fused(spark, d)
+    return export.text_documents(f, pages=p).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
 
 
 @query("text_pages", O.text_pages)
 def _(spark, d):
-    return export.text_pages(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+    _, f, p = fused(spark, d)
+    return export.text_pages(f, p).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
 
 
 @query("app_text", O.app_text)
 def _(spark, d):
-    return export.text_documents(fuse.fuse(blocks(spark, d)), latex=True).select("doc_id", F.sha2("content", 256).alias("sha256"))
+    _, f, p = fused(spark, d)
+    return export.text_documents(f, latex=True, pages=p).select("doc_id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("app_text_files", O.app_text_files)
+def _(spark, d):
+    _, f, p = fused(spark, d)
+    names = table(spark, d, "documents").select("doc_id", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"))
+    return export.combined_text(f, names, p).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
 
 
 @query("md_export", O.md_export)
 def _(spark, d):
-    return export.markdown_documents(fuse.fuse(blocks(spark, d))).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
+    _, f, p = fused(spark, d)
+    return export.markdown_documents(f, pages=p).select("doc_id", "path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("chars"))
 
 
 @query("md_images", O.md_images)
 def _(spark, d):
-    return export.markdown_pages(fuse.fuse(blocks(spark, d)), F.col("page_idx") % 2 == 0).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+    _, f, p = fused(spark, d)
+    return export.markdown_pages(f, F.col("page_idx") % 2 == 0, p).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
 
 
 @query("html_layers", O.html_layers)
 def _(spark, d):
-    b = save(blocks(spark, d), "html-blocks")
-    rows = export.layers(b, fuse.fuse(b)).withColumn("div", export.html_div())
-    return rows.select(*PAGE, "layer", "place", F.sha2("div", 256).alias("sha256"))
+    b, f, _ = fused(spark, d)
+    return export.layers(b, f).withColumn("div", export.html_div()).select(*PAGE, "layer", "place", F.sha2("div", 256).alias("sha256"))
 
 
-@query("html_export")
+@query("html_export", O.html_export)
 def _(spark, d):
-    b = save(blocks(spark, d), "html-blocks")
-    return export.html_pages(b, fuse.fuse(b)).select("doc_id", "path", F.length("content").alias("chars"))
+    return export.html_pages(*fused(spark, d)).select("doc_id", "path", F.length("content").alias("chars"), F.sha2("content", 256).alias("sha256"))
 
 
 @query("json_export", O.json_export)
 def _(spark, d):
-    j = export.json_documents(fuse.fuse(blocks(spark, d)))
-    pages = F.from_json("content", "struct<pages:array<struct<page_idx:int,class:string,blocks:array<struct<type:string,source:string>>>>>")["pages"]
-    rows = j.select("doc_id", F.explode(pages).alias("p"))
-    return rows.select("doc_id", F.col("p.page_idx").alias("page_idx"), F.col("p.class").alias("class"), F.size("p.blocks").alias("blocks"), F.array_join(F.transform("p.blocks", lambda b: F.concat(b["type"], F.lit("/"), b["source"])), ",").alias("kinds"))
+    b, f, p = fused(spark, d)
+    one = "struct<type:string,source:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double,latex:string,lines:array<struct<spans:array<struct<text:string>>>>>"
+    page = f"struct<page_idx:int,class:string,width:int,height:int,blocks:array<{one}>,debug:struct<parser_blocks:array<{one}>,ocr_blocks:array<{one}>>>"
+    pages = F.from_json("content", f"struct<pages:array<{page}>>")["pages"]
+    rows = export.json_documents(f, b, p).select("doc_id", F.explode(pages).alias("p"))
+    num = lambda x: F.bround(x * 100, 0).cast("long").cast("string")
+    said = lambda x: F.coalesce(F.array_join(F.flatten(F.transform(x["lines"], lambda y: F.transform(y["spans"], lambda z: z["text"]))), " "), F.lit(""))
+    facts = lambda x: F.concat_ws("/", x["type"], x["source"], num(x["bbox"]["x0"]), num(x["bbox"]["y1"]), num(x["confidence"]), F.coalesce(x["latex"], F.lit("")), said(x))
+    text = lambda c: F.sha2(F.array_join(F.transform(c, facts), "\n"), 256)
+    return rows.select("doc_id", "p.page_idx", "p.class", "p.width", "p.height", F.size("p.blocks").alias("blocks"), text("p.blocks").alias("facts"), text("p.debug.parser_blocks").alias("parser_facts"), text("p.debug.ocr_blocks").alias("ocr_facts"))
 
 
 @query("crop_boxes", O.crop_boxes)
@@ -394,4 +438,43 @@ def _(spark, d):
 @query("debug_attach", O.debug_attach)
 def _(spark, d):
     p = align.pages(blocks(spark, d))
-    return p.select(*PAGE, F.size("ps").alias("parser_blocks"), F.size("os").alias("ocr_blocks"))
+    said = lambda c: F.sha2(F.array_join(F.transform(c, lambda b: F.concat_ws("/", b["seq"].cast("string"), b["type"], F.coalesce(b["text"], F.lit("")))), "\n"), 256)
+    return p.select(*PAGE, F.size("ps").alias("parser_blocks"), F.size("os").alias("ocr_blocks"), said("ps").alias("parser_facts"), said("os").alias("ocr_facts"))
+
+
+@query("korean_pairs", O.korean_pairs)
+def _(spark, d):
+    """Pairs of Korean blocks through the decision table: id, class, parser text, optical text."""
+    box = [F.lit(float(x)) for x in (0, 0, 100, 20)]
+
+    def side(text: str, source: str) -> Column:
+        t = F.col(text)
+        return F.struct(F.lit(0).alias("seq"), F.lit("text").alias("type"), *[b.alias(n) for b, n in zip(box, Box._fields, strict=True)], t.alias("text"), one_line(t, F.lit(source), *box).alias("lines"), F.lit(0.5).alias("confidence"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("latex"))
+
+    t = spark.createDataFrame(O.KOREAN_PAIRS, "id int, class string, pt string, ot string")
+    m = resolve.resolve_pairs(t.select("id", "class", side("pt", "parser").alias("p"), side("ot", "ocr").alias("o"), F.lit(1.0).alias("iou"), F.lit(0.0).alias("dist")))
+    return m.select("id", F.col("out.source").alias("source"), r6("out.confidence").alias("confidence"), F.col("out.text").alias("text"), r6("sim").alias("sim"))
+
+
+def korean_pages(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(O.KOREAN_BLOCKS, "doc_id long, seq int, source string, text string")
+    return rows.select("doc_id", F.lit(0).alias("page_idx"), "seq", "source", "text", F.lit("text").alias("type"), F.lit("digital").alias("class"), *[F.lit(float(x)).alias(n) for x, n in zip((0, 0, 100, 20), Box._fields, strict=True)])
+
+
+@query("degraded_parser", O.degraded_parser)
+def _(spark, d):
+    return resolve.drop_degraded_parser(korean_pages(spark)).select("doc_id", "seq")
+
+
+@query("korean_ocr", O.korean_ocr)
+def _(spark, d):
+    return resolve.drop_korean_ocr(korean_pages(spark)).select("doc_id", "seq")
+
+
+@query("korean_singles", O.korean_singles)
+def _(spark, d):
+    """Lone Korean blocks by class: the confidence that broken text and scanned pages take away or add."""
+    t = korean_pages(spark).withColumn("class", F.explode(F.array(*map(F.lit, ("digital", "scanned", "hybrid")))))
+    b = F.struct("type", *Box._fields, "text", F.lit(None).cast(LINES).alias("lines"), F.lit(None).cast("string").alias("latex"))
+    out = F.when(F.col("source") == "ocr", resolve.promote(b, "ocr", F.col("class"))).otherwise(resolve.promote(b, "parser", F.col("class")))
+    return t.select("doc_id", "seq", "class", r6(out["confidence"]).alias("confidence"), T.skip_degraded_parser(F.col("source"), F.col("text")).alias("skipped"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.plans.tracks import SQL
+from palimpsest.sinks.export import FRAME
 
 #: Literal rows for Korean rules: composed, single jamo, spaced, with hanja, noise.
 KOREAN = [
@@ -303,7 +304,7 @@ wd AS (
 mean_word_conf = _with("SELECT doc_id, page_idx, block_num, string_agg(text, ' ' ORDER BY seq, text) AS text, round(avg(CAST(conf AS DOUBLE)), 6) AS conf FROM wd WHERE text <> '' AND TRY_CAST(conf AS DOUBLE) >= 0 GROUP BY doc_id, page_idx, block_num", WORDS)
 _LINES = WORDS + """
 , gl AS (
-  SELECT doc_id, page_idx, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY seq, text) AS text, CAST(min("left") AS DOUBLE) AS x0, CAST(min(top) AS DOUBLE) AS y0, CAST(max("left" + width) AS DOUBLE) AS x1, CAST(max(top + height) AS DOUBLE) AS y1, round(avg(CAST(conf AS DOUBLE)) / 100, 6) AS confidence
+  SELECT doc_id, page_idx, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY seq, text) AS text, min(seq) AS seq, CAST(min("left") AS DOUBLE) AS x0, CAST(min(top) AS DOUBLE) AS y0, CAST(max("left" + width) AS DOUBLE) AS x1, CAST(max(top + height) AS DOUBLE) AS y1, round(avg(CAST(conf AS DOUBLE)) / 100, 6) AS confidence
   FROM wd WHERE length(text) >= 3 AND TRY_CAST(conf AS DOUBLE) >= 55 GROUP BY doc_id, page_idx, block_num, par_num, line_num HAVING length(string_agg(text, ' ' ORDER BY seq)) >= 3
 )
 """
@@ -379,15 +380,23 @@ _BODY = f"(CASE WHEN source = 'ocr' AND (length({_COMPACT}) <= 2 OR {count('text
 _PLACE = f"'[' || upper(type) || ' at x:' || {num('x0')} || ' y:' || {num('y0')} || ' w:' || {num('x1 - x0')} || ' h:' || {num('y1 - y0')} || ']'"
 
 
+#: Every page there is, whether or not a block is left on it.
+_LIST = "pl AS (SELECT doc_id, page_idx, coalesce(class, 'hybrid') AS class, width, height FROM pgs LEFT JOIN cls USING (doc_id, page_idx))"
+page_list = _with("SELECT doc_id, page_idx, class, width, height FROM pl", SIG, _LIST)
+
+
 def pages(block: str) -> str:
-    return f"pg AS (SELECT doc_id, page_idx, coalesce(string_agg(b || chr(10) || chr(10), '' ORDER BY pos) FILTER (b <> ''), '') AS page FROM (SELECT doc_id, page_idx, pos, {block} AS b FROM fz) GROUP BY doc_id, page_idx)"
+    rows = f"SELECT doc_id, page_idx, pos, {block} AS b FROM fz UNION ALL SELECT doc_id, page_idx, -1, '' FROM pl"
+    return f"{_LIST}, pg AS (SELECT doc_id, page_idx, coalesce(string_agg(b || chr(10) || chr(10), '' ORDER BY pos) FILTER (b <> ''), '') AS page FROM ({rows}) GROUP BY doc_id, page_idx)"
 
 
 _TEXT = pages(f"CASE WHEN type = 'text' THEN {_BODY} ELSE {_PLACE} END")
 _TEXT_DOC = "SELECT doc_id, string_agg('=== Page ' || CAST(page_idx + 1 AS VARCHAR) || ' ===' || chr(10) || chr(10) || page || chr(10), '' ORDER BY page_idx) AS c FROM pg GROUP BY doc_id"
 text_export = _with(f"SELECT doc_id, 'document.txt' AS path, sha256(c) AS sha256, CAST(length(c) AS INTEGER) AS chars FROM ({_TEXT_DOC})", *_FINAL, _TEXT, recursive=True)
 text_pages = _with("SELECT doc_id, printf('page_%03d.txt', page_idx + 1) AS path, sha256(page) AS sha256 FROM pg", *_FINAL, _TEXT, recursive=True)
-app_text = _with(f"SELECT doc_id, sha256(c) AS sha256 FROM ({_TEXT_DOC})", *_FINAL, pages(f"CASE WHEN type = 'text' THEN {_BODY} WHEN type = 'math' AND trim(coalesce(latex, '')) <> '' THEN '[MATH] ' || latex ELSE {_PLACE} END"), recursive=True)
+_APP = pages(f"CASE WHEN type = 'text' THEN {_BODY} WHEN type = 'math' AND trim(coalesce(latex, '')) <> '' THEN '[MATH] ' || latex ELSE {_PLACE} END")
+app_text = _with(f"SELECT doc_id, sha256(c) AS sha256 FROM ({_TEXT_DOC})", *_FINAL, _APP, recursive=True)
+app_text_files = _with(f"SELECT doc_id, 'in/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, sha256('===== in/' || CAST(doc_id AS VARCHAR) || '.pdf =====' || chr(10) || chr(10) || c || chr(10)) AS sha256 FROM ({_TEXT_DOC})", *_FINAL, _APP, recursive=True)
 
 
 def _md(place: str) -> str:
@@ -433,13 +442,32 @@ def plain(x: str) -> str:
 _DIV = f"""'<div class=''bbox ' || layer || ' ' || type || ''' style=''left:' || {plain('x0')} || 'px; top:' || {plain('y0')} || 'px; width:' || {plain('x1 - x0')} || 'px; height:' || {plain('y1 - y0')} || 'px;'' data-text=''' || {esc('text')} ||
  ''' data-type=''' || type || ''' data-provenance=''' || source || ''' data-confidence=''' || {plain('confidence')} || ''' data-parser-text=''' || {esc('dp')} || ''' data-ocr-text=''' || {esc('dc')} || ''' data-final-text=''' || {esc('df')} ||
  ''' data-similarity=''' || (CASE WHEN ds IS NULL THEN '' ELSE printf('%d.%03d', CAST(round_even(ds * 1e3, 0) AS BIGINT) // 1000, CAST(round_even(ds * 1e3, 0) AS BIGINT) % 1000) END) || '''></div>'"""
-html_layers = _with(
-    f"""SELECT doc_id, page_idx, layer, place, sha256({_DIV}) AS sha256 FROM (
-  SELECT doc_id, page_idx, track AS layer, seq AS place, type, x0, y0, x1, y1, text, CASE track WHEN 'parser' THEN 6e-1 ELSE 5e-1 END AS confidence, track AS source, NULL AS dp, NULL AS dc, NULL AS df, CAST(NULL AS DOUBLE) AS ds FROM blk
-  UNION ALL SELECT doc_id, page_idx, 'fused', pos, type, x0, y0, x1, y1, text, confidence, source, d_parser, d_ocr, d_final, d_sim FROM fz)""",
-    *_FINAL, recursive=True,
+_LAYERS = """SELECT doc_id, page_idx, track AS layer, seq AS place, type, x0, y0, x1, y1, text, CASE track WHEN 'parser' THEN 6e-1 ELSE 5e-1 END AS confidence, track AS source, NULL AS dp, NULL AS dc, NULL AS df, CAST(NULL AS DOUBLE) AS ds FROM blk
+  UNION ALL SELECT doc_id, page_idx, 'fused', pos, type, x0, y0, x1, y1, text, confidence, source, d_parser, d_ocr, d_final, d_sim FROM fz"""
+html_layers = _with(f"SELECT doc_id, page_idx, layer, place, sha256({_DIV}) AS sha256 FROM ({_LAYERS})", *_FINAL, recursive=True)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_F = [quoted(x) for x in FRAME]
+html_export = _with(
+    f"""SELECT doc_id, printf('debug/page_%03d.html', page_idx + 1) AS path, CAST(length(c) AS INTEGER) AS chars, sha256(c) AS sha256 FROM (
+  SELECT doc_id, page_idx, {_F[0]} || CAST(page_idx + 1 AS VARCHAR) || {_F[1]} || printf('page_%03d.png', page_idx + 1) || {_F[2]} || coalesce(string_agg(div, '' ORDER BY CASE layer WHEN 'parser' THEN 0 WHEN 'ocr' THEN 1 ELSE 2 END, place) FILTER (div <> ''), '') || {_F[3]} AS c
+  FROM (SELECT doc_id, page_idx, layer, place, {_DIV} AS div FROM ({_LAYERS}) UNION ALL SELECT doc_id, page_idx, '', -1, '' FROM pl) GROUP BY doc_id, page_idx)""",
+    *_FINAL, _LIST, recursive=True,
+)
+_CENT = lambda x: f"CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR)"
+_FACTS = f"upper(left(type, 1)) || substr(type, 2) || 'Block/' || source || '/' || {_CENT('x0')} || '/' || {_CENT('y1')} || '/' || {_CENT('confidence')} || '/' || coalesce(CASE WHEN type = 'math' THEN latex END, '') || '/' || CASE WHEN type = 'text' THEN coalesce(text, '') ELSE '' END"
+_DIGEST = lambda at, cond: f"sha256(coalesce(string_agg(f, chr(10) ORDER BY {at}) FILTER ({cond}), ''))"
+json_export = _with(
+    f"""SELECT doc_id, page_idx, any_value(class) AS class, any_value(width) AS width, any_value(height) AS height, CAST(count(*) FILTER (layer = 'fused') AS INTEGER) AS blocks, {_DIGEST('place', "layer = 'fused'")} AS facts, {_DIGEST('place', "layer = 'parser'")} AS parser_facts, {_DIGEST('place', "layer = 'ocr'")} AS ocr_facts
+  FROM pl LEFT JOIN (SELECT doc_id, page_idx, layer, place, {_FACTS} AS f FROM (
+    SELECT doc_id, page_idx, track AS layer, seq AS place, type, x0, y1, text, CASE track WHEN 'parser' THEN 6e-1 ELSE 5e-1 END AS confidence, track AS source, latex FROM blk
+    UNION ALL SELECT doc_id, page_idx, 'fused', pos, type, x0, y1, text, confidence, source, latex FROM fz)) USING (doc_id, page_idx) GROUP BY doc_id, page_idx""",
+    *_FINAL, _LIST, recursive=True,
 )
-json_export = _with("SELECT doc_id, page_idx, class, CAST(count(*) AS INTEGER) AS blocks, string_agg(upper(left(type, 1)) || substr(type, 2) || 'Block/' || source, ',' ORDER BY pos) AS kinds FROM fz GROUP BY doc_id, page_idx, class", *_FINAL, recursive=True)
 batch_summary = """SELECT CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'ppt' ELSE 'none' END AS kind, count(*) FILTER (page_id % 5 <> 4) AS succeeded, count(*) FILTER (page_id % 5 = 4) AS failed, CAST(sum(page_id % 97) AS BIGINT) AS elapsed_ms FROM pages GROUP BY 1"""
 output_paths = "SELECT page_id, 'c ' || CAST(page_id AS VARCHAR) || '.v2_output' AS single, 'out/c ' || CAST(page_id AS VARCHAR) || '.v2' AS batch, 'pdf' AS ext FROM pages"
 doc_info = _with("SELECT doc_id, count(DISTINCT page_idx) AS pages, count(*) AS blocks FROM blk GROUP BY doc_id")
@@ -447,4 +475,91 @@ eval_metrics = _with(
     """SELECT t.doc_id, CAST(length(t) AS INTEGER) AS chars, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS INTEGER) AS words, CAST(len(string_split(regexp_replace(t, '\\n$', ''), chr(10))) AS INTEGER) AS lines, blocks
   FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) t LEFT JOIN (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY doc_id) b ON b.doc_id = t.doc_id"""
 )
-debug_attach = _with("SELECT doc_id, page_idx, CAST(count(*) FILTER (track = 'parser') AS INTEGER) AS parser_blocks, CAST(count(*) FILTER (track = 'ocr') AS INTEGER) AS ocr_blocks FROM blk GROUP BY doc_id, page_idx")
+_SAID = "CAST(seq AS VARCHAR) || '/' || type || '/' || coalesce(text, '')"
+debug_attach = _with(
+    f"""SELECT doc_id, page_idx, CAST(count(*) FILTER (track = 'parser') AS INTEGER) AS parser_blocks, CAST(count(*) FILTER (track = 'ocr') AS INTEGER) AS ocr_blocks,
+  sha256(coalesce(string_agg({_SAID}, chr(10) ORDER BY seq) FILTER (track = 'parser'), '')) AS parser_facts, sha256(coalesce(string_agg({_SAID}, chr(10) ORDER BY seq) FILTER (track = 'ocr'), '')) AS ocr_facts FROM blk GROUP BY doc_id, page_idx"""
+)
+
+# What the recognizer's steps make of its words. Words of a line stand side by side with rising left edges, and joining
+# asks for a gap of 0 or more, so a block's right edge is its last word's and the word before decides.
+_TOKENS = WORDS + f"""
+, tk AS (SELECT doc_id, page_idx, seq, CASE WHEN seq % 7 = 0 THEN 'figure' ELSE 'text' END AS block_type, text, CAST("left" AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS y0, CAST("left" + width AS DOUBLE) AS x1, CAST(top + height AS DOUBLE) AS y1 FROM wd WHERE text <> ''),
+ck AS (SELECT * FROM tk WHERE NOT (block_type = 'text' AND {noisy('text')})),
+tn AS (SELECT *, sum(CASE WHEN abs(y0 + y1 - py) <= 18 AND x0 - px BETWEEN 0 AND 24 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_idx ORDER BY seq) - 1 AS g
+       FROM (SELECT *, lag(x1) OVER w AS px, lag(y0 + y1) OVER w AS py FROM ck WHERE block_type = 'text' WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY seq))),
+fig AS (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id, c.page_idx ORDER BY c.seq) + coalesce(m.n, 0) - 1 AS g FROM ck c LEFT JOIN (SELECT doc_id, page_idx, max(g) + 1 AS n FROM tn GROUP BY doc_id, page_idx) m ON m.doc_id = c.doc_id AND m.page_idx = c.page_idx WHERE c.block_type <> 'text')
+"""
+adjacent_merge = _with(
+    """SELECT doc_id, page_idx, CAST(g AS INTEGER) AS pos, block_type, string_agg(text, ' ' ORDER BY seq) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM (SELECT doc_id, page_idx, g, block_type, seq, text, x0, y0, x1, y1 FROM tn UNION ALL SELECT doc_id, page_idx, g, block_type, seq, text, x0, y0, x1, y1 FROM fig) GROUP BY doc_id, page_idx, g, block_type""",
+    _TOKENS,
+)
+_GATE = """
+ot AS (SELECT doc_id, page_idx, seq, type, coalesce(text, '') AS text, x0, y0, x1, y1, latex FROM blk WHERE track = 'ocr'),
+gate AS (SELECT p.doc_id, p.page_idx, count(ot.seq) AS n_tokens, CAST(coalesce(sum(length(trim(ot.text))), 0) AS BIGINT) AS n_chars FROM pgs p LEFT JOIN ot ON ot.doc_id = p.doc_id AND ot.page_idx = p.page_idx GROUP BY p.doc_id, p.page_idx)
+"""
+fallback_pages = _with("SELECT doc_id, page_idx, n_tokens, n_chars, n_tokens <= 2 OR n_chars < 50 AS fallback FROM gate", _GATE)
+fallback_union = _with(
+    f"""SELECT doc_id, page_idx, seq, type AS block_type, text, x0, y0, x1, y1, 5e-1 AS confidence FROM ot
+  UNION ALL SELECT doc_id, page_idx, CAST(seq + 1000000 AS INTEGER), 'text', text, x0, y0, x1, y1, confidence FROM gl l
+  WHERE EXISTS (SELECT 1 FROM gate g WHERE g.doc_id = l.doc_id AND g.page_idx = l.page_idx AND (g.n_tokens <= 2 OR g.n_chars < 50))
+    AND NOT EXISTS (SELECT 1 FROM ot b WHERE b.doc_id = l.doc_id AND b.page_idx = l.page_idx AND {inter('l.', 'b.')} / greatest((l.x1 - l.x0) * (l.y1 - l.y0), 1) > 0.7)""",
+    _LINES, _GATE,
+)
+extract_pages = _with(
+    """SELECT doc_id, page_idx, 0 AS seq, CAST(1000 AS DOUBLE) AS x1, CAST(1400 AS DOUBLE) AS y1, string_agg(line, chr(10) ORDER BY i) FILTER (seen = 1 AND NOT (line = '' AND prev = '')) AS text, 6e-1 AS confidence
+  FROM (SELECT *, lag(line) OVER w AS prev, max(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER w AS seen
+        FROM (SELECT doc_id, page_idx, i, trim(parts[i]) AS line FROM (SELECT doc_id, page_idx, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+          SELECT doc_id, page_idx, string_split(CASE WHEN doc_id % 2 = 0 THEN '다라' || chr(10) || chr(10) || chr(10) || t ELSE t || chr(10) || '가나' END, chr(10)) AS parts
+          FROM (SELECT doc_id, page_idx, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lin GROUP BY doc_id, page_idx))))
+        WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY i)) GROUP BY doc_id, page_idx"""
+)
+short_runs = f"""
+WITH v(id, text) AS (VALUES {_LITERAL}),
+w AS (SELECT id, i, ws[i] AS x, regexp_full_match(ws[i], '[가-힣]') AS single FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM v))),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, single ORDER BY i) AS grp FROM w),
+r AS (SELECT id, min(i) AS i, CASE WHEN single AND count(*) BETWEEN 3 AND 4 THEN string_agg(x, '' ORDER BY i) ELSE string_agg(x, ' ' ORDER BY i) END AS x FROM g GROUP BY id, single, grp)
+SELECT v.id, coalesce(string_agg(r.x, ' ' ORDER BY r.i), any_value(v.text)) AS text FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id
+"""
+
+#: id, class, parser text, optical text. They use few characters, so that each can become one byte for the edit distance.
+KOREAN_PAIRS = [
+    (0, "digital", "ㄱㄴㄷ", "한글 문서 " * 12), (1, "hybrid", "ㄱㄴㄷ", "한글 문서 " * 12), (2, "scanned", "ㄱㄴㄷ", "한글 문서 " * 12), (3, "digital", "한글 문서", "한글 문서"),
+    (4, "scanned", "한글 문서", "한글 문서"), (5, "hybrid", "한글 문서 글문", "한글 문서 문글"), (6, "digital", "한글문서한글문서", "ㄱㄴㄷㄱㄴㄷㄱㄴㄷ"), (7, "scanned", "한글문서", "ㄱㄴㄷㄱㄴㄷㄱㄴㄷ"),
+    (8, "digital", "abc def", "한글 문서 " * 9), (9, "hybrid", "abc def", "한글 문서 한글"), (10, "scanned", "글 漢字 문서 한글", "漢字 한"), (11, "digital", "ㄱㄴㄷㄱㄴㄷ", "ㄱㄴㄷㄱㄴㄷ"),
+    (12, "digital", "ㄱㄴㄷㄱㄴㄷ", "한글"), (13, "scanned", "ㄱㄴㄷ", "漢字 한 글"), (14, "hybrid", "한글", "문서 글 한 " * 9), (15, "scanned", "2024 한글", "2023 한글"),
+]
+_pairs = ", ".join(f"({i}, '{c}', '{p}', '{o}')" for i, c, p, o in KOREAN_PAIRS)
+
+
+def measures(a: str, x: str) -> str:
+    """Counts of syllables, jamo and hanja of a text column, and its quality, as <x>s, <x>j, <x>h, <x>q."""
+    s_, j_, h_ = (count(a, p) for p in (_SYL, _JAMO, _HANJA))
+    return f"{s_} AS {x}s, {j_} AS {x}j, {h_} AS {x}h, 2 * {s_} - 3 * {j_} AS {x}q"
+
+
+_few = lambda x: f"translate({x}, '한글문서ㄱㄴㄷ漢字', '{_STAND_INS[:9]}')"
+korean_pairs = f"""
+WITH v(id, class, pt, ot) AS (VALUES {_pairs}),
+m AS (SELECT *, {norm('ot')} AS n, {sim('pt', 'ot').replace(octets('pt'), _few('pt')).replace(octets('ot'), _few('ot'))} AS sim, {measures('pt', 'p')}, {measures('ot', 'o')} FROM v),
+k AS (SELECT *, ps + pj + os + oj > 0 AS kor, length(n) <= 1 OR {count('n', '[A-Za-z0-9\\x{AC00}-\\x{D7A3}]')} <= 1 OR (length(n) >= 6 AND len(list_distinct(string_split(n, ''))) <= 2) OR (os + oj > 0 AND (oh >= 2 OR oq < -6)) AS noisy FROM m),
+c AS (SELECT *, CASE
+    WHEN sim >= 0.72 AND class = 'scanned' THEN 'ocr+fused' WHEN sim >= 0.72 THEN 'parser+fused'
+    WHEN class = 'digital' AND kor AND sim < 0.30 AND oq > pq + 5 AND length(ot) > length(pt) + 40 THEN 'ocr'
+    WHEN class = 'hybrid' AND ((kor AND sim < 0.30 AND oq > pq + 4 AND length(ot) > length(pt) + 50) OR (sim < 0.35 AND length(ot) > length(pt) + 80 AND NOT noisy)) THEN 'ocr'
+    WHEN class = 'scanned' AND n <> '' AND NOT noisy THEN 'ocr' ELSE 'parser' END AS ch, {conf('true', 'true', 'sim', 'true')} AS base FROM k),
+d AS (SELECT *, CASE WHEN ch LIKE '%fused' THEN 'fused' ELSE ch END AS source, CASE WHEN kor AND ch = 'parser' AND pq < -2 THEN {clamp('base - 2e-1')} WHEN kor AND ch = 'ocr' AND oq > 0 THEN {clamp('base + 5e-2')} ELSE base END AS c1 FROM c)
+SELECT id, source, round(CASE WHEN class = 'scanned' AND source = 'ocr' THEN {clamp('c1 + 8e-2')} ELSE c1 END, 6) AS confidence, CASE WHEN ch LIKE 'ocr%' THEN ot ELSE pt END AS text, round(sim, 6) AS sim FROM d
+"""
+#: Blocks of pages: doc_id, seq, source, text.
+KOREAN_BLOCKS = [
+    (1, 0, "parser", "ㄱㄴㄷㄹㅁㅂㅅ"), (1, 1, "ocr", "한글 문서"), (2, 0, "parser", "한국어 문서의 본문은 충분히 길고 또한 믿을 만합니다 그렇습니다"), (2, 1, "ocr", "한글 조각"), (2, 2, "ocr", "English words stay"),
+    (3, 0, "parser", "ㄱㄴㄷㄹㅁㅂㅅ"), (3, 1, "ocr", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊ"), (4, 0, "parser", "짧은 글"), (4, 1, "ocr", "짧은 조각"), (5, 0, "fused", "이 문서는 두 쪽에서 온 글로 되어 있으며 모두 읽을 수 있다"), (5, 1, "ocr", "읽을 수 있다"),
+    (6, 0, "parser", "Plain English text of a page"), (6, 1, "ocr", "한글"), (7, 0, "ocr", "ㄱㄴ"), (8, 0, "parser", "ㄱㄴㄷㄹㅁㅂㅅㅇ"), (8, 1, "parser", "온전한 글"),
+]
+_kb = "v(doc_id, seq, source, text) AS (VALUES " + ", ".join(f"(CAST({d} AS BIGINT), {n}, '{c}', '{t}')" for d, n, c, t in KOREAN_BLOCKS) + f"), k AS (SELECT *, {measures('text', 'k')} FROM v)"
+degraded_parser = f"WITH {_kb} SELECT doc_id, seq FROM (SELECT *, max(CASE WHEN source = 'ocr' THEN kq END) OVER (PARTITION BY doc_id) AS best FROM k) WHERE NOT coalesce(source = 'parser' AND ks + kj > 0 AND kq < -10 AND best > kq, false)"
+korean_ocr = f"WITH {_kb} SELECT doc_id, seq FROM (SELECT *, coalesce(sum(CASE WHEN source <> 'ocr' THEN ks END) OVER w >= 18 AND max(CASE WHEN source <> 'ocr' THEN kq END) OVER w >= -1, false) AS ok FROM k WINDOW w AS (PARTITION BY doc_id)) WHERE NOT (ok AND source = 'ocr' AND ks + kj > 0)"
+korean_singles = f"""WITH {_kb} SELECT doc_id, seq, class, round(CASE WHEN source = 'ocr' THEN 4e-1 + (CASE class WHEN 'scanned' THEN 8e-2 ELSE 0e0 END) ELSE 5e-1 - (CASE WHEN ks + kj > 0 AND kq < -2 THEN 2e-1 ELSE 0e0 END) - (CASE class WHEN 'scanned' THEN 1e-1 ELSE 0e0 END) END, 6) AS confidence,
+  source = 'parser' AND ks + kj > 0 AND kj >= 2 * ks AND kj >= 8 AS skipped FROM k CROSS JOIN (VALUES ('digital'), ('scanned'), ('hybrid')) c(class)"""

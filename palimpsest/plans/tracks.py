@@ -75,7 +75,14 @@ def blocks(docs: DataFrame) -> DataFrame:
     )
 
 
-#: The same tracks for DuckDB, as common table expressions that end in `blk`.
+def pages(docs: DataFrame) -> DataFrame:
+    """The pages that the tracks know of, with their sizes: those with lines, and a blank one at the end of some documents."""
+    last = lines(docs).groupBy("doc_id").agg((F.max("page_idx") + F.expr("cast(any_value(doc_id) % 7 = 0 AS int)")).alias("last"))
+    rows = last.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page_idx"))
+    return rows.select("doc_id", "page_idx", F.expr("cast(1000 + 10 * ((doc_id + page_idx) % 3) AS int)").alias("width"), F.lit(1400).alias("height"))
+
+
+#: The same tracks for DuckDB, as common table expressions: `blk` has the blocks, `pgs` the pages.
 SQL = f"""
 lin AS (
   SELECT doc_id, line_no, line, CAST(line_no // 20 AS INTEGER) AS page_idx, line_no % 20 AS k,
@@ -109,5 +116,9 @@ blk AS (
   SELECT doc_id, page_idx, track, CAST(seq AS INTEGER) AS seq, type, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1,
          CASE WHEN type = 'text' THEN raw END AS text, CASE WHEN type = 'math' AND seq % 2 = 0 THEN 'x_' || CAST(seq AS VARCHAR) END AS latex
   FROM raw_blk
+),
+pgs AS (
+  SELECT doc_id, page_idx, CAST(1000 + 10 * ((doc_id + page_idx) % 3) AS INTEGER) AS width, 1400 AS height
+  FROM (SELECT doc_id, CAST(unnest(range(0, max(page_idx) + 1 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END)) AS INTEGER) AS page_idx FROM lin GROUP BY doc_id)
 )
 """

@@ -2,16 +2,24 @@
 
 A block's number counts all blocks of the page, also those left out, so it is taken before any filter. Numbers are
 written without decimals, halves to even.
+
+Every exporter takes the list of pages (operators/fuse.py: page_list) besides the fused blocks, so that a page on which
+nothing is left still has its header, its JSON entry and its files. The list joins the aggregation as one row a page,
+which costs no join. Without a list, the pages are those that have fused blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.geometry import Box
-from palimpsest.plans.schema import PAGE
+from palimpsest.plans.schema import PAGE, PAGE_HEIGHT, PAGE_WIDTH
+from palimpsest.runtime import save, ship
 
 
 def body() -> Column:
@@ -62,11 +70,25 @@ def crop_box(width: int = 1000, height: int = 1400) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), F.when(ok, w).otherwise(0).alias("w"), F.when(ok, h).otherwise(0).alias("h"))
 
 
-def _pages(fused: DataFrame, block: Column) -> DataFrame:
-    """Page key and the page's non-empty blocks in order, each with an empty line after it."""
-    rows = fused.select(*PAGE, "pos", block.alias("block"))
-    kept = F.filter(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"] != "")
-    return rows.groupBy(*PAGE).agg(F.array_join(F.transform(kept, lambda x: F.concat(x["block"], F.lit("\n\n"))), "").alias("page"))
+def _with_list(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """rows and one row for each page of the list, all else null."""
+    return rows if pages is None else rows.unionByName(pages.select(*PAGE).distinct(), allowMissingColumns=True)
+
+
+def _in_order(number: str, value: str) -> Column:
+    """Values of a group in order; nulls and empty ones left out."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col(value) != "", F.struct(number, value)))), lambda x: x[value])
+
+
+def _page_text(block: str) -> Column:
+    """A page's non-empty blocks in order, each with an empty line after it."""
+    return F.array_join(F.transform(_in_order("pos", block), lambda x: F.concat(x, F.lit("\n\n"))), "")
+
+
+def _pages(fused: DataFrame, block: Column, pages: DataFrame | None = None) -> DataFrame:
+    """Page key and the page's text."""
+    rows = _with_list(fused.select(*PAGE, "pos", block.alias("block")), pages)
+    return rows.groupBy(*PAGE).agg(_page_text("block").alias("page"))
 
 
 def _documents(pages: DataFrame, head: str, page: Column, name: str) -> DataFrame:
@@ -82,20 +104,39 @@ def _page_path(ending: str) -> Column:
     return F.format_string(f"page_%03d.{ending}", F.col("page_idx") + 1)
 
 
-def text_documents(fused: DataFrame, latex: bool = False) -> DataFrame:
-    return _documents(_pages(fused, text_block(latex)), "", F.concat(F.lit("=== Page "), _number(), F.lit(" ===\n\n"), F.col("page"), F.lit("\n")), "document.txt")
+def _text_page(page: str = "page") -> Column:
+    return F.concat(F.lit("=== Page "), _number(), F.lit(" ===\n\n"), F.col(page), F.lit("\n"))
+
+
+def _markdown_part(page: str = "page") -> Column:
+    return F.concat(F.lit("---\n\n## Page "), _number(), F.lit("\n\n"), F.col(page))
+
+
+def _markdown_page(page: str = "page") -> Column:
+    return F.concat(F.lit("# Page "), _number(), F.lit("\n\n"), F.col(page))
 
 
-def text_pages(fused: DataFrame) -> DataFrame:
-    return _pages(fused, text_block()).select("doc_id", _page_path("txt").alias("path"), F.col("page").alias("content"))
+def text_documents(fused: DataFrame, latex: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    return _documents(_pages(fused, text_block(latex), pages), "", _text_page(), "document.txt")
 
 
-def markdown_documents(fused: DataFrame, has_image: Column | None = None) -> DataFrame:
-    return _documents(_pages(fused, markdown_block(True, has_image)), "# Document\n\n", F.concat(F.lit("---\n\n## Page "), _number(), F.lit("\n\n"), F.col("page")), "document.md")
+def text_pages(fused: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    return _pages(fused, text_block(), pages).select("doc_id", _page_path("txt").alias("path"), F.col("page").alias("content"))
 
 
-def markdown_pages(fused: DataFrame, has_image: Column | None = None) -> DataFrame:
-    return _pages(fused, markdown_block(False, has_image)).select("doc_id", _page_path("md").alias("path"), F.concat(F.lit("# Page "), _number(), F.lit("\n\n"), F.col("page")).alias("content"))
+def combined_text(fused: DataFrame, names: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """What the application shows of several files: each file's text under a header with its path. names: doc_id, path.
+    One row a file, so that no row grows with the number of files; read them in the order of `path`."""
+    t = text_documents(fused, latex=True, pages=pages).drop("path").join(names.select("doc_id", "path"), "doc_id")
+    return t.select("doc_id", "path", F.concat(F.lit("===== "), F.col("path"), F.lit(" =====\n\n"), F.col("content"), F.lit("\n")).alias("content"))
+
+
+def markdown_documents(fused: DataFrame, has_image: Column | None = None, pages: DataFrame | None = None) -> DataFrame:
+    return _documents(_pages(fused, markdown_block(True, has_image), pages), "# Document\n\n", _markdown_part(), "document.md")
+
+
+def markdown_pages(fused: DataFrame, has_image: Column | None = None, pages: DataFrame | None = None) -> DataFrame:
+    return _pages(fused, markdown_block(False, has_image), pages).select("doc_id", _page_path("md").alias("path"), _markdown_page().alias("content"))
 
 
 def _plain(x: Column) -> Column:
@@ -111,7 +152,8 @@ def layers(blocks: DataFrame, fused: DataFrame) -> DataFrame:
 
 
 def html_div() -> Column:
-    """A box of the debug view, with what is known of it as data attributes."""
+    """A box of the debug view, with what is known of it as data attributes. The element, its classes and the names of its
+    attributes are a fixed output format."""
     b, esc = Box.of(), lambda c: T.html_escape(F.coalesce(c, F.lit("")))
     # Three decimals, halves to even; format_string would round them up.
     mille = F.bround(F.col("debug.similarity") * F.lit(1000.0), 0).cast("long")
@@ -124,37 +166,56 @@ def html_div() -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-#: Colours by layer and kind.
-_STYLE = """
-body { margin: 0; font-family: sans-serif; }
-#canvas { position: relative; }
-.bbox { position: absolute; border: 2px solid; box-sizing: border-box; }
-.parser { border-color: rgba(0,0,255,0.6); } .ocr { border-color: rgba(255,0,0,0.6); } .fused { border-color: rgba(0,128,0,0.6); }
-.text { background: rgba(100,100,255,0.1); } .table { background: rgba(255,165,0,0.15); } .figure { background: rgba(128,0,128,0.1); } .math { background: rgba(0,200,200,0.15); }
-#info { position: fixed; right: 10px; top: 10px; max-width: 300px; background: #fff; border: 1px solid #ddd; padding: 10px; }
+STYLE = """
+:root { --line: #d0d4da; }
+body { margin: 0; padding: 1rem; background: #f4f5f7; font: 14px/1.4 system-ui, sans-serif; display: flex; gap: 1rem; align-items: flex-start; }
+main { position: relative; background: #fff; outline: 1px solid var(--line); }
+aside { position: sticky; top: 1rem; width: 20rem; }
+dl { margin: 0; padding: .75rem; background: #fff; outline: 1px solid var(--line); overflow-wrap: anywhere; }
+dt { color: #5b6470; } dd { margin: 0 0 .5rem; white-space: pre-wrap; }
+.bbox { position: absolute; box-sizing: border-box; outline-style: solid; outline-width: 1px; opacity: .85; }
+.parser { outline-color: #3367d6; } .ocr { outline-color: #c5221f; outline-style: dashed; } .fused { outline-color: #137333; outline-width: 3px; }
+.table { background: #fbbc0433; } .figure { background: #a142f433; } .math { background: #24c1e033; }
 """
-_SCRIPT = """
-const info = document.getElementById('info');
-document.querySelectorAll('.bbox').forEach(box => box.addEventListener('click', () => {
-  info.textContent = Object.entries(box.dataset).map(([k, v]) => k + ': ' + v).join('\\n');
-}));
+SCRIPT = """
+const facts = document.querySelector('dl');
+document.querySelector('main').onclick = event => {
+  if (!event.target.matches('.bbox')) return;
+  facts.replaceChildren(...Object.keys(event.target.dataset).flatMap(name => {
+    const term = document.createElement('dt'), value = document.createElement('dd');
+    term.append(name); value.append(event.target.dataset[name]);
+    return [term, value];
+  }));
+};
 """
+#: Around the boxes of a page: before its number, between it and its image, between image and boxes, and after them.
+FRAME = (
+    "<!DOCTYPE html>\n<html lang='en'>\n<meta charset='utf-8'>\n<title>Layers of page ",
+    f"</title>\n<style>{STYLE}</style>\n<main>\n<img alt='' src='",
+    "'>\n",
+    f"\n</main>\n<aside><dl><dt>No box chosen</dt></dl></aside>\n<script>{SCRIPT}</script>\n</html>\n",
+)
+
+
+def _html_page(divs: str) -> Column:
+    a, b, c, d = (F.lit(x) for x in FRAME)
+    return F.concat(a, _number(), b, _page_path("png"), c, F.col(divs), d)
 
 
-def html_pages(blocks: DataFrame, fused: DataFrame) -> DataFrame:
+def html_pages(blocks: DataFrame, fused: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """A page's debug view: all three layers over the page image."""
-    rows = layers(blocks, fused).select(*PAGE, "layer_no", "place", html_div().alias("div"))
-    divs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer_no", "place", "div"))), lambda x: x["div"]), "")
-    pages = rows.groupBy(*PAGE).agg(divs.alias("divs"))
-    head = F.concat(F.lit("<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>Debug Page "), _number(), F.lit(f"</title><style>{_STYLE}</style></head>\n<body>\n<div id='info'>Click a block to inspect.</div>\n<div id='canvas'><img src='"), _page_path("png"), F.lit("' />\n"))
-    return pages.select("doc_id", F.concat(F.lit("debug/"), _page_path("html")).alias("path"), F.concat(head, F.col("divs"), F.lit(f"\n</div>\n<script>{_SCRIPT}</script>\n</body></html>")).alias("content"))
+    rows = _with_list(layers(blocks, fused).select(*PAGE, F.struct("layer_no", "place").alias("at"), html_div().alias("div")), pages)
+    divs = rows.groupBy(*PAGE).agg(F.array_join(_in_order("at", "div"), "").alias("divs"))
+    return divs.select("doc_id", F.concat(F.lit("debug/"), _page_path("html")).alias("path"), _html_page("divs").alias("content"))
 
 
-def _json_block(fused: bool) -> Column:
+NO_DEBUG = "struct<parser_text:string,ocr_text:string,final_text:string,similarity:double>"
+
+
+def json_block(debug: Column) -> Column:
     """A block with the fields of its kind only: lines for text, latex for math that has some."""
     box = F.struct("x0", "y0", "x1", "y1")
     tag = F.concat(F.initcap("type"), F.lit("Block"))
-    debug = F.col("debug") if fused else F.lit(None).cast("struct<parser_text:string,ocr_text:string,final_text:string,similarity:double>")
     opts = {"ignoreNullFields": "false"}
     base = [tag.alias("type"), box.alias("bbox")]
     rest = [F.col("confidence"), F.col("source")]
@@ -164,27 +225,88 @@ def _json_block(fused: bool) -> Column:
     return F.when(F.col("type") == "text", text).when((F.col("type") == "math") & F.col("latex").isNotNull(), math).otherwise(bare)
 
 
-def json_documents(fused: DataFrame, blocks: DataFrame | None = None, width: int = 1000, height: int = 1400) -> DataFrame:
-    """document.json: pages with class, blocks and size; with blocks, also each page's two tracks under debug."""
-    arr = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["j"]), ","), F.lit("]"))
-    listed = fused.select(*PAGE, "class", F.col("pos").alias("n"), _json_block(True).alias("j"))
-    pages = listed.groupBy(*PAGE).agg(arr(F.struct("n", "j")).alias("blocks"), F.max("class").alias("class"))
-    debug = F.lit("")
-    if blocks is not None:
-        side = lambda t: arr(F.when(F.col("track") == t, F.struct("n", "j")))
-        both = blocks.select(*PAGE, "track", F.col("seq").alias("n"), _json_block(False).alias("j")).groupBy(*PAGE).agg(side("parser").alias("jp"), side("ocr").alias("jo"))
-        pages = pages.join(both, PAGE)
-        debug = F.concat(F.lit(',"debug":{"parser_blocks":'), F.col("jp"), F.lit(',"ocr_blocks":'), F.col("jo"), F.lit("}"))
-    page = F.concat(F.lit('{"page_idx":'), F.col("page_idx").cast("string"), F.lit(',"class":"'), F.col("class"), F.lit('","blocks":'), F.col("blocks"), F.lit(f',"width":{width},"height":{height}'), debug, F.lit("}"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", page.alias("p")))), lambda x: x["p"]), ",")
-    return pages.groupBy("doc_id").agg(F.concat(F.lit('{"pages":['), parts, F.lit("]}")).alias("content")).select("doc_id", F.lit("document.json").alias("path"), "content")
+def _json_array(number: str, value: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(number).alias("n"), value.alias("j"))))), lambda x: x["j"]), ","), F.lit("]"))
 
 
-def all_documents(blocks: DataFrame, fused: DataFrame) -> DataFrame:
-    """Every file of every format. Persist `fused` first: each format reads it."""
-    return json_documents(fused, blocks).unionByName(html_pages(blocks, fused)).unionByName(text_documents(fused)).unionByName(text_pages(fused)).unionByName(markdown_documents(fused)).unionByName(markdown_pages(fused))
+def _json_rows(fused: DataFrame, blocks: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """Fused blocks, the tracks' blocks and the list's pages, one under the other, in JSON."""
+    rows = fused.select(*PAGE, "class", F.lit("fused").alias("layer"), F.col("pos").alias("n"), json_block(F.col("debug")).alias("j"))
+    if blocks is not None:
+        rows = rows.unionByName(blocks.select(*PAGE, F.col("track").alias("layer"), F.col("seq").alias("n"), json_block(F.lit(None).cast(NO_DEBUG)).alias("j")), allowMissingColumns=True)
+    if pages is not None:
+        rows = rows.unionByName(pages.select(*PAGE, "class", "width", "height"), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
+    return rows
+
+
+def _json_page(with_debug: bool) -> Column:
+    """A page's JSON from the rows of its group."""
+    side = lambda t: _json_array("n", F.when(F.col("layer") == t, F.col("j")))
+    debug = F.concat(F.lit(',"debug":{"parser_blocks":'), side("parser"), F.lit(',"ocr_blocks":'), side("ocr"), F.lit("}")) if with_debug else F.lit("")
+    size = lambda c, d: F.coalesce(F.max(c), F.lit(d)).cast("string")
+    return F.concat(
+        F.lit('{"page_idx":'), F.col("page_idx").cast("string"), F.lit(',"class":"'), F.coalesce(F.max("class"), F.lit("hybrid")), F.lit('","blocks":'), side("fused"),
+        F.lit(',"width":'), size("width", PAGE_WIDTH), F.lit(',"height":'), size("height", PAGE_HEIGHT), debug, F.lit("}"),
+    )
+
+
+def json_documents(fused: DataFrame, blocks: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """document.json: pages with class, blocks and size (the larger of the tracks'); with blocks, also each page's two
+    tracks under debug."""
+    found = _json_rows(fused, blocks, pages).groupBy(*PAGE).agg(_json_page(blocks is not None).alias("json"))
+    return _json_document(found)
+
+
+def _json_document(pages: DataFrame, column: str = "json") -> DataFrame:
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", F.col(column).alias("p")))), lambda x: x["p"]), ",")
+    return pages.groupBy("doc_id").agg(F.concat(F.lit('{"pages":['), parts, F.lit("]}")).alias("content")).select("doc_id", F.lit("document.json").alias("path"), "content")
 
 
-def write_files(files: DataFrame, base: str) -> None:
-    """The files as a table partitioned by document, which any store takes; names are the `path` column."""
-    files.write.mode("overwrite").partitionBy("doc_id").json(base)
+def page_contents(blocks: DataFrame, fused: DataFrame, pages: DataFrame, has_image: Column | None = None) -> DataFrame:
+    """By page, in one aggregation: json, text, markdown (of the document and of the page) and html."""
+    json = _json_rows(fused, blocks, pages)
+    body_ = fused.select(*PAGE, "pos", text_block().alias("t"), markdown_block(True, has_image).alias("md"), markdown_block(False, has_image).alias("mp"))
+    boxes = layers(blocks, fused).select(*PAGE, F.struct("layer_no", "place").alias("at"), html_div().alias("div"))
+    rows = json.unionByName(body_, allowMissingColumns=True).unionByName(boxes, allowMissingColumns=True)
+    return rows.groupBy(*PAGE).agg(_json_page(True).alias("json"), _page_text("t").alias("text"), _page_text("md").alias("md"), _page_text("mp").alias("mp"), F.array_join(_in_order("at", "div"), "").alias("divs"))
+
+
+def all_documents(blocks: DataFrame, fused: DataFrame, pages: DataFrame, has_image: Column | None = None) -> DataFrame:
+    """Every file of every format. The pages' contents are written down once; documents and page files read them."""
+    c = save(page_contents(blocks, fused, pages, has_image), "export-pages")
+    file = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
+    each = F.array(file(F.concat(F.lit("debug/"), _page_path("html")), _html_page("divs")), file(_page_path("txt"), F.col("text")), file(_page_path("md"), _markdown_page("mp")))
+    by_page = c.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.path", "f.content")
+    return _json_document(c).unionByName(_documents(c, "", _text_page("text"), "document.txt")).unionByName(_documents(c, "# Document\n\n", _markdown_part("md"), "document.md")).unionByName(by_page)
+
+
+def write_files(files: DataFrame, base: str) -> DataFrame:
+    """Write each row's content (string or binary) as the file <base>/<folder>/<path> and return folder, path and bytes.
+
+    base: a path or URI that all executors share. A file appears under its name when it is whole: it is written beside it
+    and then moved, so a task that runs again replaces its own file."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import posixpath
+        import uuid
+
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(base)
+        for b in batches:
+            sizes = []
+            for folder, path, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                target = posixpath.join(root, folder, path)
+                fs.create_dir(posixpath.dirname(target), recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part) as f:
+                    f.write(content or b"")
+                fs.move(part, target)
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["folder", "path", "bytes"])
+
+    rows = files.select("folder", "path", F.col("content").cast("binary").alias("content"))
+    return save(rows.mapInArrow(run, "folder string, path string, bytes long"), "export-written")
