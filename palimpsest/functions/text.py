@@ -112,7 +112,9 @@ def noisy_ocr(text: Column) -> Column:
 def noise_token(norm: Column) -> Column:
     """The recognizer's own noise rule, on text that normalize_ocr() has cleaned."""
     c = compact(norm)
-    return (F.length(norm) <= 1) | (alnum(norm) <= 1) | ((F.length(c) >= 6) & (distinct_chars(c) <= 2)) | ((syllables(norm) >= 3) & (hanja(norm) >= 2)) | degraded(norm, 6)
+    # Texts of fewer than six characters can't repeat; texts without Korean can't be broken Korean.
+    korean = has_korean(norm) & (((syllables(norm) >= 3) & (hanja(norm) >= 2)) | degraded(norm, 6))
+    return (F.length(norm) <= 1) | (alnum(norm) <= 1) | ((F.length(norm) >= 6) & (F.length(c) >= 6) & (distinct_chars(c) <= 2)) | korean
 
 
 def candidate_score(norm: Column, conf_100: Column) -> Column:
@@ -204,11 +206,6 @@ def rounded(x: Column) -> Column:
     return F.bround(x, 0).cast("long").cast("string")
 
 
-def block_text(lines: Column) -> Column:
-    """Spans joined by a blank."""
-    return F.array_join(F.flatten(F.transform(lines, lambda x: F.transform(x["spans"], lambda s: s["text"]))), " ")
-
-
 def block_body(lines: Column) -> Column:
     """Spans joined as they are, lines by line ends."""
     return F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(x["spans"], lambda s: s["text"]), "")), "\n")

@@ -27,7 +27,7 @@ def readable(df: DataFrame) -> DataFrame:
 
 
 def parser_blocks(cands: DataFrame, composed: bool = False) -> DataFrame:
-    """The parser track of extracted pages: one full-page text block each."""
+    """The parser track of extracted pages: one full-page text block each (the box of a page's only run)."""
     t = readable(best_mode(cands, composed))
     lit = lambda v: F.lit(float(v))
     box = (lit(0), lit(0), lit(PAGE_WIDTH), lit(PAGE_HEIGHT))
@@ -36,9 +36,3 @@ def parser_blocks(cands: DataFrame, composed: bool = False) -> DataFrame:
         *[v.alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)], "text",
         one_line(F.col("text"), F.lit("parser"), *box).alias("lines"), F.lit(0.6).alias("confidence"), F.lit("parser").alias("source"), F.lit(None).cast("string").alias("latex"),
     )
-
-
-def run_boxes(runs: DataFrame) -> DataFrame:
-    """Runs of a page -> one block's box and text, in run order."""
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    return runs.groupBy(*PAGE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), texts.alias("text"), F.count("*").alias("n_runs"))

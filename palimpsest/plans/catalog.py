@@ -425,7 +425,7 @@ def _(spark, d):
 
 @query("doc_info", O.doc_info)
 def _(spark, d):
-    return files.doc_info(blocks(spark, d))
+    return files.doc_info(blocks(spark, d), tracks.pages(table(spark, d, "documents")))
 
 
 @query("eval_metrics", O.eval_metrics)

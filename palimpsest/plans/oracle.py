@@ -470,7 +470,7 @@ json_export = _with(
 )
 batch_summary = """SELECT CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'ppt' ELSE 'none' END AS kind, count(*) FILTER (page_id % 5 <> 4) AS succeeded, count(*) FILTER (page_id % 5 = 4) AS failed, CAST(sum(page_id % 97) AS BIGINT) AS elapsed_ms FROM pages GROUP BY 1"""
 output_paths = "SELECT page_id, 'c ' || CAST(page_id AS VARCHAR) || '.v2_output' AS single, 'out/c ' || CAST(page_id AS VARCHAR) || '.v2' AS batch, 'pdf' AS ext FROM pages"
-doc_info = _with("SELECT doc_id, count(DISTINCT page_idx) AS pages, count(*) AS blocks FROM blk GROUP BY doc_id")
+doc_info = _with("SELECT doc_id, pages, blocks FROM (SELECT doc_id, count(*) AS pages FROM pgs GROUP BY doc_id) JOIN (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY doc_id) USING (doc_id)")
 eval_metrics = _with(
     """SELECT t.doc_id, CAST(length(t) AS INTEGER) AS chars, CAST(len(regexp_extract_all(t, '[^ \\n]+')) AS INTEGER) AS words, CAST(len(string_split(regexp_replace(t, '\\n$', ''), chr(10))) AS INTEGER) AS lines, blocks
   FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) t LEFT JOIN (SELECT doc_id, count(*) AS blocks FROM blk GROUP BY doc_id) b ON b.doc_id = t.doc_id"""

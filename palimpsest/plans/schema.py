@@ -26,8 +26,3 @@ def one_line(text: Column, source: Column, x0: Column, y0: Column, x1: Column, y
 
 def block(alias: str = "b") -> Column:
     return F.struct(*FIELDS).alias(alias)
-
-
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """A struct column of block fields as columns."""
-    return df.select("*", *[F.col(f"{column}.{c}").alias(c) for c in FIELDS]).drop(column)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python workers get at most so many rows and bytes at once, so a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application and bound the Arrow batches."""
+    """Send this package to the executors once per application, and bound the Arrow batches where the session hasn't set
+    a bound of its own: a setting that the caller made stays, whatever it says."""
     sc = spark.sparkContext
     if getattr(sc, "_palimpsest_shipped", None) != sc.applicationId:
         root = os.path.dirname(os.path.abspath(__file__))
@@ -30,30 +35,47 @@ def ship(spark: SparkSession) -> None:
         with open(path, "wb") as f:
             f.write(buf.getvalue())
         sc.addPyFile(path)
+        atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
         sc._palimpsest_shipped = sc.applicationId
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # A frame's batches are cut when it runs, which is after this call, so the bound has to stay set.
+    for key, value in _BATCHES.items():
+        if not spark._jsparkSession.conf().contains(key):
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only if
+    driver and executors are one machine; on a cluster each executor would write to a disk of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(sc, "_palimpsest_scratch", None)
         if not base:
-            base = sc._palimpsest_scratch = "file://" + tempfile.mkdtemp(prefix="palimpsest-scratch-")
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="palimpsest-scratch-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = sc._palimpsest_scratch = "file://" + folder
             sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    """A fresh path in the shared folder. All of an application's paths lie in one folder, which goes when it ends."""
+    sc = spark.sparkContext
+    base = f"{shared_dir(spark)}/palimpsest/{sc.applicationId}"
+    if getattr(sc, "_palimpsest_base", None) != base:
+        # Hadoop forgets a path that isn't there when it is registered.
+        p, fs = _hadoop(spark, base)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._palimpsest_base = base
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -66,13 +88,26 @@ def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that save() wrote, once nothing reads it any more."""
-    path = getattr(df, "_palimpsest_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that save() wrote, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_palimpsest_path", None)
+        if path:
+            p, fs = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names for use inside an operator: each of `names`, with underscores added until no column of the user's
+    frame has it, in any case of letters."""
+    have = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

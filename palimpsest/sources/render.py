@@ -1,15 +1,21 @@
-"""Page images through the system's renderer, and the rows that say where they are."""
+"""Page images through the system's renderer, and what a recognizer's command reads from them."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import subprocess
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import ship
+from palimpsest.sources.files import office, pdf_pages
+
 DPI_RANGE = (72, 600)
 
 
@@ -57,3 +63,37 @@ def render_page(pdf: str, page_idx: int, folder: str, dpi: int = 200) -> str:
     if image is None:
         raise RuntimeError(f"no image of page {page}")
     return image
+
+
+def outputs(found: DataFrame, command: tuple[str, ...], settings: Settings) -> DataFrame:
+    """found: doc_id, kind, content -> doc_id, page_idx, output, image. Files that aren't PDF are converted by the office
+    suite first. A file or page that fails gives no output; an image is kept as soon as there is one."""
+    ship(found.sparkSession)
+
+    def pages(data: bytes, kind: str) -> Iterator[tuple[int, str | None, bytes | None]]:
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, f"file.{kind}")
+            with open(path, "wb") as f:
+                f.write(data)
+            pdf = path if kind == "pdf" else office(path, "pdf")
+            for k in range(pdf_pages(pdf)):
+                image = out = None
+                try:
+                    name = render_page(pdf, k, folder, settings.dpi)
+                    with open(name, "rb") as f:
+                        image = f.read()
+                    out = subprocess.run([*command, "--image", name, "--lang", settings.lang], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+                except (OSError, RuntimeError, subprocess.CalledProcessError):
+                    pass  # the parser track stands alone on this page
+                yield k, out, image
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, kind, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                try:
+                    for k, out, image in pages(data, kind):
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([k], pa.int32()), pa.array([out], pa.string()), pa.array([image], pa.binary())], names=["doc_id", "page_idx", "output", "image"])
+                except (OSError, RuntimeError, subprocess.CalledProcessError):
+                    continue  # its error shows in the parser track
+
+    return found.select("doc_id", "kind", "content").mapInArrow(run, "doc_id long, page_idx int, output string, image binary")

@@ -5,6 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+# Stand-ins for the system's PDF and office tools, ahead of any that are installed; workers inherit the path.
+os.environ["PATH"] = f"{ROOT}/tests/stubs:{os.environ['PATH']}"
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 

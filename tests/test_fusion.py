@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.hangul import merge_pieces_text
 from palimpsest.operators import align, fuse, ocr_post, order, resolve
 from palimpsest.plans.schema import BLOCKS
 from palimpsest.sinks import export
@@ -163,6 +164,45 @@ def test_merge_adjacent(spark):
     assert [(r["text"], r["x1"]) for r in merged] == [("문서입", 70.0), ("far away", 450.0), ("table x", 9.0)]
 
 
+def test_merge_joins_step_by_step(spark):
+    """Loose jamo that meet in a join compose; runs collapse before the next piece comes; splits close."""
+    line = lambda *texts: [token(i, t, (25 * i, 0, 25 * i + 20, 20)) for i, t in enumerate(texts)]
+    got = lambda *texts: [r["text"] for r in ocr_post.merge_adjacent(spark.createDataFrame(line(*texts), TOK), ["doc_id", "page_idx"]).orderBy("pos").collect()]
+    assert got("\u1112", "\u1161\u11ab") == ["한"]
+    assert got("가", "나", "다", "라") == ["가나다 라"]
+    assert got("가 나 다", "라") == ["가나다라"]
+    assert got("보고서입", "니다") == ["보고서입니다"]
+    assert got("plain", "ascii  words") == ["plain ascii  words"]
+    assert merge_pieces_text(["x y z"], False) == "x y z"
+
+
+def test_fallback_on_silent_pages(spark):
+    page = ["doc_id", "page_idx"]
+    t = spark.createDataFrame([token(0, "enough said on this page by the recognizer to stand alone, surely", (0, 0, 900, 20)), token(1, "b", (0, 0, 9, 9)), token(2, "c", (0, 0, 9, 9))], TOK)
+    word = lambda p, n, s: (1, p, n, 0, 0, 0, s, "90", 10 + 60 * n, 10, 50, 20)
+    w = spark.createDataFrame([word(0, 0, "hidden"), word(1, 0, "seen"), word(1, 1, "words")], "doc_id long, page_idx int, seq int, block_num int, par_num int, line_num int, text string, conf string, left int, top int, width int, height int")
+    got = {(r["page_idx"], r["text"]) for r in ocr_post.with_fallback(t, w, page).collect()}
+    assert (1, "seen words") in got and not any("hidden" in x for _, x in got)
+    pages = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "doc_id long, page_idx int")
+    assert sorted((r["page_idx"], r["n_tokens"], r["fallback"]) for r in ocr_post.needs_fallback(t, page, pages).collect()) == [(0, 3, False), (1, 0, True), (2, 0, True)]
+
+
+def test_blank_pages_are_exported(spark):
+    """Page 2 holds noise alone and page 3 nothing: both have a header, an entry and a debug page."""
+    b = frame(spark, row("parser", 0, "Hello world", (0, 0, 100, 20)), row("ocr", 0, "##", page=1), row("parser", 0, "Last page", page=3))
+    pages = fuse.page_list(b, spark.createDataFrame([(1, 2, 800, 1500), (1, 0, 1100, 1400), (1, 0, 900, 1600)], "doc_id long, page_idx int, width int, height int"))
+    f = fuse.fuse(b)
+    import json
+
+    assert export.text_documents(f, pages=pages).first()["content"].count("=== Page") == 4
+    got = json.loads(export.json_documents(f, b, pages).first()["content"])["pages"]
+    assert [(p["page_idx"], p["width"], p["height"], len(p["blocks"]), len(p["debug"]["ocr_blocks"])) for p in got] == [(0, 1100, 1600, 1, 0), (1, 1000, 1400, 0, 1), (2, 800, 1500, 0, 0), (3, 1000, 1400, 1, 0)]
+    files = {r["path"]: r["content"] for r in export.all_documents(b, f, pages).collect()}
+    assert len(files) == 3 + 3 * 4 and files["page_003.txt"] == "" and files["document.json"] == export.json_documents(f, b, pages).first()["content"]
+    assert files["document.txt"] == export.text_documents(f, pages=pages).first()["content"] and files["document.md"] == export.markdown_documents(f, pages=pages).first()["content"]
+    assert {r["path"]: r["content"] for r in export.html_pages(b, f, pages).collect()} == {k: v for k, v in files.items() if k.startswith("debug/")}
+
+
 def test_candidates_first_tie(spark):
     c = spark.createDataFrame([(1, 0, "hello there", 80.0), (1, 1, "hello there", 80.0), (2, 0, "", 0.0)], "b long, cand_ord int, text string, conf double")
     got = {r["b"]: r for r in ocr_post.best_candidate(c, ["b"]).collect()}
