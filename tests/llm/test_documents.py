@@ -294,6 +294,10 @@ def brute_cut(rows):
             for k in (1, 2, 3):
                 if a + k <= len(s) and sum(len(x[1]) for x in s[a : a + k]) >= (8 if k == 3 else 24):
                     yield a, k, (k, tuple(x[1] for x in s[a : a + k]))
+            # Three sentences of fewer than 8 words take in as many more as they need.
+            k = next((k for k in range(3, len(s) - a + 1) if sum(len(x[1]) for x in s[a : a + k]) >= 8), 3)
+            if k > 3:
+                yield a, k, (k, tuple(x[1] for x in s[a : a + k]))
 
     rank = lambda i: (i is not None, i or 0)
     for i, _, s in sorted(parts, key=lambda x: rank(x[0])):

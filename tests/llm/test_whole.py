@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,23 @@ def test_spans_of_short_sentences(spark, flush):
     assert got[2]["clean_text"].split() == ["Other", "start", "two.", "Other", "end", "two."]
 
 
+@pytest.mark.parametrize("flush", [1_000_000, 3])
+def test_spans_rows_that_share_an_id(spark, flush):
+    """Marks belong to a text, not to all rows with its id or without one."""
+    a, d, e = ("{0} one says a first thing here. {0} two says a second thing. {0} three says a third one.".format(x) for x in ("Alpha", "Delta", "Echo"))
+    rows = [(1, a), (9, d), (9, a), (9, a), (None, e), (None, d + " Tail of it."), (7, e), (None, None)]
+    frame = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    got = [(r["doc_id"], r["text"], r["_cut"]["n_removed"]) for r in spandedup.with_cuts(frame, flush=flush).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a, 0), (9, d, 3), (9, a, 3), (9, a, 3), (None, e, 0), (None, d + " Tail of it.", 0), (7, e, 3), (None, None, 0)], key=repr)
+
+
+def test_spans_need_both_hashes():
+    h = np.array([5, 5, 5, 9], np.uint64)
+    held = (h, np.array([1, 2, 1, 1], np.uint64), *(np.array(x, np.int64) for x in ([3, 1, 2, 2], [0, 0, 0, 0], [0, 0, 0, 1], [3, 3, 3, 3])))
+    lost, kept = spandedup._settle(held)
+    assert lost.tolist() == [0] and kept.tolist() == [1, 2, 3]
+
+
 def test_spans_brute_with_longer_runs(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     first, of = {}, {}
