@@ -5,7 +5,12 @@ A transcript is a sequence of lines. A line shows a speaker marker (one of a few
 case). States are (role, first line of a turn) and (role, later line). Transition and emission weights are counted from a
 bounded sample of conversations whose roles are known, part of their markers left out so that unmarked lines are learned
 too; counts start from a prior, so the model also works untrained. Viterbi finds the best states; each maximal stretch of
-a turn is rendered canonically as `<|im_start|>role`, the text without its marker, `<|im_end|>`.
+a turn is rendered canonically as `<|im_start|>role`, the text without its marker, `<|im_end|>`. Control marks that stand
+in a text are escaped (`escape`, undone by `unescape`), so a text can't open or close a turn.
+
+A row whose role is known is evidence: its first line is that role's first line and the others are its later ones, so it
+comes out as it went in, whatever its text looks like, and it is a whole turn: no line that follows it continues it (for
+that, each state has a closed twin, which the last line of such a row takes). Rows without a role are read line by line.
 
 A conversation may hold a third of all lines, so it isn't gathered. Rows are ranged by (conversation, turn) and sorted;
 each partition holds pieces of conversations. A piece that lies whole in its partition is decoded there. For a
@@ -17,8 +22,14 @@ Result, one row per recovered turn: conv_id, turn (from 0), role, text, rendered
 where it starts).
 
 Defined cases: a null conv_id is a conversation of its own; null turns come first; equal turns are ordered by role, then
-text; a null role writes no marker; a null text is an empty line, which belongs to the turn before. Roles other than
-system, user and assistant are written as an unknown name; the model decides whose turn it is. Empty tables: no rows.
+text, and repeated rows are turns of their own; a null text is an empty line: an empty turn where the role is known, else a
+line of whose turn it is the model decides. Roles other than system, user and assistant are written as an unknown name
+before the text; the model decides whose turn it is. Very long texts are read whole. Empty tables: no rows. Other columns
+aren't read, whatever their names.
+
+The query withholds roles: by crc32 of `conv_id:turn`, a quarter of the rows lose role and marker, a quarter keep a marker
+in the text in one of the known spellings, and half keep their role. Its result says which (evidence) and gives the role
+that the row truly has (held_role).
 """
 
 from __future__ import annotations
@@ -36,6 +47,8 @@ from palimpsest.runtime import save, ship
 ROLES = ("system", "user", "assistant")
 #: States: 2 * role for a turn's first line, 2 * role + 1 for its later lines.
 STATES = 2 * len(ROLES)
+#: States and their closed twins.
+WIDE = 2 * STATES
 MARKERS = {
     "system": ("system", "sys", "instruction", "instructions"),
     "user": ("user", "human", "question", "q", "customer", "me", "prompter"),
@@ -47,6 +60,8 @@ _MARKER = re.compile(r"^\s*(?:<\|im_start\|>|#{1,4}\s*|\*{1,2}|\[)?([A-Za-z][A-Z
 KINDS, LENGTHS = len(ROLES) + 2, 3
 OTHER, NONE = len(ROLES), len(ROLES) + 1
 SAMPLE_CONVERSATIONS, DROP_MARKERS = 5000, 8
+#: Far below any sum of logarithms of a path that is possible.
+NEVER = -1e12
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -76,6 +91,9 @@ class Model:
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]):
         self.start, self.step, self.emit = start, step, emit
+        # A twin behaves as its state does, but no later line of a turn follows it.
+        self.wide_start, self.wide_step = np.tile(start, 2), np.tile(step, (2, 2))
+        self.wide_step[STATES:, 1::2] = NEVER
 
     @staticmethod
     def prior() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -104,18 +122,23 @@ class Model:
         norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
         return Model(norm(start + p[0]), norm(step + p[1]), [norm(a + b) for a, b in zip(emit, p[2], strict=True)])
 
-    def emissions(self, lines: list[str]) -> np.ndarray:
-        """[line, state]."""
+    def emissions(self, lines: list[str], known: list[int] | None = None) -> np.ndarray:
+        """[line, state]. known: by line the state that it surely has, or -1; with it, closed twins are states too."""
         obs = np.array([observe(x)[:5] for x in lines], np.int64).reshape(-1, 5)
-        return sum(table[:, obs[:, j]].T for j, table in enumerate(self.emit))
+        e = sum(table[:, obs[:, j]].T for j, table in enumerate(self.emit))
+        if known is not None:
+            sure, at = np.array(known, np.int64)[:, None], np.arange(WIDE)
+            e = np.where(np.where(sure >= 0, at == sure, at < STATES), np.tile(e, 2), NEVER)
+        return e
 
     def path(self, e: np.ndarray, before: int | None = None, last: int | None = None) -> np.ndarray:
         """The best states of lines with emissions e. before: the state of the line ahead of them; last: the state that
         the final line must have."""
-        score = (self.start if before is None else self.step[before]) + e[0]
+        start, step = (self.wide_start, self.wide_step) if e.shape[1] == WIDE else (self.start, self.step)
+        score = (start if before is None else step[before]) + e[0]
         back = np.zeros(e.shape, np.int8)
         for t in range(1, len(e)):
-            both = score[:, None] + self.step
+            both = score[:, None] + step
             back[t] = both.argmax(0)
             score = both.max(0) + e[t]
         out = np.zeros(len(e), np.int64)
@@ -126,9 +149,10 @@ class Model:
 
     def transfer(self, e: np.ndarray, first: bool) -> np.ndarray:
         """[state before, state at the end]: the best score of these lines. first: no line stands before (one row)."""
-        m = (self.start[None, :] if first else self.step) + e[0]
+        start, step = (self.wide_start, self.wide_step) if e.shape[1] == WIDE else (self.start, self.step)
+        m = (start[None, :] if first else step) + e[0]
         for row in e[1:]:
-            m = (m[:, :, None] + self.step[None, :, :]).max(1) + row
+            m = (m[:, :, None] + step[None, :, :]).max(1) + row
         return m
 
 
@@ -183,15 +207,33 @@ def fit(conversations: DataFrame, sample: int = SAMPLE_CONVERSATIONS) -> Model:
     return Model.of_counts(start, step, emit)
 
 
+_MARK, _ESCAPED = re.compile(r"<(\\*)\|(?=im_(?:start|end)\|>)"), re.compile(r"<\\(\\*)\|(?=im_(?:start|end)\|>)")
+
+
+def escape(text: str) -> str:
+    """Control marks in a text get a backslash; marks that have some get one more."""
+    return _MARK.sub(r"<\\\1|", text)
+
+
+def unescape(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def render(role: str, text: str) -> str:
-    return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    return f"<|im_start|>{role}\n{escape(text)}<|im_end|>\n"
+
+
+def rendered(role, text):
+    """render() as a column."""
+    safe = F.regexp_replace(text, r"<(\\*)\|(?=im_(?:start|end)\|>)", r"<\\$1|")
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), safe, F.lit("<|im_end|>\n"))
 
 
 _TURNS = "part int, conv_id long, piece_turn int, opens boolean, role string, text string, first_turn long"
 
 
 def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFrame:
-    """transcripts: conv_id, turn, role, text. marks: write each row's role as a marker (False: texts hold their own)."""
+    """transcripts: conv_id, turn, role, text. marks: roles are evidence (False: they aren't read, texts hold markers)."""
     spark = transcripts.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -201,8 +243,8 @@ def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFra
     dealt = ranged.repartitionByRange(n, "part").sortWithinPartitions("part", *order)
     cols = ["part", *order]
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, int, list[tuple[str, int]]]]:
-        """(part, conv_id, place in the part, lines with their row's turn)."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, int, list[tuple[str, int, int]]]]:
+        """(part, conv_id, place in the part, lines with their row's turn and the state that is known, or -1)."""
         at, place, held = None, 0, []
         for b in batches:
             for part, c, turn, role, text in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
@@ -211,7 +253,9 @@ def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFra
                         yield at[0], at[1], place, held
                     place = place + 1 if at is not None and at[0] == part else 0
                     at, held = (part, c), []
-                held += [(line, turn) for line in lines_of(role, text, marks)]
+                known = 2 * ROLES.index(role) if marks and role in ROLES else -1
+                lines = lines_of(role, text, marks and known < 0)
+                held += [(line, turn, known + (i > 0) + STATES * (i == len(lines) - 1) if known >= 0 else -1) for i, line in enumerate(lines)]
         if at is not None:
             yield at[0], at[1], place, held
 
@@ -228,12 +272,12 @@ def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFra
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, c, _, held in pieces(batches):
             if (c, part) in wide:
-                m = model.transfer(model.emissions([x for x, _ in held]), first_parts[c] == part)
+                m = model.transfer(model.emissions([x[0] for x in held], [x[2] for x in held]), first_parts[c] == part)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([c], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["part", "conv_id", "m"])
 
     borders: dict[tuple[int | None, int], tuple[int | None, int]] = {}
     if spans:
-        got = {(r["conv_id"], r["part"]): np.array(r["m"]).reshape(-1, STATES) for r in dealt.select(*cols).mapInArrow(transfer, "part int, conv_id long, m array<double>").collect()}
+        got = {(r["conv_id"], r["part"]): np.array(r["m"]).reshape(-1, WIDE) for r in dealt.select(*cols).mapInArrow(transfer, "part int, conv_id long, m array<double>").collect()}
         for c, ps in spans.items():
             score, back = got[(c, ps[0])][0], []
             for p in ps[1:]:
@@ -251,15 +295,15 @@ def recover(transcripts: DataFrame, model: Model, marks: bool = True) -> DataFra
         out: list[tuple] = []
         for part, c, _, held in pieces(batches):
             before, last = borders.get((c, part), (None, None))
-            states = model.path(model.emissions([x for x, _ in held]), before, last)
+            states = model.path(model.emissions([x[0] for x in held], [x[2] for x in held]), before, last)
             turn, number = [], -1
-            for i, ((line, t), s) in enumerate(zip(held, states.tolist(), strict=True)):
+            for i, ((line, t, sure), s) in enumerate(zip(held, states.tolist(), strict=True)):
                 ahead = before if i == 0 else states[i - 1]
-                opens = s % 2 == 0 or ahead is None or s // 2 != ahead // 2
+                opens = s % 2 == 0 or ahead is None or s % STATES // 2 != ahead % STATES // 2
                 if opens or i == 0:
                     number += 1
-                    turn.append([part, c, number, opens, ROLES[s // 2], [], t])
-                turn[-1][5].append(line[marker(line)[1] :] if s % 2 == 0 else line)
+                    turn.append([part, c, number, opens, ROLES[s % STATES // 2], [], t])
+                turn[-1][5].append(line[marker(line)[1] :] if s % 2 == 0 and sure < 0 else line)
             out += [(*x[:5], "\n".join(x[5]), x[6]) for x in turn]
             if len(out) >= 500:
                 yield _turns(out)
@@ -305,9 +349,29 @@ def format_chats(transcripts: DataFrame, model: Model | None = None, marks: bool
     low = turns.groupBy("conv_id", "part").agg(F.min("piece_turn").alias("low"))
     base = save(before.join(low.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "low"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p"))).select("_c", "_p", (F.col("before") - F.col("low")).alias("base")), "chat-base")
     both = turns.join(base, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")))
-    rendered = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
-    return both.select("conv_id", (F.col("piece_turn") + F.col("base")).cast("int").alias("turn"), "role", "text", rendered.alias("rendered"), "first_turn")
+    return both.select("conv_id", (F.col("piece_turn") + F.col("base")).cast("int").alias("turn"), "role", "text", rendered(F.col("role"), F.col("text")).alias("rendered"), "first_turn")
+
+
+#: Spellings of a speaker in transcripts, by role.
+SPELLINGS = {"system": ("System: ", "### System: ", "[Instructions] "), "user": ("Human: ", "Q: ", "**User:** "), "assistant": ("AI: ", "A: ", "### Assistant: ")}
+
+
+def withheld(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, evidence (none, marker, known) and held_role: part of the roles gone, part written into
+    the text."""
+    pick = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"))
+    known = F.col("role").isin(*ROLES)
+    evidence = F.when(~F.coalesce(known, F.lit(False)) | (pick % 4 == 0), "none").when(pick % 4 == 1, "marker").otherwise("known")
+    said = F.element_at(F.create_map(*[x for r, ws in SPELLINGS.items() for x in (F.lit(r), F.array(*map(F.lit, ws)))]), F.when(known, F.col("role")))
+    marked = F.concat(F.element_at(said, (F.floor(pick / 4) % 3 + 1).cast("int")), F.coalesce("text", F.lit("")))
+    t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("held_role"), evidence.alias("evidence"), marked.alias("marked"), "text")
+    return t.select("conv_id", "turn", F.when(F.col("evidence") == "known", F.col("held_role")).alias("role"), F.when(F.col("evidence") == "marker", F.col("marked")).otherwise(F.col("text")).alias("text"), "evidence", "held_role")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    given = withheld(talks)
+    turns = format_chats(given, fit(talks))
+    truth = given.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.min("evidence").alias("evidence"), F.min("held_role").alias("held_role"))
+    both = turns.join(truth, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("first_turn").eqNullSafe(F.col("_t")), "left")
+    return both.select("conv_id", "turn", "role", "text", "rendered", "first_turn", "evidence", "held_role")
