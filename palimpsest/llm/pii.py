@@ -3,20 +3,22 @@
 Base kinds, leftmost and not overlapping within a kind; a match that fails its rule is dropped and not tried again:
 email; ip (four parts, each at most 255); card (16 to 19 digits, Luhn); phone (+, 8 to 15 digits). Base spans stay
 whatever their score. Further kinds need a score of `threshold`: iban (country's length, mod-97), ssn (3-2-4 digits with
-valid parts), tel (3-3-4 digits), card13 (13 to 15 digits with a known issuer prefix and Luhn). Credentials aren't
-personal data and are looked for on request only: key (access-key ids), secret (a long value assigned to a name such as
-password or token). A candidate starts at its kind's score, gains for a checksum and for a
+valid parts), tel (3-3-4 digits), card13 (13 to 15 digits with a known issuer prefix and Luhn), key (access-key ids) and
+secret (a long value assigned to a name such as password or token). A candidate starts at its kind's score, gains for a checksum and for a
 context word of its kind within `reach` characters, and loses for a word that speaks against it (version, order, ISBN).
 
 Patterns are written so that a failing start is left at once: starts inside a run of the same class are ruled out by a
-look-behind and runs are possessive, so texts of any length take linear time.
+look-behind and runs are possessive, so a pass over a text of any length takes linear time; what overlaps a base span is
+looked up in their sorted union.
 
-Defined cases: null text is empty and has no spans. Offsets are code points, the end is exclusive.
+Defined cases: null text is empty and has no spans. Offsets are code points, the end is exclusive. Very long texts are read
+whole; a row's result hangs on its text alone, so rows may repeat and ids may be null. Empty tables give no rows. Other
+columns pass by under any name; one named `to` is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -127,7 +129,7 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 _FIRST_DIGIT = re.compile("[0-9]")
 
 
-def more_candidates(text: str, credentials: bool = False) -> Iterator[tuple[str, int, int, bool]]:
+def more_candidates(text: str, credentials: bool = True) -> Iterator[tuple[str, int, int, bool]]:
     """kind, start, end, whether a checksum confirmed it; candidates that their rule refutes don't come."""
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 15 and luhn(d) and (d[:2] in ("34", "37", "36", "38") or d[0] == "4"):
@@ -159,16 +161,31 @@ def score(text: str, kind: str, a: int, b: int, checked: bool, reach: int = REAC
     return round(max(0.0, min(1.0, s + GAIN * bool(near & set(FOR[kind])) - LOSS * bool(near & set(AGAINST)))), 4)
 
 
-def find(text: str | None, threshold: float = THRESHOLD, credentials: bool = False) -> list[tuple[str, int, int, float]]:
+def union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def find(text: str | None, threshold: float = THRESHOLD, credentials: bool = True) -> list[tuple[str, int, int, float]]:
     """kind, start, end, score; by kind as listed, then start."""
     if not text:
         return []
     out = [(k, a, b, score(text, k, a, b, k == "card")) for k, a, b in base_spans(text)]
     if _FIRST_DIGIT.search(text):
-        taken = [(a, b) for _, a, b, _ in out]
+        starts, ends = union([(a, b) for _, a, b, _ in out])
+        # The stretch that ends first after a is the only one that could begin before b and overlap.
+        free = lambda a, b: (i := bisect.bisect_right(ends, a)) == len(ends) or starts[i] >= b
         for k, a, b, ok in more_candidates(text, credentials):
             s = score(text, k, a, b, ok)
-            if s >= threshold and not any(a < y and x < b for x, y in taken):
+            if s >= threshold and free(a, b):
                 out.append((k, a, b, s))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
@@ -176,7 +193,7 @@ def find(text: str | None, threshold: float = THRESHOLD, credentials: bool = Fal
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def with_spans(docs: DataFrame, text: str = "text", to: str = "pii", threshold: float = THRESHOLD, credentials: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", to: str = "pii", threshold: float = THRESHOLD, credentials: bool = True) -> DataFrame:
     """docs and a column `to` of all spans. No shuffle."""
     ship(docs.sparkSession)
 
@@ -187,7 +204,7 @@ def with_spans(docs: DataFrame, text: str = "text", to: str = "pii", threshold:
     return docs.withColumn(to, spans(F.col(text)))
 
 
-def redact(docs: DataFrame, text: str = "text", to: str = "text", credentials: bool = False) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", to: str = "text", credentials: bool = True) -> DataFrame:
     """docs with spans replaced by [KIND]; of spans that overlap the first, then the longest, names the whole stretch."""
     ship(docs.sparkSession)
 
@@ -212,5 +229,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     join = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     return docs.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(join(base), 256).alias("base_sha256"), join(F.col("pii")).alias("spans"), *[count(k).alias(f"n_{k}") for k in MORE]
+        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(join(base), 256).alias("base_sha256"), join(F.col("pii")).alias("spans"), *[count(k).alias(f"n_{k}") for k in MORE + CREDENTIALS]
     )
