@@ -1,33 +1,39 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses; a clause's tokens become symbols: INSULT, HARM (a verb of violence), WILL (intent), TARGET
-(a person addressed or spoken of), NEGATE, REPORT (a verb of speech), QUOTE, WORD. Transducers read the symbols side by
-side, and their product decides what a match counts as:
+(a person addressed or spoken of), NEGATE, REPORT (a verb of speech), QUOTE, WORD, and END. The machines are
 
 - insult: an acceptor over letters (a trie of whole words and of stems that take any ending), with a weight per entry;
 - negation: a scope of SCOPE symbols after a negating word;
-- reported speech: from a verb of speech, or within quotation marks, to the clause's end;
+- reported speech: from a verb of speech to the clause's end, or within quotation marks, which clauses don't end;
 - target: a person within REACH symbols, before or after;
 - threat: intent, then harm within SCOPE symbols.
 
-So a matched clause is one of CLASSES, e.g. an insult at a target, or one that is negated or only reported. A document's
-features are log(1 + the summed weights) by class, and a logistic model over these few features gives the score.
+They are composed: a transducer that reads a clause from its end rewrites an insult with a target ahead of it, and the
+product of all others (`GRAMMAR`, a table of its reachable states) reads the rewritten clause and says what each match
+is. The clause is what scores: it counts once, as the gravest of its matches by GRAVITY, with the largest weight among
+those; a word that a clause repeats adds nothing. A document's features are log(1 + the summed weights of its clauses)
+by class, and a logistic model over these few features gives the score.
 
 What is learned, from rows whose id isn't held out: the insult entries and their weights (log-odds of a word's or stem's
 document counts) and the logistic weights, which a prior keeps near sensible values where the data say nothing, e.g. for
 negated insults. Both are fitted on a bounded sample of labelled rows, at most about `rows_per_class` of each label, of
 near copies one. The sample's ids are broadcast to the scan (12 bytes a row), so no text is shuffled. Labels, lang,
-source and doc_id never enter a score.
+source and doc_id never enter a score. Learning and scoring cut words by the same function.
 
-Defined cases: null and empty texts have no clauses and get the model's base score. Labels that are null are not used.
-With no labelled rows of both kinds the lexicon is empty and the prior's weights hold.
+Defined cases: null and empty texts have no clauses and get the model's base score. Labels that are null are not used;
+of several labels of a doc_id the highest counts. With no labelled rows of both kinds the lexicon is empty and the prior's
+weights hold. Very long texts are read whole. Rows that repeat a doc_id are scored each by itself and learned from each;
+of near copies in the sample the smallest text stands for all, so reruns agree. Words of equal odds have equal weights.
+Empty tables give no rows. Other columns pass by under any name; one named `to` is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,10 +58,30 @@ NEGATIONS = frozenset("not no never none nobody without isn't aren't wasn't were
 REPORTS = frozenset("said says say called calls wrote writes claimed claims quoted quotes tweeted sagte sagt schrieb dit écrit disait dijo dice escribió".split())
 WILL = frozenset("will gonna going shall i'll we'll want werde werden wird vais va allons voy vamos".split())
 HARM = frozenset("kill hurt destroy murder stab shoot burn beat strangle töten umbringen schlagen tuer frapper matar golpear".split())
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”«»]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]|[\"“”«»]")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = frozenset(".!?;:\n")
 _QUOTE = frozenset('"“”«»')
+_CLOSED = TARGETS | NEGATIONS | REPORTS | WILL
+#: What stands before or after an apostrophe without being a word of its own.
+_BEFORE = frozenset("l d j m t s c n qu jusqu lorsqu puisqu".split())
+_AFTER = frozenset("s re ve ll d m t".split())
+
+
+def words_of(token: str) -> list[str]:
+    """A token's words: articles and endings at an apostrophe go (l'idiot, idiot's), contracted negations and the closed
+    lists' entries stay whole."""
+    if "'" not in token and "’" not in token:
+        return [token]
+    token = token.replace("’", "'")
+    if token in _CLOSED or token.endswith("n't"):
+        return [token]
+    parts = token.split("'")
+    while len(parts) > 1 and parts[0] in _BEFORE:
+        parts = parts[1:]
+    while len(parts) > 1 and parts[-1] in _AFTER:
+        parts = parts[:-1]
+    return parts
 
 
 class Lexicon:
@@ -79,75 +105,114 @@ class Lexicon:
         return 0.0
 
 
-def _symbols(text: str, lexicon: Lexicon) -> Iterable[list[tuple[str, float]]]:
-    """Clauses as (symbol, weight) lists. An open quotation carries over to the next clause."""
+def _clauses(text: str, lexicon: Lexicon) -> Iterator[list[tuple[str, float]]]:
+    """Clauses as (symbol, weight) lists."""
     clause: list[tuple[str, float]] = []
-    for t in _TOKEN.findall(text):
-        if t in _END:
+    for token in _TOKEN.findall(text):
+        if token in _END:
             if clause:
                 yield clause
             clause = []
-        elif t in _QUOTE:
+            continue
+        if token in _QUOTE:
             clause.append(("QUOTE", 0.0))
-        elif (w := lexicon.weight(t)) > 0:
-            clause.append(("INSULT", w))
-        elif t in HARM:
-            clause.append(("HARM", 1.0))
-        elif t in TARGETS:
-            clause.append(("TARGET", 0.0))
-        elif t in NEGATIONS or t.endswith(("n't", "n’t")):
-            clause.append(("NEGATE", 0.0))
-        elif t in REPORTS:
-            clause.append(("REPORT", 0.0))
-        elif t in WILL:
-            clause.append(("WILL", 0.0))
-        else:
-            clause.append(("WORD", 0.0))
+            continue
+        for t in words_of(token):
+            if (w := lexicon.weight(t)) > 0:
+                clause.append(("INSULT", w))
+            elif t in HARM:
+                clause.append(("HARM", 1.0))
+            elif t in TARGETS:
+                clause.append(("TARGET", 0.0))
+            elif t in NEGATIONS or t.endswith("n't"):
+                clause.append(("NEGATE", 0.0))
+            elif t in REPORTS:
+                clause.append(("REPORT", 0.0))
+            elif t in WILL:
+                clause.append(("WILL", 0.0))
+            else:
+                clause.append(("WORD", 0.0))
     if clause:
         yield clause
 
 
-#: Transducers as state x symbol -> state. Symbols that a state doesn't list take its entry "*".
-NEGATION = {s: {"NEGATE": SCOPE, "*": max(s - 1, 0)} for s in range(SCOPE + 1)}
-REPORTED = {0: {"REPORT": 1, "*": 0}, 1: {"*": 1}}
+#: AIMED is an insult that a target follows within reach.
+SYMBOLS = ("WORD", "INSULT", "AIMED", "HARM", "WILL", "TARGET", "NEGATE", "REPORT", "QUOTE", "END")
+
+
+def _scope(symbol: str, length: int) -> dict:
+    """A machine that holds for `length` symbols after one; the state counts what is left."""
+    return {s: {symbol: length, "END": 0, "*": max(s - 1, 0)} for s in range(length + 1)}
+
+
+#: Machines as state x symbol -> state. Symbols that a state doesn't list take its entry "*".
+NEGATION, INTENT, TARGETED = _scope("NEGATE", SCOPE), _scope("WILL", SCOPE), _scope("TARGET", REACH)
+REPORTED = {0: {"REPORT": 1, "*": 0}, 1: {"END": 0, "*": 1}}
 QUOTED = {0: {"QUOTE": 1, "*": 0}, 1: {"QUOTE": 0, "*": 1}}
-INTENT = {s: {"WILL": SCOPE, "*": max(s - 1, 0)} for s in range(SCOPE + 1)}
-TARGETED = {s: {"TARGET": REACH, "*": max(s - 1, 0)} for s in range(REACH + 1)}
 
 
-def _step(machine: dict, state: int, symbol: str) -> int:
-    row = machine[state]
-    return row.get(symbol, row["*"])
+def _class(state: tuple[int, ...], symbol: str) -> str | None:
+    """What a match is, by the states that precede it."""
+    negated, reported, quoted, intent, target = state
+    if symbol not in ("INSULT", "AIMED", "HARM") or (symbol == "HARM" and not intent):
+        return None
+    kind = "threat" if symbol == "HARM" else "insult"
+    if reported or quoted:
+        return f"{kind}_reported"
+    if negated:
+        return f"{kind}_negated"
+    return "insult_target" if kind == "insult" and (symbol == "AIMED" or target) else kind
+
+
+def compose(machines: tuple[dict, ...], output) -> tuple[list[dict[str, int]], list[dict[str, str | None]]]:
+    """The product of machines as a table of its reachable states: next state and output, by symbol. State 0 starts."""
+    start = tuple(0 for _ in machines)
+    number, queue = {start: 0}, deque([start])
+    step: list[dict[str, int]] = []
+    out: list[dict[str, str | None]] = []
+    while queue:
+        state = queue.popleft()
+        row = {}
+        for symbol in SYMBOLS:
+            after = tuple(m[s].get(symbol, m[s]["*"]) for m, s in zip(machines, state, strict=True))
+            if after not in number:
+                number[after] = len(number)
+                queue.append(after)
+            row[symbol] = number[after]
+        step.append(row)
+        out.append({symbol: output(state, symbol) for symbol in SYMBOLS})
+    return step, out
+
+
+GRAMMAR = compose((NEGATION, REPORTED, QUOTED, INTENT, TARGETED), _class)
+#: Of a clause's matches the first of these decides what the clause is.
+GRAVITY = ("insult_target", "threat", "insult", "insult_negated", "insult_reported", "threat_negated", "threat_reported")
+
+
+def aim(clause: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """The clause with insults that a target follows within reach rewritten, read from its end."""
+    out, state = [], 0
+    for symbol, w in reversed(clause):
+        out.append(("AIMED" if symbol == "INSULT" and state else symbol, w))
+        row = TARGETED[state]
+        state = row.get(symbol, row["*"])
+    return out[::-1]
 
 
 def matches(text: str, lexicon: Lexicon) -> Iterable[tuple[str, float]]:
-    """(class, weight) of each match."""
-    quoted = 0
-    for clause in _symbols(text, lexicon):
-        if not any(w for _, w in clause):
-            for s, _ in clause:
-                quoted = _step(QUOTED, quoted, s)
-            continue
-        ahead, after = [0] * len(clause), 0
-        for i in range(len(clause) - 1, -1, -1):
-            ahead[i] = after
-            after = _step(TARGETED, after, clause[i][0])
-        negated = reported = intent = target = 0
-        for i, (s, w) in enumerate(clause):
-            # States before this symbol: what precedes the match decides.
-            if s in ("INSULT", "HARM"):
-                kind = "insult" if s == "INSULT" else "threat"
-                if kind == "threat" and not intent:
-                    pass
-                elif reported or quoted:
-                    yield f"{kind}_reported", w
-                elif negated:
-                    yield f"{kind}_negated", w
-                elif kind == "insult" and (target or ahead[i]):
-                    yield "insult_target", w
-                else:
-                    yield kind, w
-            negated, reported, quoted, intent, target = (_step(NEGATION, negated, s), _step(REPORTED, reported, s), _step(QUOTED, quoted, s), _step(INTENT, intent, s), _step(TARGETED, target, s))
+    """(class, weight) of each clause that matches."""
+    step, output = GRAMMAR
+    state = 0
+    for clause in _clauses(text, lexicon):
+        found: dict[str, float] = {}
+        for symbol, w in aim(clause) if any(w for _, w in clause) else clause:
+            if (c := output[state][symbol]) is not None:
+                found[c] = max(found.get(c, 0.0), w)
+            state = step[state][symbol]
+        state = step[state]["END"]
+        if found:
+            c = next(c for c in GRAVITY if c in found)
+            yield c, found[c]
 
 
 def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
@@ -188,7 +253,7 @@ def _word_counts(batches):
     seen: dict[str, list[int]] = {}
     for pdf in batches:
         for t, y in zip(pdf["text"], pdf["y"], strict=True):
-            for w in set(_WORD.findall((t or "").lower())):
+            for w in {w for token in _TOKEN.findall((t or "").lower()) if token[0].isalpha() for w in words_of(token)}:
                 seen.setdefault(w, [0, 0])[int(y)] += 1
     yield pd.DataFrame([(w, a, b) for w, (a, b) in seen.items()], columns=["word", "n0", "n1"])
 
@@ -208,7 +273,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: str, rows_per_class: in
     ids = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).select("doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     keyed = rows.select("text", "y").mapInPandas(_first_of_copies, "text string, y int, copy_key long")
-    return save(keyed.dropDuplicates(["copy_key", "y"]).select("text", "y"), "toxic-sample"), {y: max(1.0, n / rows_per_class) for y, n in counts.items()}
+    return save(keyed.groupBy("copy_key", "y").agg(F.min("text").alias("text")).select("text", "y"), "toxic-sample"), {y: max(1.0, n / rows_per_class) for y, n in counts.items()}
 
 
 def learn_lexicon(rows: DataFrame, min_docs: int = MIN_DOCS, min_odds: float = MIN_ODDS) -> Lexicon:
