@@ -3,14 +3,16 @@
 Training counts n-grams of 1 to 3 characters in `buckets` hash buckets per language, map-side by task and then summed
 by (language, bucket), so the model's size is languages x buckets whatever the corpus. It is fitted on a bounded sample
 of labelled rows: at most about `rows_per_language` rows of each language, those whose hashed id is smallest in effect.
-Scoring reads whole texts: the log-probability matrix is broadcast (its size is checked), and a batch's n-grams pick
-their matrix rows, which are summed by document.
+Scoring reads whole texts: the log-probability matrix (128 KiB a language, the number of buckets is fixed) is broadcast in
+parts of at most PART_BYTES; a batch's n-grams pick their matrix rows, which are summed by document.
 
 Text is lower-cased; every run of characters that are not letters counts as one space, so digits and marks carry nothing.
 
 Defined cases: a text that is null, empty or has no letter is `und` with score 0. Rows whose language is null are never
-learned from. With no rows to learn from, every text is `und` with score 0. Equal scores go to the language that is
-first in order. The score is the winner's posterior after length normalisation (below), between 0 and 1.
+learned from. With no rows to learn from, every text is `und` with score 0; empty tables give no rows. Equal scores go to
+the language that is first in order. Very long texts are read whole, one at a time. Rows that repeat a doc_id are learned
+from and predicted each by itself. The score is the winner's posterior after length normalisation (below), between 0 and
+1. Other columns pass by under any name; one named `to` is replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.textkernel import chunks
-from palimpsest.runtime import ship
+from palimpsest.runtime import fresh, ship
 
 ORDERS = (1, 2, 3)
 #: Characters whose n-grams are held at once; a longer text stands alone.
 CHARS = 1 << 17
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 20_000
-#: The broadcast matrix may take so many bytes; more languages get fewer buckets.
-MODEL_BYTES = 64 << 20
+#: A broadcast part of the matrix takes at most so many bytes.
+PART_BYTES = 64 << 20
 UND = "und"
 
 
@@ -92,19 +94,20 @@ def _counter(languages: list[str], buckets: int):
 
 
 class Model:
-    """languages in order; logp: [buckets, languages] float32, priors left out (a corpus's mix says little of a text)."""
+    """languages in order; parts: matrices [buckets, some languages] float32, side by side, priors left out (a corpus's mix
+    says little of a text)."""
 
-    def __init__(self, languages: list[str], logp: np.ndarray):
-        self.languages, self.logp = languages, logp
+    def __init__(self, languages: list[str], parts: list[np.ndarray]):
+        self.languages, self.parts = languages, parts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UND] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        buckets = self.logp.shape[0]
         for lo, hi in chunks(texts, CHARS):
-            h, owner, letters = features(texts[lo:hi], buckets)
-            total = np.stack([np.bincount(owner, weights=self.logp[:, j][h], minlength=hi - lo) for j in range(len(self.languages))], 1).astype(np.float64)
+            h, owner, letters = features(texts[lo:hi], self.parts[0].shape[0])
+            # One sparse row of n-gram counts a text, times the matrix: a weighted sum by text, language after language.
+            total = np.stack([np.bincount(owner, weights=part[:, j][h], minlength=hi - lo) for part in self.parts for j in range(part.shape[1])], 1).astype(np.float64)
             grams = np.maximum(np.bincount(owner, minlength=hi - lo), 1)
             # n-grams overlap, so their sum overstates the evidence: count one n-gram of each order and place as one.
             total /= np.minimum(len(ORDERS), grams)[:, None]
@@ -115,7 +118,7 @@ class Model:
         return names, scores
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS, part_bytes: int = PART_BYTES) -> Model:
     """labelled: doc_id, text, lang. Reads lang alone to size the sample, then the texts of the sample."""
     spark = labelled.sparkSession
     ship(spark)
@@ -123,11 +126,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, buckets
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros((buckets, 0), np.float32))
-    while buckets * len(languages) * 4 > MODEL_BYTES and buckets > 256:
-        buckets //= 2
-    if buckets * len(languages) * 4 > MODEL_BYTES:
-        raise ValueError(f"{len(languages)} languages don't fit into a model of {MODEL_BYTES} bytes")
+        return Model([], [])
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(scale, scale * rows_per_language // counts[lang]))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(share, F.col("lang"))).select("lang", "text")
@@ -135,17 +134,20 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, buckets
     table = np.zeros((len(languages), buckets))
     table[got["i"], got["b"]] = got["n"]
     table += 0.5
-    return Model(languages, np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32).copy())
+    logp = np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32)
+    wide = max(1, part_bytes // (4 * buckets))
+    return Model(languages, [logp[:, i : i + wide].copy() for i in range(0, len(languages), wide)])
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", to: str = "_lang") -> DataFrame:
     """docs and a struct column `to` with lang_pred and score. No shuffle; other columns pass by."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp))
+    sc = docs.sparkSession.sparkContext
+    names_of, parts = sc.broadcast(model.languages), [sc.broadcast(p) for p in model.parts]
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(s: pd.Series) -> pd.DataFrame:
-        names, scores = Model(*shared.value).predict(s.tolist())
+        names, scores = Model(names_of.value, [p.value for p in parts]).predict(s.tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return docs.withColumn(to, predict(F.col(text)))
@@ -158,8 +160,9 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2, fals
 def filter_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """docs without those that have no letters or no language that is likelier than all others together."""
     model = fit(docs.where(f"NOT {HELD_OUT}"))
-    kept = with_language(docs, model, to="_langid")
-    return kept.where((F.col("_langid.lang_pred") != UND) & (F.col("_langid.score") >= min_score)).drop("_langid")
+    (found,) = fresh(docs.columns, "langid")
+    kept = with_language(docs, model, to=found)
+    return kept.where((F.col(found)["lang_pred"] != UND) & (F.col(found)["score"] >= min_score)).drop(found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
