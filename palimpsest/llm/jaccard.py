@@ -4,7 +4,8 @@ Shingles are runs of five words (a text of fewer words, but not none, is one shi
 of its shingle sets is `threshold` or more.
 
 1. Each document gets a node: a 64-bit hash of its whole shingle set. Equal sets are one node, whatever their number, so
-   exact copies are counted, never paired. (Two different sets share a node with probability of nodes**2 / 2**65.)
+   exact copies are counted, never paired. Two different sets that shared a node would be taken for copies; a second
+   64-bit hash, kept beside it, tells, and the run ends with an error that asks for another seed.
 2. MinHash signatures of nodes are cut into bands; band and row counts follow from the threshold, the recall asked for
    at the threshold and a limit on hashes (`choose_bands`). Rows meet by a shuffle on (band, hash).
 3. A bucket with several nodes has a hub, its smallest node. Nodes of a bucket share its hub, so (hub -> nodes), each
@@ -22,7 +23,8 @@ n_text_links (those with another shingle set), node. Links to copies: n_links -
 
 Defined cases: null or wordless texts have no shingles and no links; their class is their own doc_id. Rows that repeat a
 doc_id with the same text are copies of each other. A null doc_id takes part; a class of such rows alone has class_id
-null. Empty tables give no rows.
+null. Empty tables give no rows. Very long texts give whole shingle sets. keep_one() keeps, of rows equal in doc_id and
+text, any one; other columns pass by it under any name.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.components import components
 from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, fmix, run_hashes
-from palimpsest.runtime import discard, save, ship
+from palimpsest.runtime import discard, fresh, save, ship
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 160
 BLOCK, BLOCK_SHINGLES = 128, 1_000_000
@@ -47,13 +49,15 @@ BLOCK, BLOCK_SHINGLES = 128, 1_000_000
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest chance candidates, with which a pair at the threshold is a
     candidate with probability `recall` and bands * rows <= max_hashes."""
-    best = (max_hashes, 1)
+    best = None
     for rows in range(1, 33):
         p = threshold**rows
         bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
         if bands * rows > max_hashes:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{max_hashes} hashes can't reach a recall of {recall} at {threshold}")
     return best
 
 
@@ -70,8 +74,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def set_node(s: np.ndarray) -> int:
-    x = np.concatenate((s ^ np.uint64(0xA5A5A5A55A5A5A5A), np.array([len(s)], np.uint64)))
+def set_node(s: np.ndarray, seed: int = 0) -> int:
+    x = np.concatenate((s ^ np.uint64(0xA5A5A5A55A5A5A5A ^ seed), np.array([len(s)], np.uint64)))
     return int(fmix(x).sum(dtype=np.uint64).astype(np.int64))
 
 
@@ -94,8 +98,8 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, node and bands (null without shingles)."""
+def sketch(docs: DataFrame, bands: int, rows: int, words: int = WORDS, seed: int = 0) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, node, check (the second hash) and bands (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,6 +109,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFr
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
                 node: list = [None] * len(sets)
+                check: list = [None] * len(sets)
                 # Signatures in runs of bounded size: a very long set stands alone.
                 at = 0
                 while at < len(full):
@@ -114,15 +119,15 @@ def sketch(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFr
                         end += 1
                     got = signatures([sets[i] for i in full[at:end]], bands, rows)
                     for i, s in zip(full[at:end], got, strict=True):
-                        sig[i], node[i] = s, set_node(sets[i])
+                        sig[i], node[i], check[i] = s, set_node(sets[i], seed), set_node(sets[i], ~seed & 0xFFFFFFFF)
                     at = end
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                    names=["doc_id", "th", "n_shingles", "node", "bands"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "n_shingles", "node", "check", "bands"],
                 )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, th long, n_shingles long, node long, bands array<long>")
+    return src.mapInArrow(run, "doc_id long, th long, n_shingles long, node long, check long, bands array<long>")
 
 
 def _sets(spark_docs: DataFrame, words: int) -> DataFrame:
@@ -230,16 +235,19 @@ def _links(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], names=["node", "n_links", "n_text_links", "low"])
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, max_hashes: int = MAX_HASHES, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_shingles, node, label (the class by its
     smallest node) and th (hash of the text)."""
     spark = docs.sparkSession
     ship(spark)
     bands, rows = choose_bands(threshold, recall, max_hashes)
-    sk = save(sketch(docs, bands, rows, words), "jaccard-sketch")
+    sk = save(sketch(docs, bands, rows, words, seed), "jaccard-sketch")
     # Nodes: one row for all documents with the same shingles. The band hashes are the same for all of them.
-    by_node = sk.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one"))
-    nodes = save(by_node.select("node", "copies", "first_id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "jaccard-nodes")
+    by_node = sk.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one"), (F.min("check") != F.max("check")).alias("mixed"))
+    nodes = save(by_node.select("node", "copies", "first_id", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "mixed"), "jaccard-nodes")
+    if nodes.where("mixed").limit(1).count():
+        raise RuntimeError("two shingle sets share a 64-bit hash; pass another seed")
+    nodes = nodes.drop("mixed")
     # Bands of a node once, however many copies it has: distinct (node, band, hash), combined before the shuffle.
     spread = sk.where("node IS NOT NULL").select("node", F.posexplode("bands").alias("band", "hash")).groupBy("band", "hash", "node").agg(F.lit(1).alias("x")).drop("x")
     spread = save(spread, "jaccard-bands")
@@ -272,18 +280,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     per_node = save(nodes.join(per_node, "node", "left").join(labels, "node", "left").select("node", "copies", "first_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("label", "node").alias("label")), "jaccard-by-node")
     classes = save(per_node.groupBy("label").agg(F.min("first_id").alias("class_id")), "jaccard-classes")
     facts = save(per_node.join(classes, "label").drop("first_id"), "jaccard-facts")
-    out = sk.drop("bands").join(facts, "node", "left")
-    own = F.col("node").isNull()
-    return out.select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.lit(0)).otherwise(F.col("n_links") + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
-        "n_shingles",
-        "node",
-        "label",
-        "th",
+    linked_rows = sk.drop("bands", "check").where("node IS NOT NULL").join(facts, "node").select(
+        "doc_id", "class_id", (F.col("n_links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n_text_links").cast("long").alias("n_text_links"), "n_shingles", "node", "label", "th"
     )
+    # Rows without words are many at times and have no key to be joined by.
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    bare = sk.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), "n_shingles", none.alias("node"), none.alias("label"), "th")
+    return linked_rows.unionByName(bare)
 
 
 def _repeats(sk: DataFrame) -> bool:
@@ -300,15 +303,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = save(got.where("node IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("label").alias("_l"), "k.doc_id", "k.th"), "jaccard-first")
     rest = got.where("node IS NOT NULL").select("label", "doc_id", "th").distinct().join(first.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t"), F.col("label") == F.col("_l"))
     drop = save(rest.where(~(F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "jaccard-drop")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    marked = may_match(marked, F.xxhash64(F.col("doc_id").cast("long"), "_text_hash"), drop, F.xxhash64("_id", "_th"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
-    kept = marked.where("NOT _may").unionByName(marked.where("_may").join(drop.hint("merge"), same, "left_anti"))
+    th, may, i, t = fresh(docs.columns, "text_hash", "may", "id", "th")
+    gone = drop.select(F.col("_id").alias(i), F.col("_th").alias(t))
+    marked = docs.withColumn(th, F.xxhash64("text"))
+    marked = may_match(marked, F.xxhash64(F.col("doc_id").cast("long"), th), gone, F.xxhash64(i, t), may)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(th) == F.col(t))
+    kept = marked.where(~F.col(may)).unionByName(marked.where(F.col(may)).join(gone.hint("merge"), same, "left_anti"))
     if _repeats(got):
         # A repeated row is a copy of itself, unless it has no words.
-        bare = save(got.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "jaccard-bare")
-        kept = kept.join(bare, same, "left_anti").dropDuplicates(["doc_id", "_text_hash"]).unionByName(kept.join(bare, same, "left_semi"))
-    return kept.select(*docs.columns)
+        bare = save(got.where("node IS NULL").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct(), "jaccard-bare")
+        kept = kept.join(bare, same, "left_anti").dropDuplicates(["doc_id", th]).unionByName(kept.join(bare, same, "left_semi"))
+    return kept.drop(th, may)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
