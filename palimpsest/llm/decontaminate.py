@@ -18,7 +18,9 @@ are hit, so one window of one item of N words or more is enough, or if two items
 may be a common phrase, doesn't decide alone.
 
 Defined cases: a null or empty text has no words, no hits and isn't contaminated; null or empty items have no windows;
-items that repeat an item_id count once; a null item_id stands for no item. Repeated documents each get their row.
+items that repeat an item_id count once; a null item_id stands for no item. Repeated documents each get their row. Very
+long texts are read whole; empty tables give no rows, an empty benchmark no hits. Other columns pass by under any name; one
+named `to` is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, run_hashes
-from palimpsest.runtime import save, ship
+from palimpsest.runtime import fresh, save, ship
 
 N, K = 8, 5
 SLICE_WORDS = 1_000_000
@@ -211,16 +213,19 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, min_run
         return docs.withColumn(to, scan_udf(spark, _load(parts[0]), min_items, min_run)(F.col(text)))
     found = reduce(DataFrame.unionByName, [finds(docs, p, text) for p in parts])
     found = save(found.groupBy("_d", "_t").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.flatten(F.collect_list("items")).alias("_items")), "decon-merged")
-    some = may_match(docs, F.xxhash64("doc_id", F.xxhash64(text)), found, F.xxhash64("_d", "_t"))
-    joined = some.where("_may").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left").drop("_d", "_t")
-    bare = some.where("NOT _may").withColumn("_ranges", F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    d, t, may, ranges, its = fresh((*docs.columns, to), "d", "t", "may", "ranges", "items")
+    found = found.select(*[F.col(x).alias(y) for x, y in (("_d", d), ("_t", t), ("_ranges", ranges), ("_items", its))])
+    some = may_match(docs, F.xxhash64("doc_id", F.xxhash64(text)), found, F.xxhash64(d, t), may)
+    joined = some.where(F.col(may)).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left").drop(d, t)
+    bare = some.where(~F.col(may)).withColumn(ranges, F.lit(None).cast("array<struct<a:long,b:long>>")).withColumn(its, F.lit(None).cast("array<string>"))
     out = joined.unionByName(bare)
-    return out.withColumn(to, merge_udf(min_items, min_run)(F.col(text), F.col("_ranges"), F.col("_items"))).drop("_ranges", "_items", "_may")
+    return out.withColumn(to, merge_udf(min_items, min_run)(F.col(text), F.col(ranges), F.col(its))).drop(ranges, its, may)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    return with_hits(docs, benchmark, to="_decon", **{"min_run": N} | options).where("NOT _decon.contaminated").drop("_decon")
+    (found,) = fresh(docs.columns, "decon")
+    return with_hits(docs, benchmark, to=found, **{"min_run": N} | options).where(~F.col(found)["contaminated"]).drop(found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
