@@ -21,8 +21,8 @@ a relative 1e-9 against rounding.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as
 if filled up with zeros; a null vec_id takes no part. Rows that repeat vec_id and vector are candidates each and one
-query. A query's own rows (all with its vec_id) are no candidates. Fewer than k candidates: all of them. Scores must fit
-in 64 bits.
+query. A query's own rows (all with its vec_id) are no candidates. Fewer than k candidates: all of them; ties go to the
+smaller vec_id. Scores must fit in 64 bits. Empty tables give no rows. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,12 +69,14 @@ def parse(vectors: DataFrame, vec_id: str, column: str, scale: int) -> DataFrame
     return vectors.select(F.col(vec_id).cast("long"), F.col(column)).mapInArrow(run, "vec_id long, dim int, norm2 double, peak double, vec binary")
 
 
-def matrix(blobs: list[bytes], dim: int) -> np.ndarray:
-    if all(len(b) == 8 * dim for b in blobs):
-        return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), dim)
+def matrix(blobs: list[bytes], dim: int, unit: str = "<f8") -> np.ndarray:
+    """Vectors as rows of float64, filled up with zeros. unit: how the bytes hold a component."""
+    size = np.dtype(unit).itemsize
+    if all(len(b) == size * dim for b in blobs):
+        return np.frombuffer(b"".join(blobs), unit).reshape(len(blobs), dim).astype(np.float64)
     out = np.zeros((len(blobs), dim))
     for i, b in enumerate(blobs):
-        v = np.frombuffer(b, np.float64)
+        v = np.frombuffer(b, unit)
         out[i, : len(v)] = v
     return out
 
@@ -143,6 +145,10 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
         return spark.createDataFrame([], result)
     m2, dim = total["m2"], total["dim"]
     floats = total["peak"] ** 2 * dim < 2**53
+    # Stored and shipped components are as narrow as the largest one allows.
+    unit = next((u for u, most in (("<i2", 2**15), ("<i4", 2**31)) if total["peak"] < most), "<f8")
+    narrow = lambda x: x.astype(unit)
+    rows_of = lambda blob: np.frombuffer(blob, unit).reshape(-1, dim).astype(np.float64)
     sample = t.select("vec").orderBy(F.xxhash64("vec_id", "vec")).limit(SAMPLE).toPandas()
     grid = Grid(matrix(sample["vec"].tolist(), dim), m2, PIVOTS, RINGS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -150,8 +156,9 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cell, d = grid.place(matrix(b.column(1).to_pylist(), dim))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d)], names=["vec_id", "vec", "cell", "d"])
+                x = matrix(b.column(1).to_pylist(), dim)
+                cell, d = grid.place(x)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in narrow(x)], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(d)], names=["vec_id", "vec", "cell", "d"])
 
     keyed = save(t.select("vec_id", "vec").mapInArrow(key, "vec_id long, vec binary, cell int, d double"), "topk-keyed")
     # At most PIVOTS * RINGS rows.
@@ -169,7 +176,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
             for lo in range(0, len(held), 2 * BLOCK):
                 part = held[lo : lo + 2 * BLOCK]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.array([x[0] for x in part], np.int64).tobytes()], pa.binary()), pa.array([matrix([x[1] for x in part], dim).tobytes()], pa.binary())],
+                    [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.array([x[0] for x in part], np.int64).tobytes()], pa.binary()), pa.array([b"".join([x[1] for x in part])], pa.binary())],
                     names=["cell", "sub", "ids", "vecs"],
                 )
 
@@ -202,7 +209,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
 
         def out(part) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made], pa.int64()), pa.array([np.array([x[0] for x in part], np.int64).tobytes()], pa.binary()), pa.array([matrix([x[1] for x in part], dim).tobytes()], pa.binary())], names=["chunk", "qids", "qvecs"]
+                [pa.array([(task << 32) + made], pa.int64()), pa.array([np.array([x[0] for x in part], np.int64).tobytes()], pa.binary()), pa.array([narrow(matrix([x[1] for x in part], dim)).tobytes()], pa.binary())], names=["chunk", "qids", "qvecs"]
             )
 
         for b in batches:
@@ -225,7 +232,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
         rows = np.minimum(cells["n"].to_numpy(), BLOCK)
         for b in batches:
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, dim)
+                x = rows_of(b.column(2)[i].as_py())
                 order = np.argsort(bounds(x), axis=1, kind="stable")
                 enough = (np.cumsum(rows[order], axis=1) >= 4 * k).argmax(1)
                 want = sorted({int(c) for o, e in zip(order, enough, strict=True) for c in o[: e + 1]})
@@ -237,7 +244,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
         for b in batches:
             for i in range(b.num_rows):
                 c, qids, qvecs, limits, cell, ids, vecs = (b.column(j)[i].as_py() for j in range(7))
-                q, v = np.frombuffer(qvecs, np.float64).reshape(-1, dim), np.frombuffer(vecs, np.float64).reshape(-1, dim)
+                q, v = rows_of(qvecs), rows_of(vecs)
                 qid, vid = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 rows = np.arange(len(q))
                 if limits is not None:
@@ -273,7 +280,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
         for b in batches:
             out = []
             for i in range(b.num_rows):
-                q = np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, dim)
+                q = rows_of(b.column(2)[i].as_py())
                 r = np.full(len(q), np.inf)
                 for x in b.column(3)[i].as_py() or []:
                     r[x["row"]] = np.sqrt(max(0.0, m2 + float(q[x["row"]] @ q[x["row"]]) - 2.0 * x["score"])) * (1 + 1e-9) + 1e-3
@@ -286,7 +293,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, vec_id: str = "vec_i
         """Annuli in ascending order of their bound, up to the radius; all blocks of each."""
         for b in batches:
             for i in range(b.num_rows):
-                x = np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, dim)
+                x = rows_of(b.column(2)[i].as_py())
                 want = np.flatnonzero((bounds(x) <= np.frombuffer(b.column(3)[i].as_py(), np.float64)[:, None]).any(0))
                 pairs = [(int(visit["cell"][c]), s) for c in want for s in range(int(visit["blocks"][c]))]
                 for lo in range(0, len(pairs), 10_000):
