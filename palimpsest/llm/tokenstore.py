@@ -2,8 +2,8 @@
 
 File format, version 1. A store is a folder with
 - `blocks/`: Parquet files of blocks, in ascending doc_id order: shard, block (its number in the shard), doc_ids,
-  lengths (ids by document), control (binary), data (binary). The table carries the bytes; Spark commits, lists and
-  reads it on any store.
+  lengths (ids by document), control (binary), data (binary) and crc32 (of control and data, checked when they are read).
+  The table carries the bytes; Spark commits, lists and reads it on any store.
 - `ranks/`: Parquet, rank and id: ids by falling count over the whole corpus, ties to the smaller id.
 
 In a block each id is replaced by its rank (0: most frequent). Four ranks share one control byte, 2 bits each, lowest
@@ -17,7 +17,8 @@ Encoding follows the tokenizers library exactly. White space never belongs to a
 are those of its pieces between blanks, and a bounded cache of pieces spares most calls.
 
 Defined cases: null text is empty, which gives the end id alone; rows that repeat a doc_id are documents of their own,
-ordered by their number of ids and then by these; null doc_ids come first; an empty table gives an empty store.
+ordered by their number of ids and then by these; null doc_ids come first; an empty table gives an empty store. Very long
+texts are encoded whole. Other columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from palimpsest.runtime import discard, save, scratch_path, ship
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
+#: Ids that a task orders: about 64 MB.
+TASK_IDS = 1 << 25
 CACHE = 300_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -216,8 +219,8 @@ def _coder(shared):
             nonlocal docs, lengths, held, size, block
             control, data = pack(rank_of[_grown(held)])
             out = pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                names=["shard", "block", "doc_ids", "lengths", "n_ids", "control", "data"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary()), pa.array([zlib.crc32(data, zlib.crc32(control))], pa.int64())],
+                names=[c.split()[0] for c in BLOCKS.split(", ")],
             )
             docs, lengths, held, size, block = [], [], [], 0, block + 1
             return out
@@ -238,7 +241,7 @@ def _coder(shared):
     return run
 
 
-BLOCKS = "shard int, block int, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary"
+BLOCKS = "shard int, block int, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary, crc32 long"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -253,8 +256,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     rank_of = np.zeros(by_rank.max() + 1 if len(by_rank) else 1, np.uint32 if len(by_rank) > 1 << 16 else np.uint16)
     rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.where("n >= 0").drop("hist").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # As many ranges as the ids need, by their number too: many rows may share a doc_id.
+    total = ids.where("n >= 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_IDS))
+    ordered = ids.where("n >= 0").drop("hist").repartitionByRange(n, "doc_id", "n").sortWithinPartitions("doc_id", "n", "ids")
     ordered.select("doc_id", "ids").mapInArrow(_coder(spark.sparkContext.broadcast(rank_of)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(ids)
 
@@ -270,13 +275,15 @@ def read(spark, path: str, digests: bool = False) -> DataFrame:
     base = per_shard.select(F.col("shard").alias("_s"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     sizes = blocks.select("shard", "block", "n_ids").withColumn("before", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
     starts = sizes.join(base, sizes.shard == base._s).select(F.col("shard").alias("_s"), F.col("block").alias("_b"), (F.col("base") + F.col("before")).alias("start"))
-    placed = blocks.join(starts, (blocks.shard == starts._s) & (blocks.block == starts._b)).select("start", "doc_ids", "lengths", "control", "data")
+    placed = blocks.join(starts, (blocks.shard == starts._s) & (blocks.block == starts._b)).select("start", "doc_ids", "lengths", "control", "data", "crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of = shared.value
         for b in batches:
             for k in range(b.num_rows):
-                start, docs, lengths, control, data = (b.column(i)[k].as_py() for i in range(5))
+                start, docs, lengths, control, data, crc = (b.column(i)[k].as_py() for i in range(6))
+                if zlib.crc32(data, zlib.crc32(control)) != crc:
+                    raise ValueError(f"the block of token ids that begins at {start} is damaged")
                 cum = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
                 raw = id_of[unpack(control, data, int(cum[-1]))].astype("<u4").tobytes()
                 parts = [raw[4 * cum[i] : 4 * cum[i + 1]] for i in range(len(docs))]
