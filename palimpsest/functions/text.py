@@ -75,9 +75,14 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, SPACE), lambda t: t != ""))
 
 
+def overlap(x: Column, y: Column) -> Column:
+    """Shared tokens over all tokens of two sets; 0 if either is empty."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(shared, F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(x) + F.size(y) - shared)), F.lit(0.0))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
-    x, y = tokens(a), tokens(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_union(x, y)))), F.lit(0.0))
+    return overlap(tokens(a), tokens(b))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -85,11 +90,18 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def digits_differ(a: Column, b: Column) -> Column:
-    x, y = F.regexp_replace(a, "[^0-9]", ""), F.regexp_replace(b, "[^0-9]", "")
+def digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
+
+
+def differ(x: Column, y: Column) -> Column:
     return (x != "") & (y != "") & (x != y)
 
 
+def digits_differ(a: Column, b: Column) -> Column:
+    return differ(digits(a), digits(b))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Mean of edit similarity and token overlap, less 0.1 where digits differ, within 0 and 1; 0 if either is empty."""
     raw = (edit_similarity(a, b) + token_overlap(a, b)) / F.lit(2.0) - F.when(digits_differ(a, b), F.lit(0.1)).otherwise(F.lit(0.0))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.geometry import Box, center_distance, iou
+from palimpsest.functions.geometry import Box, center_distance, intersection, iou
 from palimpsest.plans.schema import PAGE, block
 
 KIND_BONUS, DISTANCE_SCALE, LEAST_IOU, MOST_DISTANCE = 0.1, 10000.0, 0.1, 150.0
@@ -28,25 +28,39 @@ def score(p: Column, o: Column) -> Column:
     return iou(Box.of(p), Box.of(o)) + F.when(p["type"] == o["type"], F.lit(KIND_BONUS)).otherwise(F.lit(0.0)) - center_distance(Box.of(p), Box.of(o)) / F.lit(DISTANCE_SCALE)
 
 
+def _shape(b: Column, i: Column) -> Column:
+    """What the fold needs of a block, each measure made once."""
+    box = Box.of(b)
+    return F.struct(i.alias("i"), b["type"].alias("type"), *(v.alias(n) for n, v in zip(Box._fields, box, strict=True)), box.area.alias("area"), box.center_x.alias("cx"), box.center_y.alias("cy"))
+
+
 def _pairs(ps: Column, os: Column) -> Column:
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<pi:int,oi:int,iou:double,dist:double>>").alias("pairs"), F.lit(0).alias("n"))
+    """The fold carries the optical blocks that are still free. Lambdas are interpreted, so each measure of a pair is bound
+    once, by a transformation of its own: overlap and distance, then their ratio, then the score (as in score())."""
+    start = F.struct(F.transform(os, _shape).alias("free"), F.array().cast("array<struct<pi:int,oi:int,iou:double,dist:double>>").alias("pairs"))
 
     def step(acc: Column, p: Column) -> Column:
-        rated = F.transform(os, lambda o, i: F.struct(score(p, o).alias("score"), (-i).alias("neg"), i.alias("oi"), iou(Box.of(p), Box.of(o)).alias("iou"), center_distance(Box.of(p), Box.of(o)).alias("dist")))
-        free = F.filter(rated, lambda r: (r["score"] > 0) & ~F.array_contains(acc["used"], r["oi"]))
+        def meet(o: Column) -> Column:
+            dx, dy = p["cx"] - o["cx"], p["cy"] - o["cy"]
+            return F.struct(o["i"].alias("oi"), intersection(Box.of(p), Box.of(o)).alias("both"), (p["area"] + o["area"]).alias("sum"), F.sqrt(dx * dx + dy * dy).alias("dist"), F.when(p["type"] == o["type"], F.lit(KIND_BONUS)).otherwise(F.lit(0.0)).alias("bonus"))
+
+        def rate(m: Column) -> Column:
+            joint = F.when(m["both"] == 0, F.lit(0.0)).otherwise(m["both"] / (m["sum"] - m["both"]))
+            return F.struct(m["oi"].alias("oi"), m["bonus"].alias("bonus"), joint.alias("iou"), m["dist"].alias("dist"))
+
+        measured = F.transform(F.transform(acc["free"], meet), rate)
+        rated = F.transform(measured, lambda m: F.struct((m["iou"] + m["bonus"] - m["dist"] / F.lit(DISTANCE_SCALE)).alias("score"), (-m["oi"]).alias("neg"), m["oi"].alias("oi"), m["iou"].alias("iou"), m["dist"].alias("dist")))
+
         # A one-element array binds the best choice once for the gate and the result.
         def settle(best: Column) -> Column:
             ok = best.isNotNull() & ((best["iou"] > LEAST_IOU) | (best["dist"] < MOST_DISTANCE))
-            pair = F.struct(acc["n"].alias("pi"), best["oi"].alias("oi"), best["iou"].alias("iou"), best["dist"].alias("dist"))
-            return F.struct(
-                F.when(ok, F.array_append(acc["used"], best["oi"])).otherwise(acc["used"]).alias("used"),
-                F.when(ok, F.array_append(acc["pairs"], pair)).otherwise(acc["pairs"]).alias("pairs"),
-                (acc["n"] + 1).alias("n"),
-            )
+            pair = F.struct(p["i"].alias("pi"), best["oi"].alias("oi"), best["iou"].alias("iou"), best["dist"].alias("dist"))
+            taken = F.struct(F.filter(acc["free"], lambda o: o["i"] != best["oi"]).alias("free"), F.array_append(acc["pairs"], pair).alias("pairs"))
+            return F.when(ok, taken).otherwise(F.struct(acc["free"].alias("free"), acc["pairs"].alias("pairs")))
 
-        return F.element_at(F.transform(F.array(F.array_max(free)), settle), 1)
+        return F.element_at(F.transform(F.array(F.array_max(F.filter(rated, lambda r: r["score"] > 0))), settle), 1)
 
-    return F.aggregate(ps, start, step, lambda acc: acc["pairs"])
+    return F.aggregate(F.transform(ps, _shape), start, step, lambda acc: acc["pairs"])
 
 
 def align(blocks: DataFrame, *extra: Column) -> DataFrame:

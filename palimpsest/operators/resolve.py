@@ -144,28 +144,44 @@ def parser_dominant() -> Column:
     return F.coalesce((chars >= 120) & (best >= -2) & (area >= 300000.0), F.lit(False))
 
 
-def is_duplicate(ocr_norm: Column, ocr_box: Box, parser_norm: Column, parser_box: Box) -> Column:
-    """Cheap tests first: containment, then a bound on the similarity by lengths, then the similarity itself."""
-    a, b = F.length(ocr_norm), F.length(parser_norm)
-    longest = F.greatest(a, b, F.lit(1))
-    # Edit similarity is at most the ratio of lengths and token overlap at most 1.
-    bound = (F.lit(1.0) - F.abs(a - b) / longest + F.lit(1.0)) / F.lit(2.0)
-    sim = T.similarity(parser_norm, ocr_norm)
-    overlap = iou(ocr_box, parser_box) >= 0.55
-    similar = F.when(bound < 0.55, F.lit(False)).when(overlap, sim >= 0.55).when(bound < 0.82, F.lit(False)).otherwise(sim >= 0.82)
-    return F.when(parser_norm == "", F.lit(False)).when((F.octet_length(ocr_norm) >= 8) & F.contains(parser_norm, ocr_norm), F.lit(True)).otherwise(similar)
+def _said(norm: Column) -> tuple[Column, ...]:
+    """A normalized text with what its comparisons need, made once a text and not once a pair."""
+    return norm.alias("norm"), F.length(norm).alias("n"), T.tokens(norm).alias("tokens"), T.digits(norm).alias("digits")
+
+
+def is_duplicate(ocr: Column, ocr_box: Box, parser: Column, parser_box: Box) -> Column:
+    """Whether a parser text says what an optical one says (both as of _said): it holds it, or they are similar enough.
+
+    Cheap tests first, each a bound on the similarity: edit similarity is at most the ratio of lengths, so with full token
+    overlap, then with the overlap and the digits there are; only texts that can still get there take an edit distance."""
+    a, b = ocr["n"], parser["n"]
+    ratio = F.lit(1.0) - F.abs(a - b) / F.greatest(a, b, F.lit(1))
+    need = F.when(iou(ocr_box, parser_box) >= 0.55, F.lit(0.55)).otherwise(F.lit(0.82))
+    # One-element arrays bind a value once.
+    seen = F.array(F.struct(need.alias("need"), ratio.alias("ratio")))
+
+    def by_tokens(x: Column) -> Column:
+        less = F.when(T.differ(parser["digits"], ocr["digits"]), F.lit(0.1)).otherwise(F.lit(0.0))
+        tokens = F.array(F.struct(T.overlap(parser["tokens"], ocr["tokens"]).alias("tokens"), less.alias("less")))
+        reach = lambda edit, y: (edit + y["tokens"]) / F.lit(2.0) - y["less"] >= x["need"]
+        edit = T.edit_similarity(parser["norm"], ocr["norm"])
+        return F.exists(tokens, lambda y: F.when(reach(x["ratio"], y), reach(edit, y)).otherwise(F.lit(False)))
+
+    similar = F.exists(seen, lambda x: F.when((x["ratio"] + F.lit(1.0)) / F.lit(2.0) < x["need"], F.lit(False)).otherwise(by_tokens(x)))
+    held = (F.octet_length(ocr["norm"]) >= 8) & F.contains(parser["norm"], ocr["norm"])
+    return F.when(parser["norm"] == "", F.lit(False)).when(held, F.lit(True)).when(ocr["norm"] == "", F.lit(False)).otherwise(similar)
 
 
 def drop_redundant_ocr(blocks: DataFrame) -> DataFrame:
     """On pages where parser text leads, optical text that some parser text already says goes. The page's parser texts
     come to each row by a window, so no join and no shuffle."""
-    norm = T.normalized(F.coalesce("text", F.lit("")))
-    mine = F.struct(norm.alias("norm"), "x0", "y0", "x1", "y1")
-    b = blocks.withColumn("_lead", parser_dominant()).withColumn("_theirs", F.when(F.col("_lead"), over_page(F.collect_list(F.when(_text("parser"), mine)))))
-    b = b.withColumn("_norm", norm)
-    dup = (F.octet_length("_norm") < 4) | F.exists("_theirs", lambda q: is_duplicate(F.col("_norm"), Box.of(), q["norm"], Box.of(q)))
+    said = F.struct(*_said(T.normalized(F.coalesce("text", F.lit("")))))
+    b = blocks.withColumn("_lead", parser_dominant()).withColumn("_said", F.when(F.col("_lead") & (_text("parser") | _text("ocr")), said))
+    mine = F.struct("_said.*", "x0", "y0", "x1", "y1")
+    b = b.withColumn("_theirs", F.when(F.col("_lead"), over_page(F.collect_list(F.when(_text("parser"), mine)))))
+    dup = (F.octet_length("_said.norm") < 4) | F.exists("_theirs", lambda q: is_duplicate(F.col("_said"), Box.of(), q, Box.of(q)))
     gone = F.when(F.col("_lead") & _text("ocr"), dup).otherwise(F.lit(False))
-    return b.where(~gone).drop("_lead", "_theirs", "_norm")
+    return b.where(~gone).drop("_lead", "_said", "_theirs")
 
 
 def low_quality(aggressive: Column) -> Column:
