@@ -20,11 +20,18 @@ WRAP = f".{{1,{LINE_WIDTH}}}$|.{{0,{LINE_WIDTH - 1}}} |.{{{LINE_WIDTH}}}"
 CONTROL = r"[\x00-\x1F\x7F]"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents in at least as many partitions as there are cores. Tables of fewer row groups are small; larger ones
+    don't shuffle here."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (visual lines, from 0), line (not empty), page_idx, k (place on the page)."""
     clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, CONTROL, ""))
     visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(WRAP), F.lit(0)))))
-    out = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
+    out = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
     return out.withColumn("page_idx", F.expr(f"line_no div {LINES_A_PAGE}").cast("int")).withColumn("k", F.col("line_no") % LINES_A_PAGE)
 
 
@@ -42,28 +49,31 @@ def blocks(docs: DataFrame) -> DataFrame:
     ocr_kind = F.when(F.expr("(doc_id + line_no) % 37 = 0"), "figure").otherwise(kind)
     num = lambda e: F.expr(f"cast({e} AS double)")
 
-    def rows(src: DataFrame, track: str, seq: str, type_, x, y, w: float, h: float, text) -> DataFrame:
-        return src.select(
-            "doc_id", "page_idx", F.lit(track).alias("track"), F.expr(f"cast({seq} AS int)").alias("seq"), type_.alias("type"), x.alias("x0"), y.alias("y0"), (x + F.lit(w)).alias("x1"), (y + F.lit(h)).alias("y1"), text.alias("raw"),
-        )
+    def row(track: str, seq: str, type_, x, y, w: float, h: float, text):
+        return F.struct(
+            F.lit(track).alias("track"), F.expr(f"cast({seq} AS int)").alias("seq"), type_.alias("type"), x.alias("x0"), y.alias("y0"), (x + F.lit(w)).alias("x1"), (y + F.lit(h)).alias("y1"), text.alias("raw"),
+        )
 
     x, y = F.col("x"), F.col("y")
-    parser = rows(at.where("doc_id % 3 <> 1 OR line_no % 4 = 0"), "parser", "k", kind, x, y, 400.0, 40.0, F.col("line"))
     d = num("(doc_id * 13 + line_no * 5) % 21 - 10")
     said = F.expr(
         "CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN substring(line, 1, cast(length(line) div 2 AS int)) ELSE translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END"
     )
-    seen = at.where("(doc_id % 3 <> 0 OR line_no % 4 = 0) AND (doc_id * 31 + line_no * 7) % 10 <> 0")
-    ocr = rows(seen, "ocr", "k", ocr_kind, x + d, y + d, 400.0, 40.0, said)
-    noise = rows(at.where("(doc_id + line_no) % 29 = 0"), "ocr", "k + 100", F.lit("text"), x + F.lit(410.0), y, 30.0, 20.0, F.lit("## .."))
-    twice = rows(at.where("(doc_id * 3 + line_no) % 17 = 0"), "ocr", "k + 200", F.lit("text"), x + F.lit(3.0), y + F.lit(3.0), 400.0, 40.0, F.col("line"))
+    # A line's blocks are made in one pass: what each track sees of it, noise beside it, and the line once more.
+    seen = (
+        ("doc_id % 3 <> 1 OR line_no % 4 = 0", row("parser", "k", kind, x, y, 400.0, 40.0, F.col("line"))),
+        ("(doc_id % 3 <> 0 OR line_no % 4 = 0) AND (doc_id * 31 + line_no * 7) % 10 <> 0", row("ocr", "k", ocr_kind, x + d, y + d, 400.0, 40.0, said)),
+        ("(doc_id + line_no) % 29 = 0", row("ocr", "k + 100", F.lit("text"), x + F.lit(410.0), y, 30.0, 20.0, F.lit("## .."))),
+        ("(doc_id * 3 + line_no) % 17 = 0", row("ocr", "k + 200", F.lit("text"), x + F.lit(3.0), y + F.lit(3.0), 400.0, 40.0, F.col("line"))),
+    )
+    of_lines = at.select("doc_id", "page_idx", F.explode(F.array(*(F.when(F.expr(cond), r) for cond, r in seen))).alias("r")).where("r IS NOT NULL").select("doc_id", "page_idx", "r.*")
     whole = (
         at.where("doc_id % 5 = 0")
         .groupBy("doc_id", "page_idx")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("all"))
     )
-    page = rows(whole, "parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("all"))
-    both = parser.unionByName(ocr).unionByName(noise).unionByName(twice).unionByName(page)
+    page = row("parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("all"))
+    both = of_lines.unionByName(whole.select("doc_id", "page_idx", page.alias("r")).select("doc_id", "page_idx", "r.*"))
     is_text = F.col("type") == "text"
     text = F.when(is_text, F.col("raw"))
     return both.select(
