@@ -22,9 +22,9 @@ CONTROL = r"[\x00-\x1F\x7F]"
 
 def spread(docs: DataFrame) -> DataFrame:
     """Documents in at least as many partitions as there are cores. Tables of fewer row groups are small; larger ones
-    don't shuffle here."""
+    don't shuffle here. Dealt in turn: a key here would let a union of its branches pass for partitioned by that key."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def lines(docs: DataFrame) -> DataFrame:
