@@ -10,6 +10,7 @@ from palimpsest.operators.classify import page_class, signals
 from palimpsest.operators.order import reading_order
 from palimpsest.operators.resolve import apply_filters, merge
 from palimpsest.plans.schema import PAGE, PAGE_AREA, PAGE_HEIGHT, PAGE_WIDTH
+from palimpsest.runtime import stack
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
@@ -38,6 +39,6 @@ def page_list(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
         zero = F.lit(0.0)
         empty = page_class(zero, zero, zero, zero)
         named = pages.select(*PAGE, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
-        both = sized.unionByName(named, allowMissingColumns=True)
+        both = stack(sized, named, PAGE)
         sized = both.groupBy(*PAGE).agg(F.coalesce(F.max("class"), F.any_value(empty)).alias("class"), F.max("width").alias("width"), F.max("height").alias("height"))
     return sized.select(*PAGE, "class", F.coalesce("width", F.lit(PAGE_WIDTH)).alias("width"), F.coalesce("height", F.lit(PAGE_HEIGHT)).alias("height"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.schema import one_line
+from palimpsest.plans.schema import PAGE, one_line
+from palimpsest.runtime import stack
 
 LINES_A_PAGE, LINE_WIDTH = 20, 200
 #: Consecutive matches make up the whole line: its rest if that fits, else up to the last blank that fits, else a full width.
@@ -22,7 +23,7 @@ CONTROL = r"[\x00-\x1F\x7F]"
 
 def spread(docs: DataFrame) -> DataFrame:
     """Documents in at least as many partitions as there are cores. Tables of fewer row groups are small; larger ones
-    don't shuffle here. Dealt in turn: a key here would let a union of its branches pass for partitioned by that key."""
+    don't shuffle here."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
@@ -73,7 +74,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("all"))
     )
     page = row("parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("all"))
-    both = of_lines.unionByName(whole.select("doc_id", "page_idx", page.alias("r")).select("doc_id", "page_idx", "r.*"))
+    both = stack(of_lines, whole.select("doc_id", "page_idx", page.alias("r")).select("doc_id", "page_idx", "r.*"), PAGE)
     is_text = F.col("type") == "text"
     text = F.when(is_text, F.col("raw"))
     return both.select(

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python workers get at most so many rows and bytes at once, so a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -112,3 +113,13 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stack(top: DataFrame, bottom: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Rows of both, columns by name, missing ones null, for a grouping by `keys`.
+
+    Spark 4.1 takes a union whose branches are partitioned alike for partitioned so itself, and plans a grouping over it
+    without a shuffle; in larger plans the branches' partitions may then be run one after another all the same, and a
+    group comes out in several rows. The lower branch's keys pass through an expression that keeps their values and hides
+    what they were partitioned by, so the grouping shuffles."""
+    return top.unionByName(bottom.withColumns({k: F.greatest(k, k) for k in keys}), allowMissingColumns=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.geometry import Box
 from palimpsest.plans.schema import PAGE, PAGE_HEIGHT, PAGE_WIDTH
-from palimpsest.runtime import save, ship
+from palimpsest.runtime import save, ship, stack
 
 
 def body() -> Column:
@@ -72,7 +72,7 @@ def crop_box(width: int = 1000, height: int = 1400) -> Column:
 
 def _with_list(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     """rows and one row for each page of the list, all else null."""
-    return rows if pages is None else rows.unionByName(pages.select(*PAGE).distinct(), allowMissingColumns=True)
+    return rows if pages is None else stack(rows, pages.select(*PAGE).distinct(), PAGE)
 
 
 def _in_order(number: str, value: str) -> Column:
@@ -148,7 +148,7 @@ def layers(blocks: DataFrame, fused: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<parser_text:string,ocr_text:string,final_text:string,similarity:double>")
     cols = [*PAGE, "type", "x0", "y0", "x1", "y1", "text", "confidence", "source"]
     tracks = blocks.select(*cols, F.col("seq").alias("place"), F.col("track").alias("layer"), F.when(F.col("track") == "parser", 0).otherwise(1).alias("layer_no"), none.alias("debug"))
-    return tracks.unionByName(fused.select(*cols, F.col("pos").alias("place"), F.lit("fused").alias("layer"), F.lit(2).alias("layer_no"), "debug"))
+    return stack(tracks, fused.select(*cols, F.col("pos").alias("place"), F.lit("fused").alias("layer"), F.lit(2).alias("layer_no"), "debug"), PAGE)
 
 
 def html_div() -> Column:
@@ -233,9 +233,9 @@ def _json_rows(fused: DataFrame, blocks: DataFrame | None, pages: DataFrame | No
     """Fused blocks, the tracks' blocks and the list's pages, one under the other, in JSON."""
     rows = fused.select(*PAGE, "class", F.lit("fused").alias("layer"), F.col("pos").alias("n"), json_block(F.col("debug")).alias("j"))
     if blocks is not None:
-        rows = rows.unionByName(blocks.select(*PAGE, F.col("track").alias("layer"), F.col("seq").alias("n"), json_block(F.lit(None).cast(NO_DEBUG)).alias("j")), allowMissingColumns=True)
+        rows = stack(rows, blocks.select(*PAGE, F.col("track").alias("layer"), F.col("seq").alias("n"), json_block(F.lit(None).cast(NO_DEBUG)).alias("j")), PAGE)
     if pages is not None:
-        rows = rows.unionByName(pages.select(*PAGE, "class", "width", "height"), allowMissingColumns=True)
+        rows = stack(rows, pages.select(*PAGE, "class", "width", "height"), PAGE)
     else:
         rows = rows.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int"))
     return rows
@@ -269,7 +269,7 @@ def page_contents(blocks: DataFrame, fused: DataFrame, pages: DataFrame, has_ima
     json = _json_rows(fused, blocks, pages)
     body_ = fused.select(*PAGE, "pos", text_block().alias("t"), markdown_block(True, has_image).alias("md"), markdown_block(False, has_image).alias("mp"))
     boxes = layers(blocks, fused).select(*PAGE, F.struct("layer_no", "place").alias("at"), html_div().alias("div"))
-    rows = json.unionByName(body_, allowMissingColumns=True).unionByName(boxes, allowMissingColumns=True)
+    rows = stack(stack(json, body_, PAGE), boxes, PAGE)
     return rows.groupBy(*PAGE).agg(_json_page(True).alias("json"), _page_text("t").alias("text"), _page_text("md").alias("md"), _page_text("mp").alias("mp"), F.array_join(_in_order("at", "div"), "").alias("divs"))
 
 

@@ -82,3 +82,11 @@ def test_token_json_holds_whole_documents(spark, tmp_path):
                 seq[n // 20] = seq.get(n // 20, -1) + 1
                 want.append((i, n // 20, seq[n // 20], None if n == 1 else line, "x_1" if n == 1 else None))
     assert got == sorted(want)
+
+
+def test_documents_partitioned_by_key(spark, monkeypatch):
+    """Spark may take a union of branches that are partitioned alike for partitioned itself and leave out a shuffle."""
+    run = lambda: catalog.QUERIES["json_export"](spark, "/root/testdata/sf0.01").toPandas()
+    want = canon(run())
+    monkeypatch.setattr(tracks, "spread", lambda docs: docs.repartition(8, "doc_id"))
+    assert canon(run()) == want
