@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.keyfilter import may_match
 from palimpsest.llm.textkernel import Words, chunks, run_hashes
-from palimpsest.runtime import fresh, save, ship
+from palimpsest.runtime import fresh, save, ship, stack
 
 N, K = 8, 5
 SLICE_WORDS = 1_000_000
@@ -211,7 +211,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, min_run
     parts = slices(benchmark, slice_words)
     if len(parts) == 1:
         return docs.withColumn(to, scan_udf(spark, _load(parts[0]), min_items, min_run)(F.col(text)))
-    found = reduce(DataFrame.unionByName, [finds(docs, p, text) for p in parts])
+    found = reduce(lambda a, b: stack(a, b, ("_d", "_t")), [finds(docs, p, text) for p in parts])
     found = save(found.groupBy("_d", "_t").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.flatten(F.collect_list("items")).alias("_items")), "decon-merged")
     d, t, may, ranges, its = fresh((*docs.columns, to), "d", "t", "may", "ranges", "items")
     found = found.select(*[F.col(x).alias(y) for x, y in (("_d", d), ("_t", t), ("_ranges", ranges), ("_items", its))])
