@@ -8,11 +8,10 @@ parser blocks, noise, near duplicates, kinds that differ, pages on which only no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.schema import PAGE, one_line
-from palimpsest.runtime import stack
+from palimpsest.plans.schema import one_line
 
 LINES_A_PAGE, LINE_WIDTH = 20, 200
 #: Consecutive matches make up the whole line: its rest if that fits, else up to the last blank that fits, else a full width.
@@ -21,18 +20,40 @@ WRAP = f".{{1,{LINE_WIDTH}}}$|.{{0,{LINE_WIDTH - 1}}} |.{{{LINE_WIDTH}}}"
 CONTROL = r"[\x00-\x1F\x7F]"
 
 
+#: Parts for each part that the table is read in: a part's lines and words, many times its texts, are sorted in one task.
+PARTS = 8
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """Documents in at least as many partitions as there are cores. Tables of fewer row groups are small; larger ones
-    don't shuffle here."""
+    """Documents dealt by key, as texts. All that is grouped by document, page or line afterwards stays in its task, so
+    neither lines nor words nor blocks shuffle, which are many times as large."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return docs.repartition(max(cores, PARTS * docs.rdd.getNumPartitions()), "doc_id")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (visual lines, from 0), line (not empty), page_idx, k (place on the page)."""
+def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, line_no (visual lines, from 0), line (not empty), page_idx, k (place on the page).
+
+    whole: also a page's lines as one text, with the page's first line and on every fifth document only (else null)."""
     clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, CONTROL, ""))
-    visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(WRAP), F.lit(0)))))
-    out = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
+    # Only a line end ends a line, here as in the second engine; no other line separator may lose its text.
+    visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?d){WRAP}"), F.lit(0)))))
+
+    def pieces(v: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            k = i % LINES_A_PAGE
+            said = lambda n: F.filter(F.slice(v, i - k + 1, n), lambda y: y != "")
+            first = F.expr("doc_id % 5 = 0") & (x != "") & (F.size(said(k)) == 0)
+            return F.struct(x.alias("line"), F.when(first, F.array_join(said(F.lit(LINES_A_PAGE)), " ")).alias("whole"))
+
+        return F.transform(v, piece)
+
+    of = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
+    if whole:
+        # A one-element array binds the lines once.
+        out = of.select("doc_id", F.posexplode(F.flatten(F.transform(F.array(visual), pieces))).alias("line_no", "r")).select("doc_id", "line_no", "r.line", "r.whole").where("line <> ''")
+    else:
+        out = of.select("doc_id", F.posexplode(visual).alias("line_no", "line")).where("line <> ''")
     return out.withColumn("page_idx", F.expr(f"line_no div {LINES_A_PAGE}").cast("int")).withColumn("k", F.col("line_no") % LINES_A_PAGE)
 
 
@@ -45,7 +66,7 @@ def _kind(*cases: tuple[str, str]):
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Both tracks as block rows (see schema.BLOCKS)."""
-    at = lines(docs).withColumn("x", F.expr("60.0D + 480 * (k % 2)")).withColumn("y", F.expr("40.0D + 60 * (k div 2)"))
+    at = lines(docs, whole=True).withColumn("x", F.expr("60.0D + 480 * (k % 2)")).withColumn("y", F.expr("40.0D + 60 * (k div 2)"))
     kind = _kind(("(doc_id * 7 + line_no * 3) % 23 = 0", "table"), ("(doc_id * 7 + line_no * 3) % 23 = 1", "figure"), ("(doc_id * 7 + line_no * 3) % 23 = 2", "math"))
     ocr_kind = F.when(F.expr("(doc_id + line_no) % 37 = 0"), "figure").otherwise(kind)
     num = lambda e: F.expr(f"cast({e} AS double)")
@@ -60,21 +81,16 @@ def blocks(docs: DataFrame) -> DataFrame:
     said = F.expr(
         "CASE (doc_id + line_no) % 4 WHEN 0 THEN line WHEN 1 THEN replace(line, 'l', '1') WHEN 2 THEN substring(line, 1, cast(length(line) div 2 AS int)) ELSE translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END"
     )
-    # A line's blocks are made in one pass: what each track sees of it, noise beside it, and the line once more.
+    # A line's blocks are made in one pass: what each track sees of it, noise beside it, the line once more, and with a
+    # page's first line the page as one block.
     seen = (
         ("doc_id % 3 <> 1 OR line_no % 4 = 0", row("parser", "k", kind, x, y, 400.0, 40.0, F.col("line"))),
         ("(doc_id % 3 <> 0 OR line_no % 4 = 0) AND (doc_id * 31 + line_no * 7) % 10 <> 0", row("ocr", "k", ocr_kind, x + d, y + d, 400.0, 40.0, said)),
         ("(doc_id + line_no) % 29 = 0", row("ocr", "k + 100", F.lit("text"), x + F.lit(410.0), y, 30.0, 20.0, F.lit("## .."))),
         ("(doc_id * 3 + line_no) % 17 = 0", row("ocr", "k + 200", F.lit("text"), x + F.lit(3.0), y + F.lit(3.0), 400.0, 40.0, F.col("line"))),
+        ("whole IS NOT NULL", row("parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("whole"))),
     )
-    of_lines = at.select("doc_id", "page_idx", F.explode(F.array(*(F.when(F.expr(cond), r) for cond, r in seen))).alias("r")).where("r IS NOT NULL").select("doc_id", "page_idx", "r.*")
-    whole = (
-        at.where("doc_id % 5 = 0")
-        .groupBy("doc_id", "page_idx")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), " ").alias("all"))
-    )
-    page = row("parser", "1000", F.lit("text"), F.lit(0.0), F.lit(0.0), 1000.0, 1400.0, F.col("all"))
-    both = stack(of_lines, whole.select("doc_id", "page_idx", page.alias("r")).select("doc_id", "page_idx", "r.*"), PAGE)
+    both = at.select("doc_id", "page_idx", F.explode(F.array(*(F.when(F.expr(cond), r) for cond, r in seen))).alias("r")).where("r IS NOT NULL").select("doc_id", "page_idx", "r.*")
     is_text = F.col("type") == "text"
     text = F.when(is_text, F.col("raw"))
     return both.select(

@@ -90,3 +90,22 @@ def test_documents_partitioned_by_key(spark, monkeypatch):
     want = canon(run())
     monkeypatch.setattr(tracks, "spread", lambda docs: docs.repartition(8, "doc_id"))
     assert canon(run()) == want
+
+
+def test_odd_ends_and_blanks(spark, tmp_path):
+    """Other white space than blanks, two line ends at the end, line separators and empty texts, as the SQL counts them."""
+    import duckdb
+
+    rows = [(1, "a\tb c\n\n"), (2, ""), (3, "one two　three\r\nfour\r\n"), (4, "\n"), (5, "a b\n\n\nc\n"), (6, "x y\u0085z w \nend"), (7, None), (10, "q" * 199 + "\u0085" + "r" * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("eval_metrics", "token_json"):
+        assert canon(catalog.QUERIES[name](spark, str(tmp_path)).toPandas().fillna(0)) == canon(con.sql(catalog.ORACLES[name]).df().fillna(0)), name
+
+
+@pytest.mark.parametrize("name", ["mean_word_conf", "cand_argmax", "dedupe_first", "line_group", "align_greedy", "fuse_full", "parser_dominant", "token_json"])
+def test_only_documents_shuffle(spark, name):
+    """Words, lines and blocks are many times as large as the texts that they come from; only these are dealt."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
