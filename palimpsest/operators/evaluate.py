@@ -18,11 +18,12 @@ def sequence_ratio(a, b):
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
-def text_measures(texts: DataFrame, text: str = "content") -> DataFrame:
-    """chars, words and lines of each text; null counts as empty."""
+def text_measures(texts: DataFrame, text: str = "content", word: str = "(?U)[^\\s]+", end: str = "\\r?\\n") -> DataFrame:
+    """chars, words and lines of each text; null counts as empty. word, end: patterns of a word and of a line's end."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, "\\r?\\n$", ""), "\\r?\\n")))
-    return texts.withColumn("chars", F.length(t)).withColumn("words", F.regexp_count(t, F.lit("(?U)[^\\s]+"))).withColumn("lines", lines)
+    # \\z, as $ also holds before a last line end: of two at the end only one goes.
+    lines = F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, f"{end}\\z", ""), end)))
+    return texts.withColumn("chars", F.length(t)).withColumn("words", F.regexp_count(t, F.lit(word))).withColumn("lines", lines)
 
 
 def base_name(directory):
