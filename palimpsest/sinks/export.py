@@ -24,8 +24,8 @@ from palimpsest.runtime import save, ship, stack
 
 def body() -> Column:
     """A text block's body, or nothing where it is broken parser text or optical noise."""
-    b = F.coalesce(T.block_body(F.col("lines")), F.lit(""))
-    return F.when(T.skip_degraded_parser(F.col("source"), b) | T.skip_noisy_ocr(F.col("source"), b), F.lit("")).otherwise(b)
+    skip = lambda b: T.skip_degraded_parser(F.col("source"), b) | T.skip_noisy_ocr(F.col("source"), b)
+    return T.bound(F.coalesce(T.block_body(F.col("lines")), F.lit("")), lambda b: F.when(skip(b), F.lit("")).otherwise(b))
 
 
 def text_block(latex: bool = False) -> Column:

@@ -101,3 +101,27 @@ def test_export_filters(spark):
     assert one(spark, T.skip_noisy_ocr(F.lit("ocr"), F.lit("## .. ##")))
     assert not one(spark, T.skip_noisy_ocr(F.lit("parser"), F.lit("## .. ##")))
     assert one(spark, T.skip_degraded_parser(F.lit("parser"), F.lit("ㄱㄴㄷㄹㅁㅂㅅㅇ 가")))
+
+
+def test_measures_by_shorter_ways(spark):
+    """Edit distance, tokens, white space and noise by their shorter ways say what the plain ones say."""
+    texts = ["", " ", "a", "ab", "aaaaaa", "abababab", "abcabc", "a  b\tc d　", " x\n\ny ", "The quick brown fox", "THE QUICK", "quick", "1", "1 2", "가나 다라", "ㅁㅁㅁㅁㅁㅁㅁ", "哲豆 이것", "😀😀😀😀😀😀", "😀a😀a😀a", "\u0085x ", None]
+    d = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b, n = F.col("a"), F.col("b"), F.lower(F.regexp_replace(F.regexp_replace("a", "(?U)\\s+", " "), "^ | $", ""))
+    plain = F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    split = F.array_distinct(F.filter(F.split(a, "(?U)\\s+"), lambda t: t != ""))
+    quality = T.syllables(n) * 2 - T.jamos(n) * 3
+    noisy = (F.length(n) <= 1) | (T.alnum(n) <= 1) | ((F.length(n) >= 6) & (T.distinct_chars(n) <= 2)) | (T.has_korean(n) & (T.hanja(n) >= 2)) | (T.has_korean(n) & (quality < -6))
+    pairs = {"edit": (T.edit_similarity(a, b), plain), "tokens": (T.tokens(a), split), "norm": (T.normalized(a), n), "noisy": (T.noisy_ocr(a), noisy), "quality": (T.quality(n), quality), "two": (T.two_chars(a), T.distinct_chars(a) <= 2)}
+    for name, (got, want) in pairs.items():
+        assert d.where(~got.eqNullSafe(want) & (F.lit(name != "two") | (F.length(a) > 0))).select("a", "b", got, want).collect() == [], name
+
+
+def test_whole_stays_cheap(spark):
+    """Of two long texts of which one holds the other no edit distance is taken: seconds, not minutes."""
+    import time
+
+    d = spark.createDataFrame([("lorem ipsum dolor " * 6000, "lorem ipsum dolor " * 5999)] * 4, "a string, b string")
+    began = time.time()
+    assert {r[0] for r in d.select(T.edit_similarity(F.col("a"), F.col("b")) > 0.99).collect()} == {True}
+    assert time.time() - began < 20
