@@ -16,9 +16,9 @@ HANJA = "[\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF]"
 ALNUM = "[A-Za-z0-9\\uAC00-\\uD7A3]"
 #: White space (Unicode), written out, as a class of the `U` flag is slow; and runs of it other than a single blank.
 WHITE = "\\t-\\r\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-SPACE = f"[ {WHITE}]+"
-UNTIDY = f" [ {WHITE}]+|[{WHITE}][ {WHITE}]*"
-SYMBOL = "(?U)[^\\p{L}\\p{N}\\s]"
+#: A class is a chain of tests, so the one that most characters fail stands first.
+SPACE = f"[[^!-\\u0084]&&[ {WHITE}]]+"
+UNTIDY = f"[[^!-\\u0084]&&[ {WHITE}]](?:{SPACE}|(?<! ))"
 FUSION_WEIGHTS = (2, 3)
 EXTRACT_WEIGHTS = (3, 2)
 
@@ -27,20 +27,29 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def ascii_only(text: Column) -> Column:
+    """As many bytes as characters: spares the search for characters that lie beyond."""
+    return F.octet_length(text) == F.length(text)
+
+
+def beyond_ascii(text: Column, pattern: str) -> Column:
+    return F.when(ascii_only(text), F.lit(0)).otherwise(count(text, pattern))
+
+
 def syllables(text: Column) -> Column:
-    return count(text, SYLLABLE)
+    return beyond_ascii(text, SYLLABLE)
 
 
 def jamos(text: Column) -> Column:
-    return count(text, JAMO)
+    return beyond_ascii(text, JAMO)
 
 
 def hanja(text: Column) -> Column:
-    return count(text, HANJA)
+    return beyond_ascii(text, HANJA)
 
 
 def has_korean(text: Column) -> Column:
-    return text.rlike(KOREAN)
+    return ~ascii_only(text) & text.rlike(KOREAN)
 
 
 def quality(text: Column, weights: tuple[int, int] = FUSION_WEIGHTS) -> Column:
@@ -67,7 +76,8 @@ def compact(text: Column) -> Column:
 
 
 def alnum(text: Column) -> Column:
-    return count(text, ALNUM)
+    """What is left without the rest, which makes no string a character."""
+    return F.length(F.regexp_replace(text, f"[^{ALNUM[1:-1]}]+", ""))
 
 
 def distinct_chars(text: Column) -> Column:
@@ -89,6 +99,11 @@ def overlap(x: Column, y: Column) -> Column:
     return bound(sizes, lambda n: F.coalesce(F.try_divide(n["both"], F.when((n["x"] > 0) & (n["y"] > 0), n["x"] + n["y"] - n["both"])), F.lit(0.0)))
 
 
+def words(norm: Column) -> Column:
+    """tokens() of a normalized text, whose only white space is single blanks."""
+    return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     return bound(F.struct(tokens(a).alias("x"), tokens(b).alias("y")), lambda t: overlap(t["x"], t["y"]))
 
@@ -102,7 +117,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
+    return F.regexp_replace(text, "[^0-9]+", "")
 
 
 def differ(x: Column, y: Column) -> Column:
@@ -115,10 +130,25 @@ def digits_differ(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Mean of edit similarity and token overlap, less 0.1 where digits differ, within 0 and 1; 0 if either is empty."""
-    raw = (edit_similarity(a, b) + token_overlap(a, b)) / F.lit(2.0) - F.when(digits_differ(a, b), F.lit(0.1)).otherwise(F.lit(0.0))
+    return joint_similarity(a, b, edit_similarity(a, b), token_overlap(a, b), digits_loss(a, b))
+
+
+def digits_loss(a: Column, b: Column) -> Column:
+    return F.when(digits_differ(a, b), F.lit(0.1)).otherwise(F.lit(0.0))
+
+
+def joint_similarity(a: Column, b: Column, edit: Column, tokens_: Column, loss: Column) -> Column:
+    """similarity() from its parts; grows with edit, so a bound of the one gives a bound of the other."""
+    raw = (edit + tokens_) / F.lit(2.0) - loss
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0)))
 
 
+def length_ratio(a: Column, b: Column) -> Column:
+    """The most that edit_similarity() can be."""
+    n, m = F.length(a), F.length(b)
+    return F.lit(1.0) - F.abs(n - m) / F.greatest(n, m, F.lit(1))
+
+
 def few_alnum(text: Column) -> Column:
     """At most one letter or digit; looks no further than the second."""
     return ~text.rlike(f"(?s){ALNUM}.*?{ALNUM}")
@@ -243,8 +273,8 @@ def skip_degraded_parser(source: Column, text: Column) -> Column:
 
 
 def skip_noisy_ocr(source: Column, text: Column) -> Column:
+    # More symbols than letters and digits need no count of their own: then less than half are letters and digits.
     def noisy(c: Column) -> Column:
-        a, sym = alnum(c), count(text, SYMBOL)
-        return (F.length(c) <= 2) | (a * 2 < F.length(c)) | ((sym >= 8) & (sym > a))
+        return (F.length(c) <= 2) | (alnum(c) * 2 < F.length(c))
 
     return (source == "ocr") & bound(compact(text), noisy)
