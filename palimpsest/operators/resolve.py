@@ -36,11 +36,33 @@ NO_DEBUG = "struct<parser_text:string,ocr_text:string,final_text:string,similari
 OUT = ("type", "x0", "y0", "x1", "y1", "text", "lines", "confidence", "source", "latex", "debug")
 
 
-def _block(type_: Column, box: Box, text: Column, lines: Column, conf: Column, source: Column, latex: Column, debug: Column) -> Column:
-    return F.struct(*(v.alias(n) for n, v in zip(OUT, (type_, *box, text, lines, conf, source, latex, debug), strict=True)))
+Fields = dict[str, Column]
+
+
+def _block(type_: Column, box: Box, text: Column, lines: Column, conf: Column, source: Column, latex: Column, debug: Column) -> Fields:
+    """A block's fields one by one, so that one that nobody reads isn't made."""
+    return dict(zip(OUT, (type_, *box, text, lines, conf, source, latex, debug), strict=True))
+
+
+def _choose(*cases: tuple[Column, Fields], other: Fields) -> Fields:
+    def field(c: str) -> Column:
+        out = F
+        for cond, block in cases:
+            out = out.when(cond, block[c])
+        return out.otherwise(other[c])
+
+    return {c: field(c) for c in OUT}
+
+
+def _struct(block: Fields) -> Column:
+    return F.struct(*(v.alias(n) for n, v in block.items()))
 
 
 def promote(b: Column, source: str, page_class: Column) -> Column:
+    return _struct(_promoted(b, source, page_class))
+
+
+def _promoted(b: Column, source: str, page_class: Column) -> Fields:
     """A block that stands alone: its confidence is set anew from its track and the page's class."""
     is_text = b["type"] == "text"
     yes, no = F.lit(True), F.lit(False)
@@ -59,27 +81,54 @@ def promote(b: Column, source: str, page_class: Column) -> Column:
 
 def resolve_pairs(matched: DataFrame, page_class: str = "class") -> DataFrame:
     """Rows with p, o, iou and dist -> a column `out` with the resolved block and `sim`."""
+    m, block = _resolved(matched, page_class)
+    return m.withColumn("out", _struct(block)).drop(*MEASURES)
+
+
+MEASURES = ("tokens", "loss", "exact", "close", "qp", "qo", "kor", "big", "np", "no", "layout", "noisy", "blank", "yields")
+
+
+def _resolved(matched: DataFrame, page_class: str = "class") -> tuple[DataFrame, Fields]:
+    """Rows with the measures of each pair, and the resolved block's fields over them.
+
+    `sim` is exact and made only where it is read. The choice reads `close`, which is the same where the similarity can
+    reach SAME_TEXT or a rule looks below that, and else 0: most pairs are settled by lengths and tokens without an edit
+    distance."""
     cls, p, o = F.col(page_class), F.col("p"), F.col("o")
     both = (p["type"] == "text") & (o["type"] == "text")
-    m = matched.withColumn("sim", F.when(both, T.similarity(p["text"], o["text"])))
     at, ot = F.when(both, p["text"]), F.when(both, o["text"])
-    m = m.withColumn("qp", T.quality(F.coalesce(p["text"], F.lit("")))).withColumn("qo", T.quality(F.coalesce(ot, F.lit(""))))
+    m = matched.withColumn("qp", T.quality(F.coalesce(p["text"], F.lit("")))).withColumn("qo", T.quality(F.coalesce(ot, F.lit(""))))
     m = m.withColumn("kor", F.coalesce(T.has_korean(p["text"]), F.lit(False)) | F.coalesce(T.has_korean(o["text"]), F.lit(False)))
     m = m.withColumn("big", Box.of(p).area / F.lit(PAGE_AREA) > OVERSIZED).withColumn("np", F.length(F.coalesce(at, F.lit("")))).withColumn("no", F.length(F.coalesce(ot, F.lit(""))))
-    m = m.withColumn("noisy", F.coalesce(T.noisy_ocr(ot), F.lit(True))).withColumn("blank", T.normalized(F.coalesce(ot, F.lit(""))) == "")
-    sim, kor, big, qp, qo, n_p, n_o = (F.col(c) for c in ("sim", "kor", "big", "qp", "qo", "np", "no"))
+    m = m
+    # Below SAME_TEXT, rules look at the similarity of large parser blocks, of Korean and of much longer optical texts.
+    below = F.col("big") | F.col("kor") | (F.col("no") > F.col("np") + 80)
+    ratio = T.length_ratio(at, ot)
+    reach = lambda tokens, loss: T.joint_similarity(at, ot, ratio, tokens, loss) >= SAME_TEXT
+    tokens, loss = F.col("tokens"), F.col("loss")
+    m = m.withColumn("tokens", F.when(both & (below | reach(F.lit(1.0), F.lit(0.0))), T.token_overlap(at, ot)))
+    m = m.withColumn("loss", F.when(tokens.isNotNull() & (below | reach(tokens, F.lit(0.0))), T.digits_loss(at, ot)))
+    m = m.withColumn("exact", F.when(loss.isNotNull() & (below | reach(tokens, loss)), T.joint_similarity(at, ot, T.edit_similarity(at, ot), tokens, loss)))
+    m = m.withColumn("sim", F.when(both, F.coalesce("exact", T.similarity(at, ot))))
+    m = m.withColumn("close", F.when(both, F.coalesce("exact", F.lit(0.0))))
+    m = m.withColumn("layout", F.col("big") & (F.col("no") + 40 >= F.col("np")) & ~(F.col("kor") & (F.col("qp") >= 4)))
+    # What the optical text is worth is asked below SAME_TEXT only, and of scanned pages, layouts and longer texts.
+    asked = (F.col("close") < SAME_TEXT) & (F.col("layout") | (cls == "scanned") | (F.col("no") > F.col("np") + 80))
+    m = m.withColumn("noisy", F.when(asked, F.coalesce(T.noisy_ocr(ot), F.lit(True))).otherwise(F.lit(True)))
+    m = m.withColumn("blank", F.when(F.col("layout") | (cls == "scanned"), T.normalized(F.coalesce(ot, F.lit(""))) == "").otherwise(F.lit(True)))
+    sim, close, kor, big, qp, qo, n_p, n_o = (F.col(c) for c in ("sim", "close", "kor", "big", "qp", "qo", "np", "no"))
     # A parser block without text has the lowest quality there is.
     strong = kor & (qp >= 4) & (p["type"] == "text")
     # Lengths at which the optical text isn't much shorter.
-    layout = big & (n_o + 40 >= n_p) & ~(kor & (qp >= 4))
-    loose = layout & (sim < 0.55) & ~F.col("noisy")
-    swap = lambda gain, longer: kor & (sim < 0.30) & (qo > qp + gain) & (n_o > n_p + longer)
+    layout = F.col("layout")
+    loose = layout & (close < 0.55) & ~F.col("noisy")
+    swap = lambda gain, longer: kor & (close < 0.30) & (qo > qp + gain) & (n_o > n_p + longer)
     choice = (
-        F.when((sim >= SAME_TEXT) & (cls == "scanned"), "ocr+fused")
-        .when((sim >= SAME_TEXT) & (cls == "hybrid") & layout & ~F.col("blank"), "ocr")
-        .when(sim >= SAME_TEXT, "parser+fused")
+        F.when((close >= SAME_TEXT) & (cls == "scanned"), "ocr+fused")
+        .when((close >= SAME_TEXT) & (cls == "hybrid") & layout & ~F.col("blank"), "ocr")
+        .when(close >= SAME_TEXT, "parser+fused")
         .when((cls == "digital") & (swap(5, 40) | loose), "ocr")
-        .when((cls == "hybrid") & (swap(4, 50) | loose | ((sim < 0.35) & (n_o > n_p + 80) & ~F.col("noisy"))), "ocr")
+        .when((cls == "hybrid") & (swap(4, 50) | loose | ((close < 0.35) & (n_o > n_p + 80) & ~F.col("noisy"))), "ocr")
         .when((cls == "scanned") & ~F.col("blank") & ~F.col("noisy"), "ocr")
         .otherwise("parser")
     )
@@ -97,9 +146,8 @@ def resolve_pairs(matched: DataFrame, page_class: str = "class") -> DataFrame:
         F.lit("figure"), union(Box.of(p), Box.of(o)), F.lit(None).cast("string"), F.lit(None).cast(LINES), base, F.lit("fused"), F.lit(None).cast("string"), F.lit(None).cast(NO_DEBUG),
     )
     # A parser block as large as the page that says something else gives way to the optical block as it stands.
-    yields = big & (F.coalesce(sim, F.lit(0.0)) < 0.15) & ~strong
-    out = F.when(yields, promote(o, "ocr", cls)).when(both, fused).otherwise(figure)
-    return m.withColumn("out", out).drop("qp", "qo", "kor", "big", "np", "no", "noisy", "blank")
+    m = m.withColumn("yields", big & (F.coalesce(close, F.lit(0.0)) < 0.15) & ~strong)
+    return m, _choose((F.col("yields"), _promoted(o, "ocr", cls)), (both, fused), other=figure)
 
 
 def skips_oversized(b: Column, ocr_left: Column) -> Column:
@@ -114,10 +162,10 @@ def skips_oversized(b: Column, ocr_left: Column) -> Column:
 def merge(aligned: DataFrame) -> DataFrame:
     """Aligned rows with `class` -> block rows in page order (seq), before the filters."""
     kept = aligned.where(~((F.col("match") == "parser_only") & skips_oversized(F.col("p"), F.col("ocr_left"))))
-    pairs = resolve_pairs(kept)
-    out = F.when(F.col("match") == "matched", F.col("out")).when(F.col("match") == "parser_only", promote(F.col("p"), "parser", F.col("class"))).otherwise(promote(F.col("o"), "ocr", F.col("class")))
-    rows = pairs.select(*PAGE, "class", F.col("ord").alias("seq"), out.alias("b"))
-    return rows.select(*PAGE, "class", "seq", *[F.col(f"b.{c}") for c in OUT])
+    pairs, resolved = _resolved(kept)
+    is_ = lambda match: F.col("match") == match
+    out = _choose((is_("matched"), resolved), (is_("parser_only"), _promoted(F.col("p"), "parser", F.col("class"))), other=_promoted(F.col("o"), "ocr", F.col("class")))
+    return pairs.select(*PAGE, "class", F.col("ord").alias("seq"), *(v.alias(c) for c, v in out.items()))
 
 
 def _text(source: str) -> Column:
@@ -146,7 +194,7 @@ def parser_dominant() -> Column:
 
 def _said(norm: Column) -> tuple[Column, ...]:
     """A normalized text with what its comparisons need, made once a text and not once a pair."""
-    return norm.alias("norm"), F.length(norm).alias("n"), T.tokens(norm).alias("tokens"), T.digits(norm).alias("digits")
+    return norm.alias("norm"), F.length(norm).alias("n"), T.words(norm).alias("tokens"), T.digits(norm).alias("digits")
 
 
 def is_duplicate(ocr: Column, ocr_box: Box, parser: Column, parser_box: Box) -> Column:

@@ -37,7 +37,7 @@ def lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     whole: also a page's lines as one text, with the page's first line and on every fifth document only (else null)."""
     clean = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, CONTROL, ""))
     # Only a line end ends a line, here as in the second engine; no other line separator may lose its text.
-    visual = F.flatten(F.transform(clean, lambda x: F.when(x == "", F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?d){WRAP}"), F.lit(0)))))
+    visual = F.flatten(F.transform(clean, lambda x: F.when(F.length(x) <= LINE_WIDTH, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?d){WRAP}"), F.lit(0)))))
 
     def pieces(v: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
