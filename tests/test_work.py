@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["text_export"])
+@pytest.mark.parametrize("name", ["text_export", "md_export"])
 def test_blocks_are_made_once(spark, name):
     assert plan(catalog.QUERIES[name](spark, SF)).count("Generate explode(array(") == 1
 
