@@ -20,12 +20,13 @@ def two_column_divider(blocks: DataFrame, to: str = "divider") -> DataFrame:
     """The x that parts two columns, or null. Takes six blocks, 300 in width, two blocks on each side, five on both, and
     at most 45 % that cross the middle widely."""
     b = Box.of()
-    out = blocks.withColumn("_n", over(F.count("*"))).withColumn("_left", over(F.min("x0"))).withColumn("_right", F.greatest(over(F.max("x1")), F.lit(0.0)))
+    # Measures that are taken together go over the page's rows once.
+    out = blocks.withColumns({"_n": over(F.count("*")), "_left": over(F.min("x0")), "_right": F.greatest(over(F.max("x1")), F.lit(0.0))})
     out = out.withColumn("_width", F.greatest(F.col("_right") - F.col("_left"), F.lit(1.0))).withColumn("_mid", F.col("_left") + F.col("_width") * F.lit(0.5))
     wide = (b.x0 < F.col("_mid")) & (b.x1 > F.col("_mid")) & (b.width / F.col("_width") > 0.58)
     on_left = ~wide & (b.center_x < F.col("_mid"))
     n = lambda c: over(F.count(F.when(c, 1)))
-    out = out.withColumn("_l", n(on_left)).withColumn("_r", n(~wide & ~on_left)).withColumn("_s", n(wide))
+    out = out.withColumns({"_l": n(on_left), "_r": n(~wide & ~on_left), "_s": n(wide)})
     ok = (F.col("_n") >= 6) & (F.col("_width") >= 300) & (F.col("_l") >= 2) & (F.col("_r") >= 2) & (F.col("_l") + F.col("_r") >= 5) & (F.col("_s") / F.col("_n") <= 0.45)
     return out.withColumn(to, F.when(ok, F.col("_mid"))).drop("_n", "_left", "_right", "_width", "_mid", "_l", "_r", "_s")
 
@@ -37,10 +38,10 @@ def with_bucket(blocks: DataFrame) -> DataFrame:
     d = F.col("_divider")
     spans = (b.x0 < d) & (b.x1 > d)
     inside = d.isNotNull() & ~spans
-    out = out.withColumn("_top", over(F.min(F.when(inside, b.y0)))).withColumn("_low", F.greatest(over(F.max(F.when(inside, b.y1))), F.lit(0.0)))
+    out = out.withColumns({"_top": over(F.min(F.when(inside, b.y0))), "_low": F.greatest(over(F.max(F.when(inside, b.y1))), F.lit(0.0)), "_all": over(F.count("*"))})
     top = F.coalesce(b.y1 <= F.col("_top") + 50.0, F.lit(True))
     bucket = (
-        F.when(over(F.count("*")) <= 2, F.lit(None).cast("int"))
+        F.when(F.col("_all") <= 2, F.lit(None).cast("int"))
         .when(d.isNull(), 0)
         .when(spans & top, 0)
         .when(spans & (b.y0 >= F.coalesce("_low", F.lit(0.0)) - 30.0), 4)
@@ -48,7 +49,7 @@ def with_bucket(blocks: DataFrame) -> DataFrame:
         .when(b.center_x < d, 1)
         .otherwise(2)
     )
-    return out.withColumn("bucket", bucket).drop("_divider", "_top", "_low")
+    return out.withColumn("bucket", bucket).drop("_divider", "_top", "_low", "_all")
 
 
 def order_key() -> list[Column]:

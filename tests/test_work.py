@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.plans import catalog
+from palimpsest.operators import order
+from palimpsest.plans import catalog, tracks
+from palimpsest.runtime import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +20,15 @@ def test_blocks_are_made_once(spark, name):
     assert plan(catalog.QUERIES[name](spark, SF)).count("Generate explode(array(") == 1
 
 
+def test_divider_takes_two_passes(spark):
+    assert plan(order.two_column_divider(tracks.blocks(table(spark, SF, "documents")))).count("- Window [") == 2
+
+
+def test_unread_fields_are_not_made(spark):
+    """The reliability test reads neither debug texts nor the similarity that goes with them."""
+    assert "parser_text" not in plan(catalog.QUERIES["reliable_parser"](spark, SF))
+
+
 def test_measures_as_their_patterns_say(spark):
     texts = ["", " ", "a  b", "a\t b \n", "\u0084\u0085 x　", "!~\x7f", "가ᄀ漢 Z9", "😀é 1-2", "     a"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
